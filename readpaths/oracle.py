@@ -79,20 +79,89 @@ def with_(*ctes: str) -> str:
 
 
 # ------------------------------------------------------------ sessions
-def minimum_slice_sql(dt_seconds: int = 3600, min_len: int = 2, max_len: int = 30) -> str:
-    """Clean -> first visits -> gap split -> length window -> lines on raw views."""
-    return with_(PAGEVIEWS, RAW_VIEWS, first_visits_cte("raw_views"),
-                 split_cte("firsts", dt_seconds), lines_cte("split", min_len, max_len)) + """
-SELECT actor, session_no, n_views, line FROM lines"""
+SEQ_ORDER = "ts NULLS FIRST, page_id NULLS FIRST, page_title NULLS FIRST, wiki_db NULLS FIRST, qid NULLS FIRST"
+
+
+def ts_lit(value: str) -> str:
+    return f"TIMESTAMP '{value} 00:00:00'" if len(value) == 10 else f"TIMESTAMP '{value}'"
+
+
+def flat_pageviews_cte(name: str = "flat_pv") -> str:
+    return f"""
+{name} AS (
+  SELECT actor, year, month, day, hour, is_pageview, agent_type, access_method, project_family, project,
+         namespace_id, page_id, ts, page_title
+  FROM pageviews
+)"""
+
+
+def hour_range_cte(src: str, start: str, end: str, name: str = "in_range") -> str:
+    hour = "make_timestamp(year, month, day, hour, 0, 0.0)"
+    return f"""
+{name} AS (
+  SELECT * FROM {src} WHERE {hour} >= {ts_lit(start)} AND {hour} < {ts_lit(end)}
+)"""
+
+
+def pageview_filter_cte(src: str, wiki_db: str | None, name: str = "filtered") -> str:
+    wiki = f"AND project || 'wiki' = '{wiki_db}'" if wiki_db else ""
+    return f"""
+{name} AS (
+  SELECT actor, year, month, day, hour, ts, page_id, page_title, project || 'wiki' AS wiki_db
+  FROM {src}
+  WHERE is_pageview AND agent_type = 'user' AND access_method <> 'mobile app'
+    AND project_family = 'wikipedia' AND namespace_id = 0 {wiki}
+)"""
+
+
+def daily_cte(src: str, n_min: int, n_max: int, name: str = "daily") -> str:
+    return f"""
+{name} AS (
+  SELECT * FROM {src}
+  QUALIFY count(*) OVER (PARTITION BY actor, year, month, day) BETWEEN {n_min} AND {n_max}
+)"""
 
 
-def first_visits_cte(src: str, name: str = "firsts") -> str:
+def links_since_cte(since: str, wiki_db: str | None, name: str = "links_since") -> str:
+    wiki = f"AND wiki_db = '{wiki_db}'" if wiki_db else ""
+    return f"""
+{name} AS (
+  SELECT * FROM item_links WHERE snapshot >= '{since}' AND suffix(wiki_db, 'wiki') {wiki}
+)"""
+
+
+def latest_cte(src: str = "links_since", name: str = "latest") -> str:
+    return f"""
+{name} AS (
+  SELECT wiki_db, page_id, item_id FROM {src}
+  QUALIFY row_number() OVER (PARTITION BY wiki_db, page_id ORDER BY snapshot DESC, item_id DESC NULLS LAST) = 1
+)"""
+
+
+def joined_cte(views: str = "daily", items: str = "latest", name: str = "joined") -> str:
+    return f"""
+{name} AS (
+  SELECT v.actor, v.ts, v.page_id, v.page_title, v.wiki_db, i.item_id AS qid
+  FROM {views} v JOIN {items} i ON v.page_id = i.page_id AND v.wiki_db = i.wiki_db
+)"""
+
+
+def blacklist_cte(src: str, blacklist_sql: str, name: str = "kept") -> str:
+    return f"""
+{name}_clean AS (SELECT * FROM {src} WHERE ts IS NOT NULL AND page_id IS NOT NULL),
+{name} AS (
+  SELECT * FROM {name}_clean c
+  WHERE NOT EXISTS (SELECT 1 FROM {name}_clean b
+                    WHERE b.actor IS NOT DISTINCT FROM c.actor AND b.qid IN ({blacklist_sql}))
+)"""
+
+
+def first_visits_cte(src: str, name: str = "firsts", keys: str = "page_id") -> str:
     return f"""
 {name} AS (
   SELECT actor, ts, page_id, page_title, wiki_db, qid FROM {src}
   WHERE ts IS NOT NULL AND page_id IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY actor, page_id
-                             ORDER BY ts, page_title, wiki_db, qid NULLS FIRST) = 1
+  QUALIFY row_number() OVER (PARTITION BY actor, {keys} ORDER BY {SEQ_ORDER}) = 1
 )"""
 
 
@@ -103,11 +172,11 @@ def split_cte(src: str, dt_seconds: int, name: str = "split") -> str:
                   OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > {int(dt_seconds) * 1_000_000}
              THEN 1 ELSE 0 END AS is_start
   FROM {src}
-  WINDOW w AS (PARTITION BY actor ORDER BY ts, page_id, page_title, wiki_db, qid NULLS FIRST)
+  WINDOW w AS (PARTITION BY actor ORDER BY {SEQ_ORDER})
 ),
 {name} AS (
-  SELECT *, CAST(sum(is_start) OVER (PARTITION BY actor ORDER BY ts, page_id, page_title, wiki_db, qid NULLS FIRST
-                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS session_no
+  SELECT *, CAST(sum(is_start) OVER (PARTITION BY actor ORDER BY {SEQ_ORDER}
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS session_no
   FROM {name}_gaps
 )"""
 
@@ -116,8 +185,169 @@ def lines_cte(src: str, min_len: int, max_len: int, name: str = "lines") -> str:
     return f"""
 {name} AS (
   SELECT actor, session_no, CAST(count(*) AS INTEGER) AS n_views,
-         string_agg(CAST(page_id AS VARCHAR), ' ' ORDER BY ts, page_id, page_title, wiki_db, qid NULLS FIRST) AS line
+         string_agg(CAST(page_id AS VARCHAR), ' ' ORDER BY {SEQ_ORDER}) AS line
   FROM {src}
   GROUP BY actor, session_no
   HAVING count(*) BETWEEN {min_len} AND {max_len}
 )"""
+
+
+def minimum_slice_sql(dt_seconds: int = 3600, min_len: int = 2, max_len: int = 30) -> str:
+    """Clean -> first visits -> gap split -> length window -> lines on raw views."""
+    return with_(PAGEVIEWS, RAW_VIEWS, first_visits_cte("raw_views"),
+                 split_cte("firsts", dt_seconds), lines_cte("split", min_len, max_len)) + """
+SELECT actor, session_no, n_views, line FROM lines"""
+
+
+def session_chain(p, wiki_db: str | None) -> list[str]:
+    """CTEs from the page views to ``lines`` for the test parameters ``p``."""
+    keys = "page_id" if wiki_db else "wiki_db, page_id"
+    bl = f"SELECT item_id FROM bl_latest WHERE wiki_db = '{p.blacklist_wiki}' AND page_id = {p.blacklist_page}"
+    return [
+        PAGEVIEWS, flat_pageviews_cte(), hour_range_cte("flat_pv", p.start, p.end),
+        pageview_filter_cte("in_range", wiki_db), daily_cte("filtered", *p.n_p),
+        ITEM_LINKS, links_since_cte(p.item_since, wiki_db), latest_cte(),
+        links_since_cte(p.item_since, None, "bl_links"), latest_cte("bl_links", "bl_latest"),
+        joined_cte(), blacklist_cte("joined", bl), first_visits_cte("kept", keys=keys),
+        split_cte("firsts", p.dt), lines_cte("split", *p.length),
+    ]
+
+
+def pairs_cte(seed: str, src: str = "lines", name: str = "pairs") -> str:
+    key = f"coalesce(actor, '') || '|' || CAST(session_no AS VARCHAR) || '|' || '{seed}'"
+    idx = f"({md5int(key)} % (n_views - 1))"
+    return f"""
+{name}_idx AS (
+  SELECT actor, session_no, string_split(line, ' ') AS ids, {idx} AS i FROM {src} WHERE n_views >= 2
+),
+{name} AS (
+  SELECT actor, session_no, CAST(ids[i + 1] AS BIGINT) AS src, CAST(ids[i + 2] AS BIGINT) AS trg FROM {name}_idx
+)"""
+
+
+# ------------------------------------------------------------ graph
+def graph_ctes(wiki_db: str, snapshot: str) -> list[str]:
+    """CTEs ``g_pages, g_rd, g_content, g_links, g_edges, g_endpoints`` of one wiki snapshot."""
+    sel = f"wiki_db = '{wiki_db}' AND snapshot = '{snapshot}'"
+    return [GRAPH_TABLES, f"""
+g_pages AS (
+  SELECT page_id, page_title, page_is_redirect FROM page_t WHERE {sel} AND page_namespace = 0
+),
+g_rd AS (
+  SELECT r.rd_from, p.page_id AS rd_to
+  FROM redirect_t r JOIN g_pages p ON p.page_title = r.rd_title
+  WHERE r.{sel.replace(" AND snapshot", " AND r.snapshot")} AND r.rd_namespace = 0
+),
+g_content AS (
+  SELECT pl_from AS page_id_from, pl_title AS page_title FROM pagelinks_t l
+  WHERE {sel} AND pl_from_namespace = 0 AND pl_namespace = 0
+    AND NOT EXISTS (SELECT 1 FROM g_rd r WHERE r.rd_from = l.pl_from)
+),
+g_links AS (
+  SELECT c.page_id_from, p.page_id AS page_id_to FROM g_content c JOIN g_pages p ON p.page_title = c.page_title
+),
+g_edges AS (
+  SELECT DISTINCT l.page_id_from, coalesce(r.rd_to, l.page_id_to) AS page_id_to
+  FROM g_links l LEFT JOIN g_rd r ON l.page_id_to = r.rd_from
+),
+g_endpoints AS (
+  SELECT page_id_from AS page_id FROM g_edges UNION SELECT page_id_to AS page_id FROM g_edges
+)"""]
+
+
+# ------------------------------------------------------------ text
+LEAD = r"""
+lead AS (
+  SELECT page_id,
+         trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(<h2|</article>)', 1),
+                                            '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS text
+  FROM pages
+)"""
+
+
+def word_count_cte(src: str, id_col: str, text_col: str, name: str) -> str:
+    return rf"""
+{name}_tok AS (
+  SELECT {id_col} AS page_id, unnest(regexp_split_to_array(lower({text_col}), '[^\p{{L}}]+')) AS word FROM {src}
+),
+{name} AS (
+  SELECT page_id, word, count(*) AS n FROM {name}_tok WHERE length(word) >= 1 GROUP BY page_id, word
+)"""
+
+
+def text_vector_ctes(src: str = "lead", name: str = "tvec", rounded: bool = True) -> list[str]:
+    val = "round(sum(c.n * u.x) / sum(c.n), 6)" if rounded else "sum(c.n * u.x) / sum(c.n)"
+    return [word_count_cte(src, "page_id", "text", f"{name}_counts"), f"""
+{name}_vocab AS (
+  SELECT DISTINCT word FROM {name}_counts WHERE length(word) >= 3
+),
+{name}_wv AS (
+  SELECT v.word, CAST(e.embedding AS DOUBLE[]) AS vector
+  FROM {name}_vocab v JOIN embeddings e ON e.vec_id = {md5int('v.word')} % 500
+  WHERE e.vec_id < 500
+),
+{name}_dims AS (
+  SELECT word, unnest(generate_series(1, len(vector))) AS dim, unnest(vector) AS x FROM {name}_wv
+),
+{name}_unit AS (
+  SELECT word, dim, x / sqrt(sum(x * x) OVER (PARTITION BY word)) AS x
+  FROM {name}_dims
+  QUALIFY sum(x * x) OVER (PARTITION BY word) > 0
+),
+{name}_mean AS (
+  SELECT c.page_id, u.dim, {val} AS m
+  FROM {name}_counts c JOIN {name}_unit u ON u.word = c.word
+  GROUP BY c.page_id, u.dim
+),
+{name} AS (
+  SELECT page_id, list(m ORDER BY dim) AS vector FROM {name}_mean GROUP BY page_id
+)"""]
+
+
+def mlt_ctes(k: int, max_terms: int = 25, sources_sql: str | None = None, name: str = "mlt") -> list[str]:
+    src_filter = f"WHERE doc_id IN ({sources_sql})" if sources_sql else ""
+    return [word_count_cte("documents", "doc_id", "text", f"{name}_counts"), f"""
+{name}_n AS (SELECT CAST(count(*) AS DOUBLE) AS n_docs FROM documents),
+{name}_df AS (SELECT word, count(*) AS df FROM {name}_counts GROUP BY word),
+{name}_w0 AS (
+  SELECT c.page_id AS doc_id, c.word AS term, round(c.n * ln(n.n_docs / d.df), 9) AS weight
+  FROM {name}_counts c JOIN {name}_df d ON d.word = c.word CROSS JOIN {name}_n n
+),
+{name}_w AS (SELECT * FROM {name}_w0 WHERE weight > 0),
+{name}_q AS (
+  SELECT doc_id AS src, term, weight AS w_src FROM {name}_w {src_filter}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= {max_terms}
+),
+{name}_scored AS (
+  SELECT q.src, p.doc_id AS nn, round(sum(q.w_src * p.weight), 6) AS score
+  FROM {name}_q q JOIN {name}_w p ON p.term = q.term
+  WHERE p.doc_id <> q.src
+  GROUP BY q.src, p.doc_id
+),
+{name} AS (
+  SELECT src, nn, score, CAST(row_number() OVER (PARTITION BY src ORDER BY score DESC, nn) AS INTEGER) AS rank
+  FROM {name}_scored
+  QUALIFY rank <= {k}
+)"""]
+
+
+def vector_nn_ctes(k: int, sources_sql: str | None = None, name: str = "vnn") -> list[str]:
+    src_filter = f"WHERE a.page_id IN ({sources_sql})" if sources_sql else ""
+    return [f"""
+{name}_u AS (
+  SELECT vec_id AS page_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+),
+{name}_unit AS (
+  SELECT page_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u
+  FROM {name}_u WHERE list_sum(list_transform(v, lambda y: y * y)) > 0
+),
+{name}_pairs AS (
+  SELECT a.page_id AS src, b.page_id AS nn,
+         round(list_sum(list_transform(list_zip(a.u, b.u), lambda z: z[1] * z[2])), 9) AS score
+  FROM {name}_unit a JOIN {name}_unit b ON a.page_id <> b.page_id {src_filter}
+),
+{name} AS (
+  SELECT src, nn, score, CAST(row_number() OVER (PARTITION BY src ORDER BY score DESC, nn) AS INTEGER) AS rank
+  FROM {name}_pairs
+  QUALIFY rank <= {k}
+)"""]

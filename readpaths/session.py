@@ -33,6 +33,7 @@ def get_spark(master: str | None = None, app_name: str = "readpaths",
         SparkSession.builder.appName(app_name)
         .master(master or os.environ.get("SPARK_MASTER", "local[8]"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
     )
