@@ -104,9 +104,16 @@ def vector_norm(v: ColumnOrName) -> Column:
 
 
 def unit_vector(v: ColumnOrName) -> Column:
-    """``v / |v|`` as array<double>; NULL when the norm is 0."""
-    n = vector_norm(v)
-    return F.when(n > 0, F.transform(_col(v), lambda x: x.cast("double") / n))
+    """``v / |v|`` as array<double>; NULL when the norm is 0.
+
+    The norm is computed once: ``aggregate`` carries the squared sum and
+    the original array, and the finish step scales the array.
+    """
+    acc0 = F.struct(F.lit(0.0).cast("double").alias("ss"), _col(v).alias("v"))
+    return F.aggregate(
+        _col(v), acc0,
+        lambda acc, x: F.struct((acc["ss"] + x.cast("double") * x.cast("double")).alias("ss"), acc["v"].alias("v")),
+        lambda acc: F.when(acc["ss"] > 0, F.transform(acc["v"], lambda x: x.cast("double") / F.sqrt(acc["ss"]))))
 
 
 def dot(a: ColumnOrName, b: ColumnOrName) -> Column:

@@ -15,32 +15,41 @@ the cosine of every member of ``c``.
   can reach ``s_k``.
 
 If pass 1 finds fewer than ``k`` candidates, pass 2 searches every
-cluster.  The centres are a literal array in the plan, bounded by
-``max_clusters``; the cluster statistics come back to the driver as that
-many rows.  Everything else is joins on the cluster id and built-in
-array expressions.
+cluster.  Scoring is a matrix product per block: the members of a cluster
+are cut into blocks of at most ``block`` vectors and the sources probing
+it into blocks of at most ``block`` sources, so no group grows with the
+data, however uneven the clusters are.  Each block returns only its
+local top-k per source.  The centres are a literal array in the plan,
+bounded by ``max_clusters``; per-cluster statistics reach the driver as
+that many rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readpaths.functions.columns import dot, unit_vector
 from readpaths.operators.neighbors import top_k
 
 DEFAULT_K = 100
 MAX_CLUSTERS = 256
-BOUND_SLACK = 1e-7   # covers the 9-digit rounding of scores and float error of the bound
+BLOCK = 2048          # vectors (and sources) per scoring block
+BOUND_SLACK = 1e-7    # covers the 9-digit rounding of scores and float error of the bound
+SCORE_SCHEMA = "src long, nn long, score double"
 
 
 def unit_vectors(vectors: DataFrame, id_col: str = "page_id", vec_col: str = "vector") -> DataFrame:
-    """``page_id, u``: vectors scaled to length 1 (zero vectors dropped)."""
-    return (vectors.select(F.col(id_col).alias("page_id"), unit_vector(vec_col).alias("u"))
-            .where(F.col("u").isNotNull()))
+    """``page_id, u``: vectors scaled to length 1 as array<double> (zero vectors dropped)."""
+    feats = vectors.select(F.col(id_col).alias("page_id"), array_to_vector(vec_col).alias("_v"))
+    unit = Normalizer(p=2.0, inputCol="_v", outputCol="_u").transform(feats)
+    u = vector_to_array("_u")
+    return unit.select("page_id", u.alias("u")).where(F.exists("u", lambda x: x != 0))
 
 
 def _dist(a: Column, b: Column) -> Column:
@@ -48,13 +57,62 @@ def _dist(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(sq, F.lit(0.0).cast("double"), lambda acc, x: acc + x))
 
 
-def _score(a: Column, b: Column) -> Column:
-    return F.round(dot(a, b), 9)
+def _block_top_k(k: int):
+    """Per block: all source x member cosines, rounded, local top-k per source."""
+
+    def score(_key, q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or m.empty:
+            return pd.DataFrame({"src": pd.Series([], dtype="int64"), "nn": pd.Series([], dtype="int64"),
+                                 "score": pd.Series([], dtype="float64")})
+        qs = q["src"].to_numpy(np.int64)
+        ms = m["nn"].to_numpy(np.int64)
+        s = np.round(np.stack(q["u_src"].to_numpy()) @ np.stack(m["u_nn"].to_numpy()).T, 9)
+        s[qs[:, None] == ms[None, :]] = -np.inf
+        out_src, out_nn, out_s = [], [], []
+        kk = min(k, len(ms))
+        for i in range(len(qs)):
+            row = s[i]
+            # order: score descending, then member id ascending
+            idx = np.lexsort((ms, -row))[:kk]
+            idx = idx[np.isfinite(row[idx])]
+            out_src.append(np.full(len(idx), qs[i], np.int64))
+            out_nn.append(ms[idx])
+            out_s.append(row[idx])
+        return pd.DataFrame({"src": np.concatenate(out_src), "nn": np.concatenate(out_nn),
+                             "score": np.concatenate(out_s)})
+
+    return score
+
+
+def _blocked_candidates(probe: DataFrame, members: DataFrame, k: int, block: int,
+                        m_counts: dict | None = None) -> DataFrame:
+    """Score every (source, member) pair of the probed clusters in bounded blocks.
+
+    ``probe``: ``src, u_src, c``; ``members``: ``nn, u_nn, c``.  Block counts
+    per cluster come from one small aggregate (one row per cluster).
+    """
+    if m_counts is None:
+        m_counts = {r["c"]: r["n"] for r in members.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    q_counts = {r["c"]: r["n"] for r in probe.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_c = max([*m_counts, *q_counts, 0]) + 1
+    m_blocks = F.array(*[F.lit(int(-(-m_counts.get(i, 0) // block)) or 1) for i in range(n_c)])
+    q_blocks = F.array(*[F.lit(int(-(-q_counts.get(i, 0) // block)) or 1) for i in range(n_c)])
+    nmb = F.element_at(m_blocks, F.col("c") + 1)
+    nqb = F.element_at(q_blocks, F.col("c") + 1)
+    # members: own block by id hash, copied to every source block of the cluster
+    mm = (members.withColumn("mb", F.pmod(F.xxhash64("nn"), nmb.cast("long")))
+          .withColumn("qb", F.explode(F.sequence(F.lit(0), nqb - 1))))
+    qq = (probe.withColumn("qb", F.pmod(F.xxhash64("src"), nqb.cast("long")))
+          .withColumn("mb", F.explode(F.sequence(F.lit(0), nmb - 1))))
+    return (qq.select("c", "mb", "qb", "src", "u_src").groupBy("c", "mb", "qb")
+            .cogroup(mm.select("c", "mb", "qb", "nn", "u_nn").groupBy("c", "mb", "qb"))
+            .applyInPandas(_block_top_k(k), SCORE_SCHEMA))
 
 
 def vector_neighbors(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame | None = None,
                      id_col: str = "page_id", vec_col: str = "vector", n_clusters: int | None = None,
-                     max_clusters: int = MAX_CLUSTERS, seed: int = 1, max_iter: int = 10) -> DataFrame:
+                     max_clusters: int = MAX_CLUSTERS, block: int = BLOCK, seed: int = 1,
+                     max_iter: int = 10) -> DataFrame:
     """Top-``k`` vectors by cosine for each source: ``src, nn, score, rank``.
 
     ``sources`` (first column = id) restricts the sources; default is every
@@ -63,7 +121,6 @@ def vector_neighbors(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame
     units = unit_vectors(vectors, id_col, vec_col).persist(StorageLevel.MEMORY_AND_DISK)
     n_rows = units.count()
     if n_rows == 0:
-        units.unpersist()
         return vectors.sparkSession.createDataFrame([], "src long, nn long, score double, rank int")
     if n_clusters is None:
         n_clusters = n_rows // (2 * (k + 1))
@@ -80,13 +137,14 @@ def vector_neighbors(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame
         assigned = units.withColumn("c", F.lit(0))
     n_c = len(centers)
     center_arr = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centers])
-    members = assigned.select("page_id", "u", F.col("c").cast("int").alias("c"))
-    members = members.withColumn("_r", _dist(F.col("u"), F.element_at(center_arr, F.col("c") + 1)))
+    members = (assigned.select("page_id", "u", F.col("c").cast("int").alias("c"))
+               .withColumn("_r", _dist(F.col("u"), F.element_at(center_arr, F.col("c") + 1)))
+               .persist(StorageLevel.MEMORY_AND_DISK))
     stats = {r["c"]: (r["radius"], r["size"]) for r in
              members.groupBy("c").agg(F.max("_r").alias("radius"), F.count(F.lit(1)).alias("size")).collect()}
     members = members.select(F.col("page_id").alias("nn"), F.col("u").alias("u_nn"), "c")
 
-    # One struct per cluster: (distance to centre, id, cosine bound, size), nearest first.
+    # One struct per cluster, nearest centre first: (distance, id, cosine bound, size).
     info = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(float(stats.get(i, (0.0, 0))[0])).alias("radius"),
                               F.lit(int(stats.get(i, (0.0, 0))[1])).alias("size")) for i in range(n_c)])
     queries = units if sources is None else units.join(
@@ -104,13 +162,9 @@ def vector_neighbors(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame
         .otherwise(acc))
     q = q.withColumn("_first", pick["ids"]).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def candidates(probe: DataFrame) -> DataFrame:
-        return (probe.join(members, "c")
-                .where(F.col("nn") != F.col("src"))
-                .select("src", "nn", _score(F.col("u_src"), F.col("u_nn")).alias("score")))
-
-    first = candidates(q.select("src", "u_src", F.explode("_first").alias("c")))
-    first_top = top_k(first, "src", "score", "nn", k)
+    sizes = {c: n for c, (_, n) in stats.items()}
+    first = _blocked_candidates(q.select("src", "u_src", F.explode("_first").alias("c")), members, k, block, sizes)
+    first_top = top_k(first, "src", "score", "nn", k).persist(StorageLevel.MEMORY_AND_DISK)
     kth = (first_top.groupBy("src")
            .agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
            .select("src", F.when(F.col("_n") >= k, F.col("_kth")).otherwise(F.lit(-2.0)).alias("_kth")))
@@ -120,6 +174,6 @@ def vector_neighbors(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame
                     .where(~F.array_contains("_first", F.col("_p.c")))
                     .where(F.col("_p.ub") >= F.col("_kth") - BOUND_SLACK)
                     .select("src", "u_src", F.col("_p.c").alias("c")))
-    second = candidates(second_probe)
+    second = _blocked_candidates(second_probe, members, k, block, sizes)
     both = first_top.select("src", "nn", "score").unionByName(second)
     return top_k(both, "src", "score", "nn", k).select("src", "nn", "score", "rank")
