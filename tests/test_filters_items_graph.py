@@ -1,0 +1,150 @@
+"""Filters, item map and graph operators on hand-made frames."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from readpaths.functions.columns import normalize_wiki
+from readpaths.operators import filters as flt
+from readpaths.operators import graph as gr
+from readpaths.operators import items as it
+
+PV_SCHEMA = ("actor string, year int, month int, day int, hour int, is_pageview boolean, agent_type string, "
+             "access_method string, normalized_host struct<project_family:string,project:string>, "
+             "namespace_id int, page_id long, ts timestamp, pageview_info map<string,string>")
+
+
+def pv(actor="a", y=2024, m=1, d=3, h=5, is_pv=True, agent="user", access="desktop",
+       family="wikipedia", project="en", ns=0, page=1):
+    return (actor, y, m, d, h, is_pv, agent, access, (family, project), ns, page,
+            dt.datetime(y, m, d, h, 0, 1), {"page_title": f"page_{page}"})
+
+
+def test_pageview_filters_drop_null_access_method(spark):
+    rows = [pv(page=1), pv(page=2, access=None), pv(page=3, access="mobile app"), pv(page=4, access="mobile web"),
+            pv(page=5, agent="spider"), pv(page=6, is_pv=None), pv(page=7, family="wiktionary"), pv(page=8, ns=1)]
+    out = flt.pageview_filters(spark.createDataFrame(rows, PV_SCHEMA))
+    assert sorted(r["page_id"] for r in out.collect()) == [1, 4]
+    assert {r["wiki_db"] for r in out.collect()} == {"enwiki"}
+
+
+def test_single_wiki_filter(spark):
+    rows = [pv(page=1, project="en"), pv(page=2, project="simple")]
+    out = flt.pageview_filters(spark.createDataFrame(rows, PV_SCHEMA), wiki_db="simple")
+    assert [r["page_id"] for r in out.collect()] == [2]
+
+
+def test_hour_range_is_half_open(spark):
+    rows = [pv(d=2, h=23, page=1), pv(d=3, h=0, page=2), pv(d=4, h=23, page=3), pv(d=5, h=0, page=4)]
+    out = flt.hour_range_filter(spark.createDataFrame(rows, PV_SCHEMA), "2024-01-03", "2024-01-05")
+    assert sorted(r["page_id"] for r in out.collect()) == [2, 3]
+    out = flt.hour_range_filter(spark.createDataFrame(rows, PV_SCHEMA), "2024-01-03-00", "2024-01-04-23")
+    assert sorted(r["page_id"] for r in out.collect()) == [2]
+
+
+def test_daily_volume_filter_per_day_and_null_actor(spark):
+    rows = ([pv(actor="a", d=3, page=i) for i in range(3)] + [pv(actor="a", d=4, page=9)]
+            + [pv(actor=None, d=3, page=i) for i in range(2)])
+    df = spark.createDataFrame(rows, PV_SCHEMA)
+    out = flt.daily_volume_filter(df, 1, 2)
+    got = sorted(((r["actor"], r["day"], r["page_id"]) for r in out.collect()), key=repr)
+    # actor a's heavy day 3 goes, day 4 stays; the two NULL-actor views count as one group
+    assert got == sorted([("a", 4, 9), (None, 3, 0), (None, 3, 1)], key=repr)
+
+
+def test_time_range_needs_both_bounds():
+    with pytest.raises(ValueError):
+        flt.resolve_time_range("2024-01-01", None)
+    s, e = flt.resolve_time_range()
+    assert (e - s).days == 8
+
+
+def test_normalize_wiki():
+    assert normalize_wiki("en") == "enwiki"
+    assert normalize_wiki("enwiki") == "enwiki"
+    assert normalize_wiki("wikidata") == "wikidatawiki"
+    assert normalize_wiki(None) is None
+
+
+LINK_SCHEMA = "wiki_db string, page_id long, snapshot string, item_id string"
+
+
+def test_latest_item_snapshot_tie_and_null(spark):
+    rows = [("enwiki", 1, "2020-07-01", "Q1"), ("enwiki", 1, "2020-08-01", "Q2"),
+            ("enwiki", 2, "2020-08-01", "Q3"), ("enwiki", 2, "2020-08-01", "Q4"),   # tie -> larger id
+            ("enwiki", 3, "2020-08-01", None), ("enwiki", 3, "2020-07-01", "Q5"),   # latest is NULL
+            ("enwiki", 4, "2020-06-01", "Q6"),                                       # too old
+            ("enwikisource", 5, "2020-08-01", "Q7")]                                 # not a wiki
+    out = it.latest_item(spark.createDataFrame(rows, LINK_SCHEMA))
+    assert sorted((r["page_id"], r["item_id"]) for r in out.collect()) == [(1, "Q2"), (2, "Q4"), (3, None)]
+
+
+def test_views_without_item_vanish(spark):
+    v = spark.createDataFrame([(1, "enwiki", "a"), (2, "enwiki", "b"), (1, "simplewiki", "c")],
+                              "page_id long, wiki_db string, actor string")
+    items = spark.createDataFrame([("enwiki", 1, "Q1")], "wiki_db string, page_id long, item_id string")
+    assert [r["actor"] for r in it.views_with_item(v, items).collect()] == ["a"]
+
+
+# ---------------------------------------------------------------- graph
+def graph_frames(spark):
+    page = spark.createDataFrame([
+        ("wwiki", "s", 1, "A", 0, False), ("wwiki", "s", 2, "B", 0, True), ("wwiki", "s", 3, "C", 0, True),
+        ("wwiki", "s", 4, "D", 0, False), ("wwiki", "s", 5, "E", 0, True), ("wwiki", "s", 6, "F", 1, False),
+        ("wwiki", "s", 7, "G", 0, False),
+    ], "wiki_db string, snapshot string, page_id long, page_title string, page_namespace int, "
+       "page_is_redirect boolean")
+    redirect = spark.createDataFrame([
+        ("wwiki", "s", 2, "C", 0),     # B -> C, and C is itself a redirect (double redirect)
+        ("wwiki", "s", 3, "D", 0),     # C -> D
+        ("wwiki", "s", 5, "Z", 0),     # E -> missing page
+        ("wwiki", "s", 9, "A", 1),     # other namespace
+    ], "wiki_db string, snapshot string, rd_from long, rd_title string, rd_namespace int")
+    links = spark.createDataFrame([
+        ("wwiki", "s", 1, "B", 0, 0),   # A -> B, resolved one hop to C
+        ("wwiki", "s", 1, "C", 0, 0),   # A -> C, resolved to D
+        ("wwiki", "s", 4, "C", 0, 0),   # D -> C -> D: self loop after resolution
+        ("wwiki", "s", 2, "A", 0, 0),   # from a redirect: dropped
+        ("wwiki", "s", 5, "A", 0, 0),   # from a redirect with missing target: kept
+        ("wwiki", "s", 1, "Q", 0, 0),   # dangling
+        ("wwiki", "s", 8, "G", 0, 0),   # source id not a page: kept
+        ("wwiki", "s", 7, "A", 1, 0),   # source namespace 1
+    ], "wiki_db string, snapshot string, pl_from long, pl_title string, pl_from_namespace int, pl_namespace int")
+    items = spark.createDataFrame([("wwiki", 1, "2020-08-01", "Q1"), ("wwiki", 4, "2020-08-01", "Q4")], LINK_SCHEMA)
+    return page, redirect, links, items
+
+
+def test_graph_edges_quirks(spark):
+    page, redirect, links, _ = graph_frames(spark)
+    edges = gr.graph_edges(page, redirect, links, "w", "s")
+    got = sorted((r["page_id_from"], r["page_id_to"]) for r in edges.collect())
+    assert got == [(1, 3), (1, 4), (4, 4), (5, 1), (8, 7)]
+
+
+def test_graph_nodes_with_items(spark):
+    from readpaths.plans import jobs
+
+    page, redirect, links, items = graph_frames(spark)
+    edges, nodes = jobs.graph_job(page, redirect, links, items, "w", "s", item_since="2020-01-01")
+    got = sorted((r["page_id"], r["page_title"], r["item_id"]) for r in nodes.collect())
+    # 8 is an edge source but not a page: no node
+    assert got == [(1, "A", "Q1"), (3, "C", None), (4, "D", "Q4"), (5, "E", None), (7, "G", None)]
+
+
+def test_title_lookup_missing_is_empty(spark):
+    page, *_ = graph_frames(spark)
+    pages = gr.main_namespace_pages(page, "w", "s")
+    ids = spark.createDataFrame([(1,), (42,)], "page_id long")
+    got = sorted((r["page_id"], r["page_title"]) for r in gr.title_lookup(ids, pages).collect())
+    assert got == [(1, "A"), (42, "")]
+
+
+def test_run_graph_writes_and_reads_back(spark, tmp_dir):
+    from readpaths.plans import jobs
+
+    page, redirect, links, items = graph_frames(spark)
+    e_path, n_path = jobs.run_graph(spark, page, redirect, links, items, tmp_dir, "w", "s", item_since="2020-01-01")
+    assert e_path.endswith("graph_wwiki_s_edges.parquet")
+    assert spark.read.parquet(e_path).count() == 5
+    assert spark.read.parquet(n_path).where(F.col("item_id").isNotNull()).count() == 2
