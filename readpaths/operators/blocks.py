@@ -1,0 +1,44 @@
+"""Equi-joins whose hot keys are cut into bounded cells.
+
+A many-to-many join on a key with ``n_l`` left and ``n_r`` right rows makes
+``n_l * n_r`` output rows inside one task, however the data is
+partitioned -- a common term of a posting list is such a key.  Here each
+key is cut into ``ceil(n_l / block) x ceil(n_r / block)`` cells: a left row
+goes to one left block (hash of its id) and is copied to every right
+block of its key, and the other way round.  Each cell then holds at most
+``block`` rows per side, so every task does bounded work and the cells of
+one hot key spread over the cluster.  The output is the same set of
+pairs.  Keys with few rows keep a single cell (no copies).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_BLOCK = 1024
+
+
+def blocked_pairs(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str,
+                  block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Inner join of ``left`` and ``right`` on ``key``, computed in bounded cells.
+
+    ``left_id`` / ``right_id`` spread a key's rows over its blocks.  The
+    per-key row counts are partially aggregated group-bys; keys missing on
+    either side are dropped before any copy is made.
+    """
+    nl = left.groupBy(key).agg(F.count(F.lit(1)).alias("_nl"))
+    nr = right.groupBy(key).agg(F.count(F.lit(1)).alias("_nr"))
+    cells = nl.join(nr, key).select(
+        key,
+        F.ceil(F.col("_nl") / F.lit(block)).cast("long").alias("_lb"),
+        F.ceil(F.col("_nr") / F.lit(block)).cast("long").alias("_rb"))
+    lc = (left.join(cells, key)
+          .withColumn("_lblk", F.pmod(F.xxhash64(left_id), F.col("_lb")))
+          .withColumn("_rblk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rb") - 1)))
+          .drop("_lb", "_rb"))
+    rc = (right.join(cells, key)
+          .withColumn("_rblk", F.pmod(F.xxhash64(right_id), F.col("_rb")))
+          .withColumn("_lblk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lb") - 1)))
+          .drop("_lb", "_rb"))
+    return lc.join(rc, [key, "_lblk", "_rblk"]).drop("_lblk", "_rblk")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readpaths.functions.columns import md5int
+from readpaths.sources.tables import spread
 
 # Fixed values of the fixture rules (FIXTURES.md):
 #   page id carried in events.props as JSON field "k"
@@ -134,13 +135,13 @@ def pagelinks_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw web pages: ``page_id, url, html``."""
-    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    """Raw web pages: ``page_id, url, html`` (spread over the cores, see ``spread``)."""
+    return spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document corpus for text search: ``doc_id, text`` (doc_id is the page id)."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def page_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
