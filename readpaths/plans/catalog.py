@@ -29,7 +29,7 @@ from readpaths.operators import sessions as ss
 from readpaths.operators import text as tx
 from readpaths.operators import vectors as vn
 from readpaths.plans import jobs
-from readpaths.session import checkpoint_dir
+from readpaths.session import checkpoint_dir, ensure_conf
 from readpaths.sinks import writers as wr
 from readpaths.sources import fixtures as fx
 from readpaths.sources import tables as tb
@@ -326,8 +326,20 @@ def q_session_vectors(spark, d):
     return models.session_vectors(_sessions(spark, d), vector_size=16, seed=int(P.seed))
 
 
+def _with_conf(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Pin the session settings the operators rely on (UTC zone, AQE) before planning."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ensure_conf(spark)
+        return fn(spark, sf_dir)
+
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)
+    name[2:]: _with_conf(fn) for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)
 }
 
 
