@@ -44,7 +44,21 @@ def hour_range_filter(df: DataFrame, start, end) -> DataFrame:
     partitioned table is pruned before any file is opened.
     """
     t = hour_start()
-    return df.where((t >= to_utc_timestamp_lit(start)) & (t < to_utc_timestamp_lit(end)))
+    out = df.where((t >= to_utc_timestamp_lit(start)) & (t < to_utc_timestamp_lit(end)))
+    years = _year_bounds(start, end)
+    if years is not None:
+        # plain comparisons on the partition column: a metastore can prune on them
+        out = out.where(F.col("year").between(*years))
+    return out
+
+
+def _year_bounds(start, end) -> tuple[int, int] | None:
+    try:
+        y0 = start.year if hasattr(start, "year") else int(str(start)[:4])
+        y1 = end.year if hasattr(end, "year") else int(str(end)[:4])
+    except ValueError:
+        return None
+    return y0, y1
 
 
 def pageview_filters(df: DataFrame, wiki_db: str | None = None,

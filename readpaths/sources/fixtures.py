@@ -37,7 +37,11 @@ def _page_key(props: str = "props") -> Column:
 
 def pageviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page-view log in the shape of the page-view actor table (§1)."""
-    ev = table(spark, sf_dir, "events")
+    return pageviews_from_events(table(spark, sf_dir, "events"))
+
+
+def pageviews_from_events(ev: DataFrame) -> DataFrame:
+    """The page-view shape of ``events`` rows (batch or streaming frame)."""
     k = _page_key()
     eid = F.col("event_id")
     et = F.col("event_type")

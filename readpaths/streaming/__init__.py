@@ -1,0 +1,14 @@
+"""Streaming entry points.
+
+The reference is batch only (no stream source, watermark or state).  The
+one streaming helper here runs the *batch* sessions job on each
+micro-batch of newly arrived page-view files, so a directory that
+receives one file set per day (or per run window) can be processed
+incrementally with exactly-once file tracking from the checkpoint.
+Sessions never span two micro-batches, as they never span two runs of
+the reference job.
+"""
+
+from readpaths.streaming.sessions import start_session_stream
+
+__all__ = ["start_session_stream"]

@@ -123,3 +123,21 @@ def test_run_reading_sessions_writes_gzip(spark, tmp_dir):
     lines = spark.read.text(path)
     assert lines.count() > 0
     assert lines.where(F.col("value").rlike("^[0-9]+( [0-9]+)+$")).count() == lines.count()
+
+
+def test_session_stream_matches_batch(spark, tmp_dir):
+    from readpaths.plans import jobs
+    from readpaths.sources import fixtures as fx
+    from readpaths.streaming import start_session_stream
+
+    d = "/root/testdata/sf0.001"
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    out, ckpt = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ckpt")
+    kw = dict(wiki_db="enwiki", item_since="2000-01-01", n_p_max=3)
+    q = start_session_stream(spark, d, schema, fx.item_links(spark, d), out, ckpt, "2024-01-01", "2024-02-01",
+                             prepare=fx.pageviews_from_events, glob="events.parquet", **kw)
+    q.awaitTermination()
+    streamed = sorted(r["value"] for r in spark.read.text(f"{out}/batch=*").collect())
+    batch = jobs.reading_sessions_job(fx.pageviews(spark, d), fx.item_links(spark, d), "2024-01-01", "2024-02-01", **kw)
+    assert streamed == sorted(r["line"] for r in batch.collect())
+    assert len(streamed) > 0
