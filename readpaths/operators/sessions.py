@@ -9,7 +9,9 @@ Here every step is a grouped aggregate or a join, so that no step needs
 an actor's whole history in one task (a heavy reader -- or the NULL
 actor, which is one group -- may hold a large share of all views):
 
-* H1 blacklist  -> distinct blacklisted actors, NULL-safe anti join
+* H1 blacklist  -> a per-view flag, carried through the dedupe aggregate
+                   and turned into an actor-level drop on the bucket table
+                   (``blacklist_actors`` is the stand-alone anti-join form)
 * H3 dedupe     -> ``min(struct(ts, ...))`` per (actor, page): partial agg
 * H4 split      -> per (actor, dt-wide time bucket) count/min/max, then a
                    running sum over the *bucket* table (a few rows per
@@ -89,20 +91,24 @@ def blacklist_actors(views: DataFrame, blacklist=DEFAULT_BLACKLIST) -> DataFrame
     return null_safe_semi(views, bad, ["actor"], how="left_anti")
 
 
-def first_visits(views: DataFrame, keys=("page_id",)) -> DataFrame:
+def first_visits(views: DataFrame, keys=("page_id",), flag: str | None = None) -> DataFrame:
     """Keep the first view of each page per actor, over the actor's whole
     sequence (H3; the reference key ignores the wiki, Q8).
 
     ``min(struct)`` over the sequence order picks exactly the view the
-    reference keeps, as a partially aggregated group-by.
+    reference keeps, as a partially aggregated group-by.  With ``flag`` (a
+    boolean column of ``views``) the kept row carries whether *any* view
+    of that page was flagged.
     """
-    first = F.min(view_struct()).alias("_v")
-    return (views.groupBy("actor", *keys).agg(first)
-            .select("actor", *[F.col(f"_v.{c}").alias(c) for c in SEQ_FIELDS]))
+    aggs = [F.min(view_struct()).alias("_v")]
+    if flag:
+        aggs.append(F.max(F.col(flag)).alias(flag))
+    return (views.groupBy("actor", *keys).agg(*aggs)
+            .select("actor", *[F.col(f"_v.{c}").alias(c) for c in SEQ_FIELDS], *([flag] if flag else [])))
 
 
 def _bucket_sessions(views: DataFrame, dt_seconds: int, min_length: int | None,
-                     max_length: int | None) -> DataFrame:
+                     max_length: int | None, drop_flag: str | None = None) -> DataFrame:
     """Session number per (actor, time bucket), with session lengths.
 
     Buckets are ``dt`` wide, so two views of one bucket are less than
@@ -111,12 +117,19 @@ def _bucket_sessions(views: DataFrame, dt_seconds: int, min_length: int | None,
     bucket is more than ``dt`` earlier.
     """
     dt_us = int(dt_seconds) * 1_000_000
+    aggs = [F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi")]
+    if drop_flag:
+        aggs.append(F.max(F.col(drop_flag)).alias("_drop"))
     per_bucket = (
-        views.select("actor", epoch_micros("ts").alias("_us"))
+        views.select("actor", epoch_micros("ts").alias("_us"), *([drop_flag] if drop_flag else []))
         .withColumn("_b", bucket_of("_us", dt_us))
         .groupBy("actor", "_b")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
+        .agg(*aggs)
     )
+    if drop_flag:
+        # actor-level: one flagged view anywhere drops every bucket of the actor
+        per_bucket = (per_bucket.withColumn("_drop", F.max("_drop").over(Window.partitionBy("actor")))
+                      .where(~F.col("_drop")).drop("_drop"))
     by_time = Window.partitionBy("actor").orderBy("_b")
     prev_hi = F.lag("_hi").over(by_time)
     starts = per_bucket.withColumn(
@@ -134,7 +147,8 @@ def _bucket_sessions(views: DataFrame, dt_seconds: int, min_length: int | None,
 
 
 def gap_sessions(views: DataFrame, dt_seconds: int = DEFAULT_DT_SECONDS,
-                 min_length: int | None = None, max_length: int | None = None) -> DataFrame:
+                 min_length: int | None = None, max_length: int | None = None,
+                 drop_flag: str | None = None) -> DataFrame:
     """Split each actor's views into sessions at gaps longer than ``dt`` (H4).
 
     A gap of exactly ``dt`` keeps the session.  Adds ``session_no`` (1, 2,
@@ -142,10 +156,15 @@ def gap_sessions(views: DataFrame, dt_seconds: int = DEFAULT_DT_SECONDS,
     ``session_length``; with ``min_length`` / ``max_length`` only views of
     sessions in that range are returned (H5: too long is dropped, not cut).
     Views must be deduplicated first (H3) for the reference's semantics.
+    With ``drop_flag`` (a boolean column), every view of an actor with a
+    flagged view is dropped -- the blacklist, decided on the small bucket
+    table instead of by a separate anti join.
     """
     dt_us = int(dt_seconds) * 1_000_000
     keyed = views.withColumn("_b", bucket_of(epoch_micros("ts"), dt_us))
-    buckets = _bucket_sessions(views, dt_seconds, min_length, max_length)
+    if drop_flag:
+        keyed = keyed.drop(drop_flag)
+    buckets = _bucket_sessions(views, dt_seconds, min_length, max_length, drop_flag)
     right = buckets.select(F.col("actor").alias("_actor"), F.col("_b").alias("_rb"),
                            "session_no", "session_length")
     joined = keyed.join(right, keyed["actor"].eqNullSafe(right["_actor"]) & (keyed["_b"] == right["_rb"]),
@@ -181,8 +200,24 @@ def reading_sessions(views: DataFrame, dt_seconds: int = DEFAULT_DT_SECONDS,
     whole actor before the split, and the length window is applied last.
     """
     clean = views.where(F.col("ts").isNotNull() & F.col("page_id").isNotNull())
+    flag = None
     if blacklist is not None:
-        clean = blacklist_actors(clean, blacklist)
-    firsts = first_visits(clean, keys=dedupe_keys)
-    split = gap_sessions(firsts, dt_seconds, min_length=min_length, max_length=max_length)
+        clean, flag = flag_blacklisted(clean, blacklist), "_blacklisted"
+    firsts = first_visits(clean, keys=dedupe_keys, flag=flag)
+    split = gap_sessions(firsts, dt_seconds, min_length=min_length, max_length=max_length, drop_flag=flag)
     return session_lines(split, max_length=max_length)
+
+
+def flag_blacklisted(views: DataFrame, blacklist, flag: str = "_blacklisted") -> DataFrame:
+    """Add a boolean ``flag``: the view's item is blacklisted.
+
+    A list is a literal ``IN``; a one-column DataFrame of item ids is
+    de-duplicated and left-joined (broadcast by AQE when it is small).
+    """
+    if isinstance(blacklist, DataFrame):
+        bl = (blacklist.select(F.col(blacklist.columns[0]).alias("_bl_qid")).distinct()
+              .withColumn(flag, F.lit(True)))
+        return (views.join(bl, views["qid"] == bl["_bl_qid"], "left")
+                .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).drop("_bl_qid"))
+    items = list(blacklist)
+    return views.withColumn(flag, F.coalesce(F.col("qid").isin(items), F.lit(False)) if items else F.lit(False))
