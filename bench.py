@@ -39,7 +39,8 @@ def main() -> None:
 
     from readpaths.session import get_spark
 
-    spark = get_spark(master=f"local[{cpus}]", app_name="readpaths-bench", shuffle_partitions=int(cpus))
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", 4 * int(cpus)))
+    spark = get_spark(master=f"local[{cpus}]", app_name="readpaths-bench", shuffle_partitions=parts)
     from readpaths.plans import catalog
 
     qs = catalog.queries()
