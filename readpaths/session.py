@@ -72,3 +72,26 @@ def checkpoint_dir(spark: SparkSession, sub: str | None = None) -> str:
     if sub is None:
         return base
     return f"{base}/{sub}-{uuid.uuid4().hex[:12]}"
+
+
+def scale_conf(input_bytes: int, partition_bytes: int = 256 * 1024 ** 2,
+               max_partitions: int = 100_000) -> dict[str, str]:
+    """Settings sized for an input of ``input_bytes`` (a starting point for a cluster).
+
+    Initial shuffle partitions are sized so that a partition holds about
+    ``partition_bytes`` of the input; AQE then coalesces small ones and
+    splits skewed ones, so the number only needs to be large enough for
+    the biggest stage.  File splits use the same target size.
+    """
+    parts = max(200, min(max_partitions, -(-int(input_bytes) // int(partition_bytes))))
+    size = str(int(partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": size,
+        "spark.sql.session.timeZone": "UTC",
+    }
