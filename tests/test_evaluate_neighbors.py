@@ -149,3 +149,19 @@ def test_vector_neighbors_for_sources_only(spark):
     for r in sorted(out, key=lambda r: (r["src"], r["rank"])):
         got.setdefault(r["src"], []).append(r["nn"])
     assert got == exp
+
+
+@pytest.mark.parametrize("method", ["cells", "pairs"])
+def test_more_like_this_methods_agree_with_brute_force(spark, method):
+    rng = random.Random(11)
+    vocab = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
+    docs = [(i, " ".join(rng.choice(vocab[: rng.randint(4, 36)]) for _ in range(rng.randint(2, 40))))
+            for i in range(60)]
+    docs = [(i, t.replace("w", "")) for i, t in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {}
+    for r in nb.more_like_this(df, k=6, max_terms=5, method=method, source_block=7, doc_block=9,
+                               block=5).orderBy("src", "rank").collect():
+        got.setdefault(r["src"], []).append(r["nn"])
+    exp = {s: v for s, v in brute_mlt(docs, 6, 5).items() if v}
+    assert got == exp
