@@ -123,7 +123,8 @@ def vector_neighbors(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame
     if n_rows == 0:
         return vectors.sparkSession.createDataFrame([], "src long, nn long, score double, rank int")
     if n_clusters is None:
-        n_clusters = n_rows // (2 * (k + 1))
+        # everything fits one scoring block: one exact block, no clustering needed
+        n_clusters = 1 if n_rows <= block else n_rows // (2 * (k + 1))
     n_clusters = int(max(1, min(n_clusters, max_clusters, n_rows)))
 
     if n_clusters > 1:
@@ -164,6 +165,9 @@ def vector_neighbors(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame
 
     sizes = {c: n for c, (_, n) in stats.items()}
     first = _blocked_candidates(q.select("src", "u_src", F.explode("_first").alias("c")), members, k, block, sizes)
+    if n_c == 1:
+        # one cluster: pass 1 already searched every vector
+        return top_k(first, "src", "score", "nn", k).select("src", "nn", "score", "rank")
     first_top = top_k(first, "src", "score", "nn", k).persist(StorageLevel.MEMORY_AND_DISK)
     kth = (first_top.groupBy("src")
            .agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
