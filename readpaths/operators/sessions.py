@@ -179,14 +179,15 @@ def session_lines(sessions: DataFrame, max_length: int = DEFAULT_MAX_LENGTH) ->
     reference's output line.  The collect is bounded: callers pass the
     views of sessions of at most ``max_length`` views (H5).
     """
+    if max_length is None:
+        raise ValueError("session_lines needs max_length: the per-session collect must stay bounded")
     ordered = F.array_sort(F.collect_list(view_struct()))
     out = (sessions.groupBy("actor", "session_no")
            .agg(ordered.alias("_seq"))
            .select("actor", "session_no",
                    F.size("_seq").alias("n_views"),
                    F.transform("_seq", lambda e: e["page_id"]).alias("page_ids")))
-    if max_length is not None:
-        out = out.where(F.col("n_views") <= max_length)
+    out = out.where(F.col("n_views") <= max_length)
     return out.withColumn("line", F.concat_ws(" ", F.transform("page_ids", lambda p: p.cast("string"))))
 
 

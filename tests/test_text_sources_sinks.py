@@ -141,3 +141,34 @@ def test_session_stream_matches_batch(spark, tmp_dir):
     batch = jobs.reading_sessions_job(fx.pageviews(spark, d), fx.item_links(spark, d), "2024-01-01", "2024-02-01", **kw)
     assert streamed == sorted(r["line"] for r in batch.collect())
     assert len(streamed) > 0
+
+
+def test_dump_vectors_job(spark, tmp_dir):
+    from readpaths.plans import jobs
+
+    path = os.path.join(tmp_dir, "zwiki-20200801-pages-articles.xml.bz2")
+    with open(path, "wb") as f:
+        f.write(bz2.compress(DUMP.encode()))
+    wv = spark.createDataFrame([("alpha", [1.0, 0.0]), ("beta", [0.0, 2.0])], "word string, vector array<float>")
+    out = jobs.dump_vectors_job(tb.read_page_dump(spark, tb.dump_paths(tmp_dir, "zwiki", "20200801")), wv).collect()
+    assert [(r["page_id"], [round(x, 6) for x in r["vector"]]) for r in out] == [(1, [0.5, 0.5])]
+
+
+def test_text_search_evaluation_equals_catalog_metrics(spark):
+    from readpaths.plans import catalog as C
+    from readpaths.plans import jobs
+    from readpaths.sources import fixtures as fx
+
+    d = "/root/testdata/sf0.001"
+    got = jobs.text_search_evaluation(C._sessions(spark, d), fx.documents(spark, d), k=C.P.k, seed=C.P.seed)
+    exp = C.q_metrics_by_split(spark, d)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
+
+
+def test_session_lines_refuses_unbounded_collect(spark):
+    from readpaths.operators import sessions as ss
+
+    df = spark.createDataFrame([], "actor string, session_no int, ts timestamp, page_id long, page_title string, "
+                                   "wiki_db string, qid string")
+    with pytest.raises(ValueError):
+        ss.session_lines(df, max_length=None)
