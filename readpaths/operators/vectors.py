@@ -15,7 +15,8 @@ the cosine of every member of ``c``.
   can reach ``s_k``.
 
 If pass 1 finds fewer than ``k`` candidates, pass 2 searches every
-cluster.  Scoring is a matrix product per block: the members of a cluster
+cluster.  Centre distances, radii and bounds are numpy batches
+(``mapInPandas``); scoring is a matrix product per block: the members of a cluster
 are cut into blocks of at most ``block`` vectors and the sources probing
 it into blocks of at most ``block`` sources, so no group grows with the
 data, however uneven the clusters are.  Each block returns only its
@@ -52,11 +53,6 @@ def unit_vectors(vectors: DataFrame, id_col: str = "page_id", vec_col: str = "ve
     return unit.select("page_id", u.alias("u")).where(F.exists("u", lambda x: x != 0))
 
 
-def _dist(a: Column, b: Column) -> Column:
-    sq = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(sq, F.lit(0.0).cast("double"), lambda acc, x: acc + x))
-
-
 def _block_top_k(k: int):
     """Per block: all source x member cosines, rounded, local top-k per source."""
 
@@ -109,6 +105,48 @@ def _blocked_candidates(probe: DataFrame, members: DataFrame, k: int, block: int
             .applyInPandas(_block_top_k(k), SCORE_SCHEMA))
 
 
+def _radius_fn(centers: np.ndarray):
+    """Per batch of members: distance to the centre of their own cluster."""
+
+    def run(batches):
+        for b in batches:
+            if b.empty:
+                yield b.assign(_r=pd.Series([], dtype="float64"))
+                continue
+            u = np.stack(b["u"].to_numpy())
+            m = centers[b["c"].to_numpy()]
+            yield b.assign(_r=np.sqrt(((u - m) ** 2).sum(axis=1)))
+
+    return run
+
+
+def _probe_fn(centers: np.ndarray, radius: np.ndarray, size: np.ndarray, k: int):
+    """Per batch of sources: clusters of pass 1, and the cosine bound of every cluster.
+
+    Pass 1 takes clusters nearest-centre first until they hold ``k + 1``
+    vectors.  The bound of cluster ``c`` is ``1 - max(0, |q - m_c| - r_c)^2 / 2``.
+    """
+    c_sq = (centers ** 2).sum(axis=1)
+
+    def run(batches):
+        for b in batches:
+            if b.empty:
+                yield pd.DataFrame({"src": pd.Series([], dtype="int64"), "u_src": [], "_first": [], "_ub": []})
+                continue
+            u = np.stack(b["u"].to_numpy())
+            d = np.sqrt(np.maximum(0.0, (u ** 2).sum(axis=1)[:, None] + c_sq[None, :] - 2.0 * u @ centers.T))
+            ub = 1.0 - np.maximum(0.0, d - radius[None, :]) ** 2 / 2.0
+            order = np.argsort(d, axis=1, kind="stable")
+            held = np.cumsum(size[order], axis=1)
+            # clusters taken: all before the first point where k + 1 vectors are held, and that one
+            n_take = np.minimum((held < k + 1).sum(axis=1) + 1, len(centers))
+            first = [order[i, :n_take[i]].astype(np.int32).tolist() for i in range(len(b))]
+            yield pd.DataFrame({"src": b["page_id"].to_numpy(np.int64), "u_src": b["u"].to_numpy(),
+                                "_first": first, "_ub": list(ub)})
+
+    return run
+
+
 def vector_neighbors(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame | None = None,
                      id_col: str = "page_id", vec_col: str = "vector", n_clusters: int | None = None,
                      max_clusters: int = MAX_CLUSTERS, block: int = BLOCK, seed: int = 1,
@@ -137,31 +175,22 @@ def vector_neighbors(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame
         centers = [[0.0] * dim]
         assigned = units.withColumn("c", F.lit(0))
     n_c = len(centers)
-    center_arr = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centers])
+    cmat = np.asarray(centers, dtype=np.float64)
     members = (assigned.select("page_id", "u", F.col("c").cast("int").alias("c"))
-               .withColumn("_r", _dist(F.col("u"), F.element_at(center_arr, F.col("c") + 1)))
+               .mapInPandas(_radius_fn(cmat), "page_id long, u array<double>, c int, _r double")
                .persist(StorageLevel.MEMORY_AND_DISK))
     stats = {r["c"]: (r["radius"], r["size"]) for r in
              members.groupBy("c").agg(F.max("_r").alias("radius"), F.count(F.lit(1)).alias("size")).collect()}
     members = members.select(F.col("page_id").alias("nn"), F.col("u").alias("u_nn"), "c")
 
-    # One struct per cluster, nearest centre first: (distance, id, cosine bound, size).
-    info = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(float(stats.get(i, (0.0, 0))[0])).alias("radius"),
-                              F.lit(int(stats.get(i, (0.0, 0))[1])).alias("size")) for i in range(n_c)])
+    radius = np.array([float(stats.get(i, (0.0, 0))[0]) for i in range(n_c)])
+    size = np.array([int(stats.get(i, (0.0, 0))[1]) for i in range(n_c)], dtype=np.int64)
     queries = units if sources is None else units.join(
         sources.select(F.col(sources.columns[0]).alias("page_id")).distinct(), "page_id", "left_semi")
-    per_cluster = F.zip_with(center_arr, info, lambda m, s: F.struct(
-        _dist(F.col("u"), m).alias("d"), s["c"].alias("c"),
-        (F.lit(1.0) - F.pow(F.greatest(F.lit(0.0), _dist(F.col("u"), m) - s["radius"]), 2) / 2).alias("ub"),
-        s["size"].alias("size")))
-    q = queries.select(F.col("page_id").alias("src"), F.col("u").alias("u_src"),
-                       F.array_sort(per_cluster).alias("_pc"))
-    pick = F.aggregate(
-        "_pc", F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast("array<int>").alias("ids")),
-        lambda acc, x: F.when(acc["n"] < k + 1, F.struct((acc["n"] + x["size"]).alias("n"),
-                                                         F.array_append(acc["ids"], x["c"]).alias("ids")))
-        .otherwise(acc))
-    q = q.withColumn("_first", pick["ids"]).persist(StorageLevel.MEMORY_AND_DISK)
+    q = (queries.select("page_id", "u")
+         .mapInPandas(_probe_fn(cmat, radius, size, k),
+                      "src long, u_src array<double>, _first array<int>, _ub array<double>")
+         .persist(StorageLevel.MEMORY_AND_DISK))
 
     sizes = {c: n for c, (_, n) in stats.items()}
     first = _blocked_candidates(q.select("src", "u_src", F.explode("_first").alias("c")), members, k, block, sizes)
@@ -174,10 +203,10 @@ def vector_neighbors(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame
            .select("src", F.when(F.col("_n") >= k, F.col("_kth")).otherwise(F.lit(-2.0)).alias("_kth")))
     second_probe = (q.join(kth, "src", "left")
                     .select("src", "u_src", "_first", F.coalesce("_kth", F.lit(-2.0)).alias("_kth"),
-                            F.explode("_pc").alias("_p"))
-                    .where(~F.array_contains("_first", F.col("_p.c")))
-                    .where(F.col("_p.ub") >= F.col("_kth") - BOUND_SLACK)
-                    .select("src", "u_src", F.col("_p.c").alias("c")))
+                            F.posexplode("_ub").alias("c", "ub"))
+                    .where(~F.array_contains("_first", F.col("c")))
+                    .where(F.col("ub") >= F.col("_kth") - BOUND_SLACK)
+                    .select("src", "u_src", F.col("c").cast("int").alias("c")))
     second = _blocked_candidates(second_probe, members, k, block, sizes)
     both = first_top.select("src", "nn", "score").unionByName(second)
     return top_k(both, "src", "score", "nn", k).select("src", "nn", "score", "rank")
