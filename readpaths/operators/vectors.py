@@ -16,13 +16,13 @@ the cosine of every member of ``c``.
 
 If pass 1 finds fewer than ``k`` candidates, pass 2 searches every
 cluster.  Centre distances, radii and bounds are numpy batches
-(``mapInPandas``); scoring is a matrix product per block: the members of a cluster
+(``mapInPandas``).  Scoring is a matrix product per block: the members of a cluster
 are cut into blocks of at most ``block`` vectors and the sources probing
 it into blocks of at most ``block`` sources, so no group grows with the
 data, however uneven the clusters are.  Each block returns only its
-local top-k per source.  The centres are a literal array in the plan,
-bounded by ``max_clusters``; per-cluster statistics reach the driver as
-that many rows.
+local top-k per source.  The centres travel with the batch function
+(``max_clusters x dim`` numbers at most); per-cluster statistics reach the
+driver as that many rows.
 """
 
 from __future__ import annotations
