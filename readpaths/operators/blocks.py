@@ -20,24 +20,37 @@ DEFAULT_BLOCK = 1024
 
 
 def blocked_pairs(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str,
-                  block: int = DEFAULT_BLOCK) -> DataFrame:
+                  block: int = DEFAULT_BLOCK, right_count: str | None = None) -> DataFrame:
     """Inner join of ``left`` and ``right`` on ``key``, computed in bounded cells.
 
     ``left_id`` / ``right_id`` spread a key's rows over its blocks.  The
     per-key row counts are partially aggregated group-bys; keys missing on
     either side are dropped before any copy is made.
+
+    ``right_count`` names a column present on *both* sides that already
+    holds the right side's row count of the key (e.g. a document frequency
+    carried by a posting list); the large side is then not counted again,
+    and only the left side is aggregated.  The count only sizes the blocks:
+    both sides read the same value per key, so the pairs are exact either way.
     """
     nl = left.groupBy(key).agg(F.count(F.lit(1)).alias("_nl"))
-    nr = right.groupBy(key).agg(F.count(F.lit(1)).alias("_nr"))
-    cells = nl.join(nr, key).select(
-        key,
-        F.ceil(F.col("_nl") / F.lit(block)).cast("long").alias("_lb"),
-        F.ceil(F.col("_nr") / F.lit(block)).cast("long").alias("_rb"))
-    lc = (left.join(cells, key)
+    if right_count is None:
+        nr = right.groupBy(key).agg(F.count(F.lit(1)).alias("_nr"))
+        cells = nl.join(nr, key).select(
+            key,
+            F.ceil(F.col("_nl") / F.lit(block)).cast("long").alias("_lb"),
+            F.ceil(F.col("_nr") / F.lit(block)).cast("long").alias("_rb"))
+        lsrc, rsrc = left.join(cells, key), right.join(cells, key)
+    else:
+        rb = F.ceil(F.col(right_count) / F.lit(block)).cast("long")
+        lb = nl.select(key, F.ceil(F.col("_nl") / F.lit(block)).cast("long").alias("_lb"))
+        lsrc = left.join(lb, key).withColumn("_rb", rb).drop(right_count)
+        rsrc = right.join(lb, key).withColumn("_rb", rb).drop(right_count)
+    lc = (lsrc
           .withColumn("_lblk", F.pmod(F.xxhash64(left_id), F.col("_lb")))
           .withColumn("_rblk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rb") - 1)))
           .drop("_lb", "_rb"))
-    rc = (right.join(cells, key)
+    rc = (rsrc
           .withColumn("_rblk", F.pmod(F.xxhash64(right_id), F.col("_rb")))
           .withColumn("_lblk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lb") - 1)))
           .drop("_lb", "_rb"))
