@@ -34,3 +34,22 @@ def test_scale_conf_sizes_partitions():
     assert conf["spark.sql.shuffle.partitions"] == "100000"
     assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
     assert scale_conf(1)["spark.sql.shuffle.partitions"] == "200"
+
+
+def test_metrics_json_sink_and_read_table(spark, tmp_dir):
+    import json
+    import os
+
+    from readpaths.operators import evaluate as ev
+    from readpaths.sinks import writers as wr
+    from readpaths.sources import tables as tb
+
+    ranks = spark.createDataFrame([("a", 1.0), ("b", 1e6)], "actor string, rank double")
+    out = os.path.join(tmp_dir, "metrics")
+    wr.write_metrics_json(ev.metrics_json(ev.next_page_metrics(ranks)), out)
+    lines = [json.loads(r["value"]) for r in spark.read.text(out).collect()]
+    assert lines == [{"N": 2, "MRR": 0.5000005, "Recall@1": 0.5, "Recall@10": 0.5, "Recall@50": 0.5,
+                      "Recall@100": 0.5}]
+    path = os.path.join(tmp_dir, "t")
+    ranks.write.parquet(path)
+    assert tb.read_table(spark, path).count() == 2
