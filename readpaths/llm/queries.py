@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readpaths.llm import deleted_interpolation, simhash_ring, substring_dedup
+from readpaths.llm import deleted_interpolation, quality_kn, simhash_ring, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_kn.judge(_table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deleted_interpolation.score(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_quality_rules": op3_quality_rules,
         "op7_lm_scoring": op7_lm_scoring,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
