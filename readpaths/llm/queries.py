@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from readpaths.llm import deleted_interpolation, quality_kn, simhash_ring, substring_dedup
+from readpaths.llm import bpe_queue, deleted_interpolation, quality_kn, simhash_ring, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_kn.judge(_table(spark, sf_dir, "documents"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bpe_queue.encode(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return bpe_queue.decode(ids, vocabulary, public_tokenizers.PATTERN).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deleted_interpolation.score(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
         "op3_quality_rules": op3_quality_rules,
+        "op5_byte_bpe": op5_byte_bpe,
         "op7_lm_scoring": op7_lm_scoring,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
