@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readpaths.llm import bpe_queue, deleted_interpolation, quality_kn, simhash_ring, substring_dedup
+from readpaths.llm import bpe_queue, deleted_interpolation, quality_kn, raking, simhash_ring, substring_dedup, url_markov
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,22 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deleted_interpolation.score(_table(spark, sf_dir, "documents"))
 
 
+# fixed values: the rules of the URL query
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_markov.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources, languages and topics raked to tempered shares; half of all tokens drawn."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    text = F.col("text")
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": raking.topic(text)}
+    return raking.mix(docs, dims, raking.words(text), budget_share=0.5).select("doc_id", "mix.*")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_ring.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +61,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op5_byte_bpe": op5_byte_bpe,
         "op7_lm_scoring": op7_lm_scoring,
+        "op8_url_filters": op8_url_filters,
+        "op9_mixing_sources": op9_mixing_sources,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
