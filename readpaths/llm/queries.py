@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readpaths.llm import bpe_queue, deleted_interpolation, quality_kn, raking, simhash_ring, substring_dedup, url_markov
+from readpaths.llm import bpe_queue, deleted_interpolation, quality_kn, raking, simhash_ring, substring_dedup, url_markov, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_kn.judge(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ids = bpe_queue.encode(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
         "op3_quality_rules": op3_quality_rules,
+        "op4_warc_transactions": op4_warc_transactions,
         "op5_byte_bpe": op5_byte_bpe,
         "op7_lm_scoring": op7_lm_scoring,
         "op8_url_filters": op8_url_filters,
