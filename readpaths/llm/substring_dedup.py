@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readpaths.llm import blocks as bl
-from readpaths.llm.words import U64, find_words, window_hashes, window_starts
+from readpaths.llm.words import U64, find_words, mix, window_hashes, window_starts
 
 MIN_WORDS = 50
 ANCHOR_WORDS = 10
@@ -61,7 +61,7 @@ def anchors(hashes: np.ndarray, first: np.ndarray, min_words: int, anchor_words:
     edge = np.zeros(span - 1, dtype=U64)
     most = sliding(np.maximum, np.concatenate((edge, least, edge)), span)
     at = np.flatnonzero((grams == most) & (most > 0))
-    return at, grams[at]
+    return at, mix(grams[at])  # winnowed hashes are small ones; mixed they fill all buckets alike
 
 
 class _Text:
