@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from readpaths.llm.shared import stored
 from readpaths.llm.words import U64, row_ranges, utf8
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 BLOCK_ROWS = 200_000
 BUCKET_BYTES = 4 << 20  # text per bucket
 LEAST_BUCKETS = 64
