@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readpaths.llm import bpe_queue, deleted_interpolation, quality_kn, raking, simhash_ring, substring_dedup, url_markov, warc
+from readpaths.llm import bpe_queue, deleted_interpolation, quality_kn, raking, simhash_ring, substring_dedup, url_markov, vptree, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deleted_interpolation.score(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_warc_transactions": op4_warc_transactions,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_nearest_neighbours": op6_nearest_neighbours,
         "op7_lm_scoring": op7_lm_scoring,
         "op8_url_filters": op8_url_filters,
         "op9_mixing_sources": op9_mixing_sources,
