@@ -24,13 +24,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NONE = np.int64(1) << 40  # rank of a pair that never merges
 KNOWN_PIECES = 400_000  # pre-tokens a worker keeps encoded between pieces; all are encoded, kept or not
@@ -114,6 +116,9 @@ class Vocabulary:
         order = np.argsort(keys)
         self.pairs, self.pair_ranks = np.array(keys, np.int64)[order], np.array(ranks, np.int64)[order]
 
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left << 24 | right
         at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
@@ -255,10 +260,11 @@ def _ranges(sizes: list[int], limit: int, rows: int) -> Iterator[tuple[int, int]
         yield i, len(sizes)
 
 
-def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``<id_col>, ids`` (array of int), one row per input row."""
+def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The ``carry`` columns and ``ids`` (array of int) of the texts, one row per input row."""
     with open(rank_path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
+    through = [f"c{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks.value, pattern)
@@ -267,33 +273,47 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
             for i, j in _ranges([len(t) for t in texts], PIECE_CHARS, ROW_DOCS):
                 ids, counts = encoder(texts[i:j])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), lists], names=["id", "ids"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in through), lists], names=[*through, "ids"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col))
+    named = docs.select(*[F.col(f"`{c}`").alias(t) for c, t in zip(carry, through, strict=True)], F.col(text_col).alias("text"))
+    schema = T.StructType([*(named.schema[t] for t in through), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return named.mapInArrow(run, schema).toDF(*carry, "ids")
 
 
-def decode(encoded: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """``<id_col>, n_tokens, ids_sha256`` (of the decimal ids joined by one space) and ``decoded`` (bytes of the ids' tokens)."""
+def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+    """The columns of ``encoded`` with ``n_tokens, ids_sha256`` (of the decimal ids joined by one space) and
+    ``decoded_sha256`` (of the bytes of the ids' tokens)."""
     with open(rank_path, "rb") as f:
         ranks = encoded.sparkSession.sparkContext.broadcast(f.read())
+    through = [f"c{i}" for i in range(len(encoded.columns))]
+    at = encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _encoder(ranks.value, pattern).vocabulary
-        tokens, decimals = vocabulary.tokens, vocabulary.decimals
         for b in batches:
-            lists, counts, shas, texts = b.column("ids"), [], [], []
+            lists, counts, shas, texts = b.column(at), [], [], []
             flat, cuts = lists.values, lists.offsets.to_pylist()
-            for k in range(b.num_rows):
-                ids = flat.slice(cuts[k], cuts[k + 1] - cuts[k]).to_numpy(zero_copy_only=False).tolist()
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                ids = flat.slice(a, z - a).to_numpy(zero_copy_only=False).tolist()
                 counts.append(len(ids))
-                shas.append(hashlib.sha256(b" ".join(map(decimals.__getitem__, ids))).hexdigest())
-                texts.append(b"".join(map(tokens.__getitem__, ids)))
-            for i, j in _ranges([len(t) for t in texts], PIECE_CHARS, ROW_DOCS):
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array(counts[i:j], pa.int64()), pa.array(shas[i:j], pa.string()), pa.array(texts[i:j], pa.binary())],
-                                                 names=["id", "n_tokens", "ids_sha256", "decoded"])
+                shas.append(hashlib.sha256(b" ".join(map(vocabulary.decimals.__getitem__, ids))).hexdigest())
+                texts.append(hashlib.sha256(vocabulary.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())],
+                                             names=[*through, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    named = encoded.toDF(*through)
+    schema = T.StructType([*named.schema, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return named.mapInArrow(run, schema).toDF(*encoded.columns, "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def decode_text(encoded: DataFrame, rank_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """The columns of ``encoded`` with ``ids`` turned back into the text."""
+    with open(rank_path, "rb") as f:
+        ranks = encoded.sparkSession.sparkContext.broadcast(f.read())
+
+    @F.pandas_udf("string")
+    def text(ids: pd.Series) -> pd.Series:
+        vocabulary = _encoder(ranks.value, pattern).vocabulary
+        return ids.map(lambda x: vocabulary.decode(x.tolist()).decode("utf-8", "replace"))
 
-    kind = encoded.schema[id_col].dataType.simpleString()
-    return (encoded.select(F.col(id_col).alias("id"), "ids")
-            .mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded binary").withColumnRenamed("id", id_col))
+    return encoded.withColumn(text_col, text("ids")).drop("ids")

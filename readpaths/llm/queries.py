@@ -35,8 +35,7 @@ def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ids = bpe_queue.encode(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
-    return bpe_queue.decode(ids, vocabulary, public_tokenizers.PATTERN).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe_queue.decode(ids, vocabulary, public_tokenizers.PATTERN).drop("ids")
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

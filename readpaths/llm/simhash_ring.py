@@ -144,15 +144,32 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select("a", "a").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``<id_col>, fingerprint`` (16 hexadecimal digits) and ``component_id`` (smallest id reachable) per row."""
-    marked = stored(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
+def _named(marked: DataFrame, id_col: str, max_bits: int) -> DataFrame:
+    """``fingerprint, root, component_id`` of every distinct fingerprint, stored."""
     classes = stored(marked.groupBy("fingerprint").agg(F.min(id_col).alias("first")), "classes")
     roots = components(links(classes.select("fingerprint"), max_bits))
     rooted = (classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
               .withColumn("root", F.coalesce("root", "fingerprint")))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = stored(rooted.select("fingerprint", "root").join(named, "root").select("fingerprint", "component_id"), "components")
-    return marked.join(ids, "fingerprint").select(
+    return stored(rooted.select("fingerprint", "root").join(named, "root").select("fingerprint", "root", "component_id"), "components")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """``<id_col>, fingerprint`` (16 hexadecimal digits) and ``component_id`` (smallest id reachable) per row."""
+    marked = stored(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
+    return marked.join(_named(marked, id_col, max_bits), "fingerprint").select(
         F.col(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` with one row per component: that of the smallest id (one of them, if rows share it)."""
+    numbered = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number")), "rows")
+    texts = numbered.select("number", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text_col}`").alias("text"))
+    marked = stored(fingerprints(texts, "number", "text", shingle_words).join(texts.select("number", "id"), "number"), "fingerprints")
+    order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("number").alias("c"))
+    firsts = stored(marked.groupBy("fingerprint").agg(F.min(order).alias("first")), "firsts")
+    roots = _named(marked, "id", max_bits).select("fingerprint", "root")
+    winners = stored(firsts.join(roots, "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.c").alias("number")), "winners")
+    return numbered.join(winners, "number", "left_semi").select("row.*")

@@ -24,6 +24,7 @@ result; other columns stay as they are (a clashing name is overwritten).
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,7 @@ from readpaths.llm.words import U64, find_words, mix, window_hashes, window_star
 MIN_WORDS = 50
 ANCHOR_WORDS = 10
 PIECE_BYTES = 4 << 20
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -98,10 +100,21 @@ def _signed(values: np.ndarray, wide: np.ndarray) -> np.ndarray:
     return np.where(wide == 1, (values ^ U64(1 << 63)).astype(np.int64), values.astype(np.int64))
 
 
+def _without(text: bytes, spans: list[dict[str, int]]) -> bytes:
+    """``text`` without the words of ``spans`` and the white space after each."""
+    starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    at, parts = 0, []
+    for s in spans:
+        parts.append(text[at : starts[s["start"]]])
+        at = starts[s["end"]]
+    return b"".join([*parts, text[at:]]).rstrip(b" \t\n\v\f\r")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
             anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """Other columns of ``docs``, then ``n_words, n_removed, spans`` (removed word ranges ``start, end``),
-    ``kept_sha256`` and ``text`` under its own name: the kept words joined by one space."""
+    ``kept_sha256`` (of the kept words joined by one space) and ``text`` under its own name: the input text
+    without the removed words and the white space after each of them."""
     if not 1 <= anchor_words <= min_words:
         raise ValueError("anchor_words must be from 1 to min_words")
     table = bl.block_table(docs.withColumn(id_col, F.col(id_col).cast("long")), text_col)
@@ -184,10 +197,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
                 words = [w for w, gone in zip(words, own.tolist(), strict=True) if not gone]
             else:
                 spans.append([])
-            kept = b" ".join(words)
             removed.append(b - a - len(words))
-            shas.append(hashlib.sha256(kept).hexdigest())
-            kept_texts.append(kept)
+            shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            kept_texts.append(_without(text, spans[-1]) if removed[-1] else text)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table([*(block.column(n) for n in names), pa.array(t.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span),
                          pa.array(shas, pa.string()), pa.array(kept_texts, pa.binary()).cast(pa.string())], names=result.names)
