@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from readpaths.llm.shared import stored
 
 K = 20
-FACTOR = 4.0
+FACTOR = 1.1
 LEAF_ROWS = 64
 SHARD_ROWS = 16_384
 QUERY_ROWS = 4096
