@@ -144,7 +144,9 @@ def window_starts(first: np.ndarray, k: int) -> np.ndarray:
 
 
 def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sum of ``values`` per row, rows given by their first entries."""
-    total = np.zeros(len(values) + 1, dtype=values.dtype if values.dtype.kind != "b" else np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[first[1:]] - total[first[:-1]]
+    """Sum of ``values`` per row, rows given by their first entries; a row's sum depends on that row only."""
+    out = np.zeros(len(first) - 1, dtype=np.int64 if values.dtype.kind == "b" else values.dtype)
+    full = np.flatnonzero(first[1:] > first[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(values, first[:-1][full], dtype=out.dtype)
+    return out
