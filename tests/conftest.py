@@ -27,7 +27,7 @@ def spark():
     spark.sparkContext.setLogLevel("ERROR")
     ensure_conf(spark)
     if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="readpaths-test-ckpt-"))
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="readpaths-test-ckpt-"))
     yield spark
 
 
