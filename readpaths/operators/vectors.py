@@ -17,19 +17,25 @@ the cosine of every member of ``c``.
 If pass 1 finds fewer than ``k`` candidates, pass 2 searches every
 cluster.  Centre distances, radii and bounds are numpy batches
 (``mapInPandas``).  Scoring is a matrix product per block: the members of a cluster
-are cut into blocks of at most ``block`` vectors and the sources probing
-it into blocks of at most ``block`` sources, so no group grows with the
+are cut into blocks of about ``block`` vectors and the sources probing
+it into blocks of about ``block`` sources, so no group grows with the
 data, however uneven the clusters are.  Each block returns only its
-local top-k per source.  The centres travel with the batch function
-(``max_clusters x dim`` numbers at most); per-cluster statistics reach the
-driver as that many rows.
+local top-k per source.
+
+There are about ``sqrt(n)`` clusters for ``n`` vectors, at any size: the
+centres (``sqrt(n) x dim`` numbers) travel with the batch function, and as
+many rows of cluster statistics reach the driver.  Centres are fitted on a
+bounded sample (``SAMPLE_PER_CLUSTER`` vectors a cluster, by a hash of the
+id); which centres they are changes the work, never the result.  What
+several steps read is written to the shared folder once.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -37,9 +43,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readpaths.operators.neighbors import top_k
+from readpaths.session import stored
 
 DEFAULT_K = 100
-MAX_CLUSTERS = 256
+SAMPLE_PER_CLUSTER = 64
 BLOCK = 2048          # vectors (and sources) per scoring block
 BOUND_SLACK = 1e-7    # covers the 9-digit rounding of scores and float error of the bound
 SCORE_SCHEMA = "src long, nn long, score double"
@@ -91,15 +98,17 @@ def _blocked_candidates(probe: DataFrame, members: DataFrame, k: int, block: int
         m_counts = {r["c"]: r["n"] for r in members.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     q_counts = {r["c"]: r["n"] for r in probe.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_c = max([*m_counts, *q_counts, 0]) + 1
-    m_blocks = F.array(*[F.lit(int(-(-m_counts.get(i, 0) // block)) or 1) for i in range(n_c)])
-    q_blocks = F.array(*[F.lit(int(-(-q_counts.get(i, 0) // block)) or 1) for i in range(n_c)])
-    nmb = F.element_at(m_blocks, F.col("c") + 1)
-    nqb = F.element_at(q_blocks, F.col("c") + 1)
+    m_blocks = F.array(*[F.lit(max(1, -(-m_counts.get(i, 0) // block))) for i in range(n_c)])
+    q_blocks = F.array(*[F.lit(max(1, -(-q_counts.get(i, 0) // block))) for i in range(n_c)])
+    # all three keys are bigint on both sides: keys of different types hash to different partitions
+    nmb = F.element_at(m_blocks, F.col("c") + 1).cast("long")
+    nqb = F.element_at(q_blocks, F.col("c") + 1).cast("long")
+    zero, one, cluster = F.lit(0).cast("long"), F.lit(1).cast("long"), F.col("c").cast("long")
     # members: own block by id hash, copied to every source block of the cluster
-    mm = (members.withColumn("mb", F.pmod(F.xxhash64("nn"), nmb.cast("long")))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), nqb - 1))))
-    qq = (probe.withColumn("qb", F.pmod(F.xxhash64("src"), nqb.cast("long")))
-          .withColumn("mb", F.explode(F.sequence(F.lit(0), nmb - 1))))
+    mm = (members.withColumn("mb", F.pmod(F.xxhash64("nn"), nmb))
+          .withColumn("qb", F.explode(F.sequence(zero, nqb - one))).withColumn("c", cluster))
+    qq = (probe.withColumn("qb", F.pmod(F.xxhash64("src"), nqb))
+          .withColumn("mb", F.explode(F.sequence(zero, nmb - one))).withColumn("c", cluster))
     return (qq.select("c", "mb", "qb", "src", "u_src").groupBy("c", "mb", "qb")
             .cogroup(mm.select("c", "mb", "qb", "nn", "u_nn").groupBy("c", "mb", "qb"))
             .applyInPandas(_block_top_k(k), SCORE_SCHEMA))
@@ -149,36 +158,28 @@ def _probe_fn(centers: np.ndarray, radius: np.ndarray, size: np.ndarray, k: int)
 
 def vector_neighbors(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame | None = None,
                      id_col: str = "page_id", vec_col: str = "vector", n_clusters: int | None = None,
-                     max_clusters: int = MAX_CLUSTERS, block: int = BLOCK, seed: int = 1,
-                     max_iter: int = 10) -> DataFrame:
+                     block: int = BLOCK, seed: int = 1, max_iter: int = 5) -> DataFrame:
     """Top-``k`` vectors by cosine for each source: ``src, nn, score, rank``.
 
     ``sources`` (first column = id) restricts the sources; default is every
     vector.  The source itself is never its own neighbour.
     """
-    units = unit_vectors(vectors, id_col, vec_col).persist(StorageLevel.MEMORY_AND_DISK)
+    units = stored(unit_vectors(vectors, id_col, vec_col), "units")
     n_rows = units.count()
     if n_rows == 0:
         return vectors.sparkSession.createDataFrame([], "src long, nn long, score double, rank int")
-    if n_clusters is None:
-        # everything fits one scoring block: one exact block, no clustering needed
-        n_clusters = 1 if n_rows <= block else n_rows // (2 * (k + 1))
-    n_clusters = int(max(1, min(n_clusters, max_clusters, n_rows)))
-
+    n_clusters = int(max(1, min(n_rows, n_clusters or math.isqrt(n_rows))))
+    share = F.pmod(F.xxhash64("page_id"), F.lit(n_rows)) < SAMPLE_PER_CLUSTER * n_clusters
+    sample = units.where(share).select(array_to_vector("u").alias("_f"))
     if n_clusters > 1:
-        model = KMeans(k=n_clusters, seed=seed, maxIter=max_iter, featuresCol="_f",
-                       predictionCol="c").fit(units.select(array_to_vector("u").alias("_f")))
-        centers = [[float(x) for x in c] for c in model.clusterCenters()]
-        assigned = model.transform(units.withColumn("_f", array_to_vector("u"))).drop("_f")
+        model = KMeans(k=n_clusters, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="c").fit(sample)
+        cmat = np.asarray(model.clusterCenters(), dtype=np.float64)
+        assigned = model.transform(units.withColumn("_f", array_to_vector("u"))).select("page_id", "u", F.col("c").cast("int").alias("c"))
     else:
-        dim = len(units.first()["u"])
-        centers = [[0.0] * dim]
+        cmat = np.zeros((1, len(units.first()["u"])))
         assigned = units.withColumn("c", F.lit(0))
-    n_c = len(centers)
-    cmat = np.asarray(centers, dtype=np.float64)
-    members = (assigned.select("page_id", "u", F.col("c").cast("int").alias("c"))
-               .mapInPandas(_radius_fn(cmat), "page_id long, u array<double>, c int, _r double")
-               .persist(StorageLevel.MEMORY_AND_DISK))
+    n_c = len(cmat)
+    members = stored(assigned.mapInPandas(_radius_fn(cmat), "page_id long, u array<double>, c int, _r double"), "members")
     stats = {r["c"]: (r["radius"], r["size"]) for r in
              members.groupBy("c").agg(F.max("_r").alias("radius"), F.count(F.lit(1)).alias("size")).collect()}
     members = members.select(F.col("page_id").alias("nn"), F.col("u").alias("u_nn"), "c")
@@ -187,26 +188,22 @@ def vector_neighbors(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame
     size = np.array([int(stats.get(i, (0.0, 0))[1]) for i in range(n_c)], dtype=np.int64)
     queries = units if sources is None else units.join(
         sources.select(F.col(sources.columns[0]).alias("page_id")).distinct(), "page_id", "left_semi")
-    q = (queries.select("page_id", "u")
-         .mapInPandas(_probe_fn(cmat, radius, size, k),
-                      "src long, u_src array<double>, _first array<int>, _ub array<double>")
-         .persist(StorageLevel.MEMORY_AND_DISK))
+    q = stored(queries.select("page_id", "u")
+               .mapInPandas(_probe_fn(cmat, radius, size, k),
+                            "src long, u_src array<double>, _first array<int>, _ub array<double>"), "probes")
 
     sizes = {c: n for c, (_, n) in stats.items()}
     first = _blocked_candidates(q.select("src", "u_src", F.explode("_first").alias("c")), members, k, block, sizes)
-    if n_c == 1:
-        # one cluster: pass 1 already searched every vector
-        return top_k(first, "src", "score", "nn", k).select("src", "nn", "score", "rank")
-    first_top = top_k(first, "src", "score", "nn", k).persist(StorageLevel.MEMORY_AND_DISK)
+    first_top = stored(top_k(first, "src", "score", "nn", k), "first")
     kth = (first_top.groupBy("src")
            .agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
            .select("src", F.when(F.col("_n") >= k, F.col("_kth")).otherwise(F.lit(-2.0)).alias("_kth")))
-    second_probe = (q.join(kth, "src", "left")
-                    .select("src", "u_src", "_first", F.coalesce("_kth", F.lit(-2.0)).alias("_kth"),
-                            F.posexplode("_ub").alias("c", "ub"))
-                    .where(~F.array_contains("_first", F.col("c")))
-                    .where(F.col("ub") >= F.col("_kth") - BOUND_SLACK)
-                    .select("src", "u_src", F.col("c").cast("int").alias("c")))
+    second_probe = stored(q.join(kth, "src", "left")
+                          .select("src", "u_src", "_first", F.coalesce("_kth", F.lit(-2.0)).alias("_kth"),
+                                  F.posexplode("_ub").alias("c", "ub"))
+                          .where(~F.array_contains("_first", F.col("c")))
+                          .where(F.col("ub") >= F.col("_kth") - BOUND_SLACK)
+                          .select("src", "u_src", F.col("c").cast("int").alias("c")), "second")
     second = _blocked_candidates(second_probe, members, k, block, sizes)
     both = first_top.select("src", "nn", "score").unionByName(second)
     return top_k(both, "src", "score", "nn", k).select("src", "nn", "score", "rank")
