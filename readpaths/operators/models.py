@@ -1,38 +1,19 @@
-"""Model-based operators from ``pyspark.ml``."""
+"""Model-based operators from ``pyspark.ml``."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, Word2Vec
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
-def reduce_dimension(vectors: DataFrame, k: int = 50, id_col: str = "page_id", vec_col: str = "vector",
-                     fit_on: DataFrame | None = None) -> DataFrame:
-    """Project vectors onto their first ``k`` principal components.
+def reduce_dimension(vectors: DataFrame, k: int = 50, id_col: str = "page_id", vec_col: str = "vector") -> DataFrame:
+    """Vectors projected onto their first ``k`` principal components (J6): ``<id_col>, vector``.
 
     The reference shrinks its word model from 300 to 50 dimensions before
-    use.  ``PCA`` fits on ``fit_on`` (default: the vectors themselves) --
-    only a ``d x d`` covariance matrix reaches the driver -- and the
-    projection runs per row.  Returns ``page_id, vector`` with ``k`` values.
+    use.  Only the ``d x d`` covariance matrix of ``PCA`` reaches the
+    driver; the projection runs per row.
     """
-    feats = vectors.select(F.col(id_col).alias("page_id"), array_to_vector(vec_col).alias("_f"))
-    train = feats if fit_on is None else fit_on.select(array_to_vector(vec_col).alias("_f"))
-    model = PCA(k=k, inputCol="_f", outputCol="_p").fit(train)
-    return model.transform(feats).select("page_id", vector_to_array("_p").alias("vector"))
-
-
-def session_vectors(sessions: DataFrame, vector_size: int = 50, window: int = 5, min_count: int = 1,
-                    seed: int = 1, max_iter: int = 1) -> DataFrame:
-    """Page vectors learnt from reading sessions with word2vec (K9).
-
-    Sessions are sentences and page ids are words (the reference's
-    notebook heading: "learn a word2vec model for 1 week of sessions").
-    Returns ``page_id, vector``.
-    """
-    sentences = sessions.select(F.transform("page_ids", lambda p: p.cast("string")).alias("_w"))
-    model = Word2Vec(vectorSize=vector_size, windowSize=window, minCount=min_count, seed=seed,
-                     maxIter=max_iter, inputCol="_w", outputCol="_v").fit(sentences)
-    return model.getVectors().select(F.col("word").cast("bigint").alias("page_id"),
-                                     vector_to_array("vector").alias("vector"))
+    feats = vectors.select(id_col, array_to_vector(vec_col).alias("_f"))
+    model = PCA(k=k, inputCol="_f", outputCol="_p").fit(feats)
+    return model.transform(feats).select(id_col, vector_to_array("_p").alias("vector"))

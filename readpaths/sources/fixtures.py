@@ -20,9 +20,8 @@ from readpaths.sources.tables import spread
 
 # Fixed values of the fixture rules (FIXTURES.md):
 #   page id carried in events.props as JSON field "k"
-#   word -> vector row:  vec_id = md5int(word) % 500, words longer than 2
-WORD_VECTOR_ROWS = 500
-WORD_MIN_LENGTH = 3
+#   word -> vector row:  vec_id = md5int(word) % (rows of embeddings)
+SCAN_TASKS = 16  # the test files have one row group each
 GRAPH_SNAPSHOT = "2020-07"
 
 
@@ -140,12 +139,12 @@ def pagelinks_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw web pages: ``page_id, url, html`` (spread over the cores, see ``spread``)."""
-    return spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"), SCAN_TASKS)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document corpus for text search: ``doc_id, text`` (doc_id is the page id)."""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), SCAN_TASKS)
 
 
 def page_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,14 +157,10 @@ def word_vectors_for(spark: SparkSession, sf_dir: str, words: DataFrame,
                      word_col: str = "word") -> DataFrame:
     """Word-vector table ``word, vector`` for the distinct words of ``words``.
 
-    The test data has no word model, so a word's vector is the embeddings
-    row ``md5int(word) % 500``; words shorter than 3 letters have none.
-    The embeddings side is a fixed 500-row lookup (bounded), the word side
-    is a distinct over the corpus vocabulary.
+    The test data has no word model, so a word's vector is the row
+    ``md5int(word) % n`` of the whole embeddings table of ``n`` rows.
     """
-    emb = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < WORD_VECTOR_ROWS)
+    emb = table(spark, sf_dir, "embeddings")
     vocab = (words.select(F.col(word_col).alias("word")).distinct()
-             .where(F.length("word") >= WORD_MIN_LENGTH)
-             .withColumn("vec_id", md5int("word") % WORD_VECTOR_ROWS))
-    return (vocab.join(F.broadcast(emb.select("vec_id", F.col("embedding").alias("vector"))), "vec_id")
-            .select("word", "vector"))
+             .withColumn("vec_id", md5int("word") % F.lit(emb.count())))
+    return vocab.join(emb.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("word", "vector")
