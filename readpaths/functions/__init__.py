@@ -1,27 +1 @@
 """Column expressions shared by the operators (all JVM-side built-ins)."""
-
-from readpaths.functions.columns import (
-    bucket_of,
-    dot,
-    epoch_micros,
-    hour_start,
-    md5int,
-    normalize_wiki,
-    to_utc_timestamp_lit,
-    tokens,
-    unit_vector,
-    vector_norm,
-)
-
-__all__ = [
-    "bucket_of",
-    "dot",
-    "epoch_micros",
-    "hour_start",
-    "md5int",
-    "normalize_wiki",
-    "to_utc_timestamp_lit",
-    "tokens",
-    "unit_vector",
-    "vector_norm",
-]

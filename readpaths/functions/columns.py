@@ -52,9 +52,8 @@ def epoch_micros(c: ColumnOrName) -> Column:
 
 def bucket_of(micros: ColumnOrName, width_micros: int) -> Column:
     """``floor(micros / width)`` in exact integer arithmetic."""
-    m = _col(micros)
-    w = F.lit(int(width_micros))
-    return ((m - F.pmod(m, w)) / w).cast("bigint")
+    m, w = _col(micros), F.lit(int(width_micros))
+    return F.call_function("div", m - F.pmod(m, w), w)
 
 
 def hour_start(year: ColumnOrName = "year", month: ColumnOrName = "month",
@@ -91,32 +90,7 @@ def to_utc_timestamp_lit(value: str | _dt.datetime | _dt.date) -> Column:
     return F.to_timestamp(F.lit(text), "yyyy-MM-dd HH:mm:ss")
 
 
-def tokens(text: ColumnOrName, min_length: int = 1) -> Column:
-    """Lower-cased letter runs of a text, empty strings removed."""
-    parts = F.split(F.lower(_col(text)), r"[^\p{L}]+")
-    return F.filter(parts, lambda w: F.length(w) >= F.lit(min_length))
-
-
 def vector_norm(v: ColumnOrName) -> Column:
     """Euclidean norm of an array<float|double> column."""
     return F.sqrt(F.aggregate(_col(v), F.lit(0.0).cast("double"),
                               lambda acc, x: acc + x.cast("double") * x.cast("double")))
-
-
-def unit_vector(v: ColumnOrName) -> Column:
-    """``v / |v|`` as array<double>; NULL when the norm is 0.
-
-    The norm is computed once: ``aggregate`` carries the squared sum and
-    the original array, and the finish step scales the array.
-    """
-    acc0 = F.struct(F.lit(0.0).cast("double").alias("ss"), _col(v).alias("v"))
-    return F.aggregate(
-        _col(v), acc0,
-        lambda acc, x: F.struct((acc["ss"] + x.cast("double") * x.cast("double")).alias("ss"), acc["v"].alias("v")),
-        lambda acc: F.when(acc["ss"] > 0, F.transform(acc["v"], lambda x: x.cast("double") / F.sqrt(acc["ss"]))))
-
-
-def dot(a: ColumnOrName, b: ColumnOrName) -> Column:
-    """Dot product of two equally long numeric arrays."""
-    return F.aggregate(F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y.cast("double")),
-                       F.lit(0.0).cast("double"), lambda acc, x: acc + x)

@@ -22,8 +22,8 @@ N_P_MAX = 500               # maximum views per actor per day
 
 
 def default_time_range(today: _dt.date | None = None, days: int = DEFAULT_DAYS) -> tuple[_dt.date, _dt.date]:
-    """``[today - days, today)`` (the reference default, 8 days)."""
-    today = today or _dt.date.today()
+    """``[today - days, today)`` (the reference default, 8 days); days are UTC days, like all bounds."""
+    today = today or _dt.datetime.now(_dt.timezone.utc).date()
     return today - _dt.timedelta(days=days), today
 
 

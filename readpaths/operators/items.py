@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readpaths.functions.columns import normalize_wiki
+from readpaths.session import stored
 
 # Fixed value of the reference job: oldest item-link snapshot read.
 DEFAULT_ITEM_SNAPSHOT_MIN = "2020-07-01"
@@ -48,9 +49,10 @@ def views_with_item(views: DataFrame, items: DataFrame) -> DataFrame:
     """Inner join of views and the item map on ``(page_id, wiki_db)``.
 
     Views of pages without an item disappear.  The item map is unique per
-    key, so the join never multiplies views; when one page is hot, AQE's
-    skew-join split spreads that key over several tasks, and a small item
-    map (one wiki) is turned into a broadcast at run time from its
-    measured size.
+    key, so the join never multiplies views.  It is written to the shared
+    folder and read back first: both join sides then come from exchanges of
+    their own, and AQE can split the views of a hot page over several tasks
+    (it cannot while the map is an aggregate inside the join's stage).  A
+    small map (one wiki) still becomes a broadcast by its measured size.
     """
-    return views.join(items, on=["page_id", "wiki_db"], how="inner")
+    return views.join(stored(items, "items"), on=["page_id", "wiki_db"], how="inner")

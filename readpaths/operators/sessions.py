@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from readpaths.functions.columns import bucket_of, epoch_micros
 from readpaths.operators.filters import null_safe_semi
+from readpaths.session import stored
 
 # Fixed values of the reference job.
 DEFAULT_DT_SECONDS = 3600       # gap that splits sessions
@@ -37,6 +38,8 @@ DEFAULT_MIN_LENGTH = 2          # shortest session kept
 DEFAULT_MAX_LENGTH = 30         # longest session kept (longer ones are dropped)
 DEFAULT_BLACKLIST = ("Q5296",)  # item of the main page
 
+FLAG = "_blacklisted"  # column of views whose item is blacklisted
+
 SEQ_FIELDS = ("ts", "page_id", "page_title", "wiki_db", "qid")
 
 
@@ -53,6 +56,7 @@ def sequence_views(df: DataFrame, actor_col: str = "actor",
     column is not already there.
     """
     title = F.col("page_title") if "page_title" in df.columns else F.col("pageview_info.page_title")
+    flag = [FLAG] if FLAG in df.columns else []
     return df.select(
         F.col(actor_col).alias("actor"),
         "ts",
@@ -60,17 +64,21 @@ def sequence_views(df: DataFrame, actor_col: str = "actor",
         title.alias("page_title"),
         "wiki_db",
         F.col(item_col).alias("qid"),
+        *flag,
     )
 
 
-def actor_sequences(views: DataFrame) -> DataFrame:
+def actor_sequences(views: DataFrame, max_views: int) -> DataFrame:
     """Time-sorted array of view structs per actor.
 
-    This collects an actor's whole history, so it is only meant after the
-    daily-volume cap (F1): each sequence then holds at most
-    ``n_p_max x days`` views.  The session operators below do not use it.
+    An actor with more than ``max_views`` views raises: the array of one
+    actor is one row, so the caller must have bounded it (the daily cap F1
+    bounds it by its maximum times the number of days).  The session
+    operators below do not collect actors.
     """
-    return views.groupBy("actor").agg(F.array_sort(F.collect_list(view_struct())).alias("session"))
+    seq = views.groupBy("actor").agg(F.array_sort(F.collect_list(view_struct())).alias("session"), F.count(F.lit(1)).alias("_n"))
+    guard = F.when(F.col("_n") > max_views, F.raise_error(F.lit(f"an actor has more than {max_views} views")).cast("boolean")).otherwise(F.lit(True))
+    return seq.where(guard).drop("_n")
 
 
 def blacklist_actors(views: DataFrame, blacklist=DEFAULT_BLACKLIST) -> DataFrame:
@@ -81,7 +89,7 @@ def blacklist_actors(views: DataFrame, blacklist=DEFAULT_BLACKLIST) -> DataFrame
     one-column DataFrame ``qid``.  Runs after NULL timestamps are gone.
     """
     if isinstance(blacklist, DataFrame):
-        hits = views.join(blacklist.select(F.col(blacklist.columns[0]).alias("qid")), "qid", "left_semi")
+        hits = views.join(stored(blacklist.select(F.col(blacklist.columns[0]).alias("qid")).distinct(), "blacklist"), "qid", "left_semi")
     else:
         items = list(blacklist)
         if not items:
@@ -199,26 +207,30 @@ def reading_sessions(views: DataFrame, dt_seconds: int = DEFAULT_DT_SECONDS,
     The step order matters and is the reference's: NULL timestamps go
     first, the blacklist looks at the whole actor, dedupe runs over the
     whole actor before the split, and the length window is applied last.
+
+    Views that carry the column ``FLAG`` (the job sets it on the item map,
+    one row per page) use it; otherwise ``blacklist`` is matched on ``qid``.
+    The first visits feed both the bucket table and the join back, so they
+    are written once.
     """
     clean = views.where(F.col("ts").isNotNull() & F.col("page_id").isNotNull())
-    flag = None
-    if blacklist is not None:
-        clean, flag = flag_blacklisted(clean, blacklist), "_blacklisted"
-    firsts = first_visits(clean, keys=dedupe_keys, flag=flag)
+    flag = FLAG if FLAG in clean.columns else None
+    if flag is None and blacklist is not None:
+        clean, flag = flag_blacklisted(clean, blacklist), FLAG
+    firsts = stored(first_visits(clean, keys=dedupe_keys, flag=flag), "first-visits")
     split = gap_sessions(firsts, dt_seconds, min_length=min_length, max_length=max_length, drop_flag=flag)
     return session_lines(split, max_length=max_length)
 
 
-def flag_blacklisted(views: DataFrame, blacklist, flag: str = "_blacklisted") -> DataFrame:
-    """Add a boolean ``flag``: the view's item is blacklisted.
+def flag_blacklisted(df: DataFrame, blacklist, flag: str = "_blacklisted", item_col: str = "qid") -> DataFrame:
+    """Add a boolean ``flag``: the row's item is blacklisted.
 
     A list is a literal ``IN``; a one-column DataFrame of item ids is
-    de-duplicated and left-joined (broadcast by AQE when it is small).
+    de-duplicated, written and left-joined.
     """
     if isinstance(blacklist, DataFrame):
-        bl = (blacklist.select(F.col(blacklist.columns[0]).alias("_bl_qid")).distinct()
-              .withColumn(flag, F.lit(True)))
-        return (views.join(bl, views["qid"] == bl["_bl_qid"], "left")
+        bl = stored(blacklist.select(F.col(blacklist.columns[0]).alias("_bl_qid")).distinct(), "blacklist").withColumn(flag, F.lit(True))
+        return (df.join(bl, df[item_col] == bl["_bl_qid"], "left")
                 .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).drop("_bl_qid"))
     items = list(blacklist)
-    return views.withColumn(flag, F.coalesce(F.col("qid").isin(items), F.lit(False)) if items else F.lit(False))
+    return df.withColumn(flag, F.coalesce(F.col(item_col).isin(items), F.lit(False)) if items else F.lit(False))

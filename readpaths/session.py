@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  Bounds of the time range are UTC
 # instants, so the session time zone must be UTC as well.
@@ -52,26 +52,29 @@ def ensure_conf(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession, sub: str | None = None) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Uses the cluster's ``spark.checkpoint.dir``; only when that is unset
-    (local tests) a folder under the system temp dir is set.  Returns a
-    fresh sub-folder when ``sub`` is given.
+    A session that names none may have set it on its context (local runs and
+    tests do); otherwise this raises, as no other folder is known to be
+    shared.  Returns a fresh sub-folder when ``sub`` is given.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="readpaths-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     base = base.rstrip("/")
-    if sub is None:
-        return base
-    return f"{base}/{sub}-{uuid.uuid4().hex[:12]}"
+    return base if sub is None else f"{base}/{sub}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    What several branches of a plan use is then computed once, a lost
+    executor costs nothing, and a join sees a plain scan on that side, so a
+    skewed partition of the other side can be split.
+    """
+    path = checkpoint_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scale_conf(input_bytes: int, partition_bytes: int = 256 * 1024 ** 2,
