@@ -8,7 +8,7 @@ Sub-packages:
 * ``functions`` -- column expressions shared by the operators
 * ``plans``     -- whole jobs composed from the operators
 * ``sinks``     -- parquet / text / json writers and job counters
-* ``streaming`` -- micro-batch entry for the sessions job
+* ``llm``       -- operators for training text (nothing else imports it)
 """
 
 from readpaths.session import checkpoint_dir, get_spark

@@ -45,22 +45,21 @@ def query_pairs(sessions: DataFrame, seed: str | int | None = None) -> DataFrame
                     F.element_at("page_ids", (i + 2).cast("int")).alias("trg"))
 
 
-def pairs_from_lines(lines: DataFrame, seed: str | int | None = None, line_col: str = "value",
-                     key_col: str | None = None) -> DataFrame:
-    """Pairs from session text lines (A5 + K1): ids split on a space.
+def pairs_from_lines(lines: DataFrame, seed: str | int | None = None, line_col: str = "value") -> DataFrame:
+    """One pair per session text line (A5 + K1): ids split on a space.
 
-    Text lines carry no actor or number, so the line's own text (or
-    ``key_col``) is the hash key.  Returns ``line_key, src, trg`` as strings.
+    Text lines carry no actor or number, so a line's key is its text and
+    its number among equal lines (``copy`` 1, 2, ...): every line draws for
+    itself, as in the reference.  Returns ``line, copy, src, trg``.
     """
-    ids = F.split(F.trim(F.col(line_col)), " ")
-    key = F.col(key_col) if key_col else F.col(line_col)
-    s = lines.select(key.cast("string").alias("line_key"), ids.alias("_ids")).where(F.size("_ids") >= 2)
-    n = F.size("_ids")
-    i = F.pmod(md5int(F.concat_ws("|", F.col("line_key"), F.lit("" if seed is None else str(seed)))),
-               (n - 1).cast("bigint"))
-    return s.select("line_key",
-                    F.element_at("_ids", (i + 1).cast("int")).alias("src"),
-                    F.element_at("_ids", (i + 2).cast("int")).alias("trg"))
+    line = F.trim(F.col(line_col))
+    counted = lines.groupBy(line.alias("line")).agg(F.count(F.lit(1)).alias("_times"))
+    ids = F.split("line", " ")
+    s = counted.where(F.size(ids) >= 2).select("line", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("copy"))
+    drawn = md5int(F.concat_ws("|", "line", F.col("copy").cast("string"), F.lit("" if seed is None else str(seed))))
+    i = F.pmod(drawn, (F.size(ids) - 1).cast("bigint"))
+    return s.select("line", "copy", F.element_at(ids, (i + 1).cast("int")).cast("bigint").alias("src"),
+                    F.element_at(ids, (i + 2).cast("int")).cast("bigint").alias("trg"))
 
 
 def limit_pairs(pairs: DataFrame, n_max: int | None = None, order=("actor", "session_no")) -> DataFrame:

@@ -225,6 +225,20 @@ def pairs_cte(seed: str, src: str = "lines", name: str = "pairs") -> str:
 )"""
 
 
+def line_pairs_cte(seed: str, src: str, name: str = "line_pairs") -> str:
+    """One pair per text line of ``src`` (a query for ``line``), equal lines numbered."""
+    return f"""
+{name}_n AS (
+  SELECT line, row_number() OVER (PARTITION BY line) AS copy, string_split(line, ' ') AS ids FROM ({src})
+),
+{name}_i AS (
+  SELECT *, {md5int(f"line || '|' || CAST(copy AS VARCHAR) || '|{seed}'")} % (len(ids) - 1) AS i FROM {name}_n WHERE len(ids) >= 2
+),
+{name} AS (
+  SELECT line, copy, CAST(ids[i + 1] AS BIGINT) AS src, CAST(ids[i + 2] AS BIGINT) AS trg FROM {name}_i
+)"""
+
+
 # ------------------------------------------------------------ graph
 def graph_ctes(wiki_db: str, snapshot: str) -> list[str]:
     """CTEs ``g_pages, g_rd, g_content, g_links, g_edges, g_endpoints`` of one wiki snapshot."""
@@ -256,11 +270,13 @@ g_endpoints AS (
 
 
 # ------------------------------------------------------------ text
-LEAD = r"""
+INLINE = ("a|abbr|b|bdi|bdo|cite|code|data|dfn|em|font|i|kbd|mark|q|s|samp|small|span|strong|sub|sup|time|u|var|wbr")
+LEAD = rf"""
 lead AS (
   SELECT page_id,
-         trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(<h2|</article>)', 1),
-                                            '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS text
+         trim(regexp_replace(regexp_replace(regexp_replace(
+           regexp_extract(html, '(?s)<article>(.*?)(<h2|</article>)', 1),
+           '(?i)</?(?:{INLINE})(?:\s[^>]*)?/?>', '', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text
   FROM pages
 )"""
 
@@ -268,7 +284,7 @@ lead AS (
 def word_count_cte(src: str, id_col: str, text_col: str, name: str) -> str:
     return rf"""
 {name}_tok AS (
-  SELECT {id_col} AS page_id, unnest(regexp_split_to_array(lower({text_col}), '[^\p{{L}}]+')) AS word FROM {src}
+  SELECT {id_col} AS page_id, unnest(regexp_split_to_array(lower({text_col}), '[^\p{{L}}\p{{N}}]+')) AS word FROM {src}
 ),
 {name} AS (
   SELECT page_id, word, count(*) AS n FROM {name}_tok WHERE length(word) >= 1 GROUP BY page_id, word
@@ -279,12 +295,11 @@ def text_vector_ctes(src: str = "lead", name: str = "tvec", rounded: bool = True
     val = "round(sum(c.n * u.x) / sum(c.n), 6)" if rounded else "sum(c.n * u.x) / sum(c.n)"
     return [word_count_cte(src, "page_id", "text", f"{name}_counts"), f"""
 {name}_vocab AS (
-  SELECT DISTINCT word FROM {name}_counts WHERE length(word) >= 3
+  SELECT DISTINCT word FROM {name}_counts
 ),
 {name}_wv AS (
   SELECT v.word, CAST(e.embedding AS DOUBLE[]) AS vector
-  FROM {name}_vocab v JOIN embeddings e ON e.vec_id = {md5int('v.word')} % 500
-  WHERE e.vec_id < 500
+  FROM {name}_vocab v JOIN embeddings e ON e.vec_id = {md5int('v.word')} % (SELECT count(*) FROM embeddings)
 ),
 {name}_dims AS (
   SELECT word, unnest(generate_series(1, len(vector))) AS dim, unnest(vector) AS x FROM {name}_wv
@@ -299,13 +314,18 @@ def text_vector_ctes(src: str = "lead", name: str = "tvec", rounded: bool = True
   FROM {name}_counts c JOIN {name}_unit u ON u.word = c.word
   GROUP BY c.page_id, u.dim
 ),
-{name} AS (
+{name}_known AS (
   SELECT page_id, list(m ORDER BY dim) AS vector FROM {name}_mean GROUP BY page_id
+),
+{name} AS (
+  SELECT t.page_id, coalesce(k.vector, list_resize(CAST([] AS DOUBLE[]), (SELECT max(len(embedding)) FROM embeddings), 0.0)) AS vector
+  FROM {src} t LEFT JOIN {name}_known k ON k.page_id = t.page_id
 )"""]
 
 
-def mlt_ctes(k: int, max_terms: int = 25, sources_sql: str | None = None, name: str = "mlt") -> list[str]:
+def mlt_ctes(k: int, sources_sql: str | None = None, candidates_sql: str | None = None, name: str = "mlt") -> list[str]:
     src_filter = f"WHERE doc_id IN ({sources_sql})" if sources_sql else ""
+    nn_filter = f"AND p.doc_id IN ({candidates_sql})" if candidates_sql else ""
     return [word_count_cte("documents", "doc_id", "text", f"{name}_counts"), f"""
 {name}_n AS (SELECT CAST(count(*) AS DOUBLE) AS n_docs FROM documents),
 {name}_df AS (SELECT word, count(*) AS df FROM {name}_counts GROUP BY word),
@@ -316,12 +336,11 @@ def mlt_ctes(k: int, max_terms: int = 25, sources_sql: str | None = None, name:
 {name}_w AS (SELECT * FROM {name}_w0 WHERE weight > 0),
 {name}_q AS (
   SELECT doc_id AS src, term, weight AS w_src FROM {name}_w {src_filter}
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= {max_terms}
 ),
 {name}_scored AS (
   SELECT q.src, p.doc_id AS nn, round(sum(q.w_src * p.weight), 6) AS score
   FROM {name}_q q JOIN {name}_w p ON p.term = q.term
-  WHERE p.doc_id <> q.src
+  WHERE p.doc_id <> q.src {nn_filter}
   GROUP BY q.src, p.doc_id
 ),
 {name} AS (

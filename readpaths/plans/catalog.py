@@ -13,6 +13,7 @@ sessions of 2-30 views, blacklist = latest item of page 42, items since
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ from readpaths.operators import sessions as ss
 from readpaths.operators import text as tx
 from readpaths.operators import vectors as vn
 from readpaths.plans import jobs
-from readpaths.session import checkpoint_dir, ensure_conf
+from readpaths.session import checkpoint_dir, ensure_conf, stored
 from readpaths.sinks import writers as wr
 from readpaths.sources import fixtures as fx
 from readpaths.sources import tables as tb
@@ -91,13 +92,12 @@ def _blacklist(spark, d):
         F.col("item_id").alias("qid"))
 
 
-def _joined(spark, d, wiki):
-    views = _daily(spark, d, wiki)
-    return ss.sequence_views(it.views_with_item(views, _latest(spark, d, wiki)))
+def _joined(spark, d, wiki, blacklist=None):
+    return jobs.session_views(fx.pageviews(spark, d), fx.item_links(spark, d), P.start, P.end, wiki, *P.n_p, P.item_since, blacklist=blacklist)
 
 
 def _sessions(spark, d, wiki=P.wiki):
-    return ss.reading_sessions(_joined(spark, d, wiki), P.dt, *P.length, blacklist=_blacklist(spark, d),
+    return ss.reading_sessions(_joined(spark, d, wiki, _blacklist(spark, d)), P.dt, *P.length,
                                dedupe_keys=jobs.dedupe_keys_for(wiki))
 
 
@@ -109,13 +109,19 @@ def _pairs(spark, d):
     return ev.query_pairs(_sessions(spark, d), P.seed)
 
 
-def _mlt_for_pairs(spark, d):
-    pairs = _pairs(spark, d)
-    return nb.more_like_this(fx.documents(spark, d), k=P.k, sources=pairs.select("src"))
+def _ranks(spark, d):
+    return jobs.search_ranks(_pairs(spark, d), fx.documents(spark, d), _graph_pages(spark, d), P.k)
 
 
-def _ranks(spark, d):
-    return ev.target_ranks(_pairs(spark, d), _mlt_for_pairs(spark, d))
+def _line_files(spark, d):
+    """Session lines of the dev and test actors, written as two text files and read back (B2, A5)."""
+    sessions = stored(_sessions(spark, d).withColumn("split", ev.split_of("actor")), "sessions")
+    out = {}
+    for name in ("dev", "test"):
+        path = checkpoint_dir(spark, f"session-lines-{name}")
+        wr.write_lines(sessions.where(F.col("split") == name), path)
+        out[name] = tb.read_session_lines(spark, path)
+    return out
 
 
 def _graph_pages(spark, d):
@@ -188,7 +194,8 @@ def q_views_with_item(spark, d):
 
 
 def q_actor_sequences(spark, d):
-    seq = ss.actor_sequences(_joined(spark, d, P.wiki))
+    days = (dt.date.fromisoformat(P.end) - dt.date.fromisoformat(P.start)).days
+    seq = ss.actor_sequences(_joined(spark, d, P.wiki), max_views=P.n_p[1] * days)
     return seq.select("actor", F.size("session").alias("n_views"),
                       F.concat_ws(" ", F.transform("session", lambda e: e["page_id"].cast("string"))).alias("line"))
 
@@ -277,6 +284,15 @@ def q_metrics_by_split(spark, d):
     return ev.metrics_by_split(_ranks(spark, d))
 
 
+def q_line_pairs(spark, d):
+    files = _line_files(spark, d)
+    return ev.pairs_from_lines(files["dev"].union(files["test"]), P.seed)
+
+
+def q_line_metrics(spark, d):
+    return jobs.line_evaluation(_line_files(spark, d), fx.documents(spark, d), _graph_pages(spark, d), P.k, P.seed)
+
+
 def q_metrics_json(spark, d):
     return ev.metrics_json(ev.next_page_metrics(_ranks(spark, d)))
 
@@ -314,16 +330,16 @@ def q_more_like_this_by_id(spark, d):
 
 
 def q_reduced_vectors(spark, d):
+    """Full-rank reduction: a rotation, so norms and the products with the first vector survive it."""
     from readpaths.operators import models
 
     emb = fx.page_vectors(spark, d)
-    return models.reduce_dimension(emb, k=16)
-
-
-def q_session_vectors(spark, d):
-    from readpaths.operators import models
-
-    return models.session_vectors(_sessions(spark, d), vector_size=16, seed=int(P.seed))
+    first = emb.orderBy("page_id").first()["vector"]
+    reduced = models.reduce_dimension(emb, k=len(first))
+    anchor = F.array(*[F.lit(x) for x in reduced.orderBy("page_id").first()["vector"]])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    return reduced.select("page_id", F.size("vector").alias("dimensions"), F.round(dot("vector", "vector"), 5).alias("square"),
+                       F.round(dot("vector", anchor), 5).alias("product"))
 
 
 def _with_conf(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -348,12 +364,16 @@ def _sql_sessions(wiki, select="SELECT actor, session_no, n_views, line FROM lin
     return O.with_(*O.session_chain(P, wiki)) + "\n" + select
 
 
+TITLED = "SELECT p.src FROM {} p JOIN g_pages g ON g.page_id = p.src WHERE length(g.page_title) > 0"
+
+
 def _sql_pairs(select):
     return O.with_(*O.session_chain(P, P.wiki), O.pairs_cte(P.seed)) + "\n" + select
 
 
 def _sql_ranks(select):
-    ctes = [*O.session_chain(P, P.wiki), O.pairs_cte(P.seed), *O.mlt_ctes(P.k, sources_sql="SELECT src FROM pairs"),
+    ctes = [*O.session_chain(P, P.wiki), O.pairs_cte(P.seed), *O.graph_ctes(P.graph_wiki, P.graph_snapshot),
+            *O.mlt_ctes(P.k, TITLED.format("pairs"), "SELECT page_id FROM g_pages"),
             """
 ranks AS (
   SELECT p.actor, p.session_no, p.src, p.trg, coalesce(CAST(m.rank AS DOUBLE), 1e6) AS rank
@@ -455,8 +475,22 @@ FROM tvec""",
     "more_like_this": O.with_(*O.mlt_ctes(P.k)) + "\nSELECT * FROM mlt",
     "more_like_this_by_id": O.with_(*O.session_chain(P, P.wiki), O.pairs_cte(P.seed),
                                     *O.graph_ctes(P.graph_wiki, P.graph_snapshot),
-                                    *O.mlt_ctes(P.k, sources_sql="""SELECT p.src FROM pairs p
-  JOIN g_pages g ON g.page_id = p.src WHERE length(g.page_title) > 0""")) + "\nSELECT * FROM mlt",
+                                    *O.mlt_ctes(P.k, TITLED.format("pairs"), "SELECT page_id FROM g_pages")) + "\nSELECT * FROM mlt",
+    "line_pairs": O.with_(*O.session_chain(P, P.wiki), O.line_pairs_cte(P.seed, "SELECT line FROM lines"))
+    + "\nSELECT * FROM line_pairs",
+    "line_metrics": O.with_(
+        *O.session_chain(P, P.wiki),
+        *(O.line_pairs_cte(P.seed, f"SELECT line FROM lines WHERE {SPLIT} = '{x}'", x) for x in ("dev", "test")),
+        "both_pairs AS (SELECT 'dev' AS input, src, trg FROM dev UNION ALL SELECT 'test', src, trg FROM test)",
+        *O.graph_ctes(P.graph_wiki, P.graph_snapshot), *O.mlt_ctes(P.k, TITLED.format("both_pairs"), "SELECT page_id FROM g_pages"),
+        "ranks AS (SELECT p.input, coalesce(CAST(m.rank AS DOUBLE), 1e6) AS rank "
+        "FROM both_pairs p LEFT JOIN mlt m ON m.src = p.src AND m.nn = p.trg)")
+    + f"\nSELECT input, {METRICS} FROM ranks GROUP BY 1",
+    "reduced_vectors": """
+SELECT e.vec_id AS page_id, CAST(len(e.embedding) AS INTEGER) AS dimensions,
+  round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 5) AS square,
+  round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[])), 5) AS product
+FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) f""",
 }
 
 

@@ -8,27 +8,38 @@ needs instead of recomputing it.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from readpaths.functions.columns import normalize_wiki
 from readpaths.operators import evaluate as ev
 from readpaths.operators import filters as flt
 from readpaths.operators import graph as gr
 from readpaths.operators import items as it
+from readpaths.operators import models as md
 from readpaths.operators import neighbors as nb
 from readpaths.operators import sessions as ss
 from readpaths.operators import text as tx
+from readpaths.session import stored
 from readpaths.sinks import writers as wr
 
 
 def session_views(pageviews: DataFrame, item_links: DataFrame, start, end, wiki_db: str | None = "enwiki",
                   n_p_min: int | None = flt.N_P_MIN, n_p_max: int | None = flt.N_P_MAX,
-                  item_since: str = it.DEFAULT_ITEM_SNAPSHOT_MIN, actor_col: str = "actor") -> DataFrame:
-    """Filtered page views with their item, in sequence shape."""
+                  item_since: str = it.DEFAULT_ITEM_SNAPSHOT_MIN, actor_col: str = "actor", blacklist=None) -> DataFrame:
+    """Filtered page views with their item, in sequence shape.
+
+    With ``blacklist`` the flag for H1 is set on the item map, one row per
+    page, and comes with the join.
+    """
     views = flt.hour_range_filter(pageviews, start, end)
     views = flt.pageview_filters(views, wiki_db)
     views = flt.daily_volume_filter(views, n_p_min, n_p_max, actor_col=actor_col)
     items = it.latest_item(item_links, item_since, wiki_db)
+    if blacklist is not None:
+        items = ss.flag_blacklisted(items, blacklist, ss.FLAG, "item_id")
     return ss.sequence_views(it.views_with_item(views, items), actor_col=actor_col)
 
 
@@ -48,18 +59,18 @@ def reading_sessions_job(pageviews: DataFrame, item_links: DataFrame, start=None
     ``start``/``end`` default to the last 8 days; give both or neither.
     """
     start, end = flt.resolve_time_range(start, end)
-    views = session_views(pageviews, item_links, start, end, wiki_db, n_p_min, n_p_max, item_since, actor_col)
+    views = session_views(pageviews, item_links, start, end, wiki_db, n_p_min, n_p_max, item_since, actor_col, blacklist)
     return ss.reading_sessions(views, dt_seconds, min_length, max_length, blacklist,
                                dedupe_keys=dedupe_keys_for(wiki_db))
 
 
 def run_reading_sessions(spark: SparkSession, pageviews: DataFrame, item_links: DataFrame, out_dir: str,
-                         start=None, end=None, wiki_db: str = "enwiki", **kw) -> str:
+                         start=None, end=None, wiki_db: str | None = "enwiki", **kw) -> str:
     """Write the session lines (gzip text, B2) under ``out_dir`` with the reference's name."""
     start, end = flt.resolve_time_range(start, end)
     sessions = reading_sessions_job(pageviews, item_links, start, end, wiki_db, **kw)
     fmt = lambda v: v if isinstance(v, str) else v.strftime("%Y-%m-%d-%H")
-    path = f"{out_dir.rstrip('/')}/{wr.output_name('sessions', normalize_wiki(wiki_db), fmt(start), fmt(end))}"
+    path = f"{out_dir.rstrip('/')}/{wr.output_name('sessions', normalize_wiki(wiki_db) or wr.ALL_WIKIS, fmt(start), fmt(end))}"
     wr.write_lines(sessions, path)
     return path
 
@@ -98,31 +109,46 @@ def run_graph(spark: SparkSession, page: DataFrame, redirect: DataFrame, pagelin
     return e_path, n_path
 
 
-def text_vectors_job(texts: DataFrame, word_vectors: DataFrame, digits: int | None = 6) -> DataFrame:
-    """``page_id, vector`` for each text (J7 after the source step)."""
-    return tx.text_vectors(texts, word_vectors, digits=digits)
-
+def dump_vectors_job(dump: DataFrame, word_vectors: DataFrame, digits: int | None = None,
+                     dimensions: int | None = None) -> DataFrame:
+    """Page dump -> articles -> lead text -> sentence vectors (J7): ``page_id, vector``.
 
-def dump_vectors_job(dump: DataFrame, word_vectors: DataFrame, digits: int | None = None) -> DataFrame:
-    """Page dump -> articles -> lead text -> sentence vectors (J7): ``page_id, vector``."""
+    With ``dimensions`` the word vectors are reduced first (J6), as the
+    reference shrinks its model before it averages.
+    """
+    if dimensions is not None:
+        word_vectors = md.reduce_dimension(word_vectors, dimensions, id_col="word", vec_col="vector")
     return tx.text_vectors(tx.dump_articles(dump), word_vectors, digits=digits)
 
 
-def evaluation_job(sessions: DataFrame, neighbors: DataFrame, seed=None, n_max: int | None = None,
-                   by_split: bool = True) -> DataFrame:
-    """Sessions -> pairs -> ranks -> metrics."""
+def search_ranks(pairs: DataFrame, docs: DataFrame, pages: DataFrame, k: int = nb.DEFAULT_K) -> DataFrame:
+    """Pairs with the rank of their target among the text neighbours of their source (K3-K5).
+
+    The source's title is looked up first: a source that is no page of
+    ``pages`` has no neighbours, and only those pages are candidates.
+    """
+    return ev.target_ranks(pairs, nb.more_like_this_by_id(pairs.select(F.col("src").alias("page_id")), pages, docs, k=k))
+
+
+def text_search_evaluation(sessions: DataFrame, docs: DataFrame, pages: DataFrame, k: int = nb.DEFAULT_K, seed=None,
+                           n_max: int | None = None, by_split: bool = True) -> DataFrame:
+    """Evaluate text neighbours (more like this) on next-page pairs of sessions (K7)."""
     pairs = ev.limit_pairs(ev.query_pairs(sessions, seed), n_max)
-    ranks = ev.target_ranks(pairs, neighbors)
+    ranks = search_ranks(pairs, docs, pages, k)
     return ev.metrics_by_split(ranks) if by_split else ev.next_page_metrics(ranks)
 
 
-def text_search_evaluation(sessions: DataFrame, docs: DataFrame, k: int = nb.DEFAULT_K, seed=None,
-                           n_max: int | None = None, by_split: bool = True) -> DataFrame:
-    """Evaluate text neighbours (more like this) on next-page pairs (K7).
+def line_evaluation(inputs: Mapping[str, DataFrame], docs: DataFrame, pages: DataFrame, k: int = nb.DEFAULT_K, seed=None,
+                    n_max: int | None = None) -> DataFrame:
+    """The evaluation as it runs on session text files, one per input such as dev and test (A5, K1-K7).
 
-    Neighbours are computed only for the pair sources.
+    ``inputs`` maps a name to lines as ``read_session_lines`` gives them;
+    ``n_max`` pairs of each, by line and number.  Neighbours are searched
+    once for the sources of all inputs.  Returns ``input, n, mrr, ...``.
     """
-    pairs = ev.limit_pairs(ev.query_pairs(sessions, seed), n_max)
-    neighbors = nb.more_like_this(docs, k=k, sources=pairs.select("src"))
-    ranks = ev.target_ranks(pairs, neighbors)
-    return ev.metrics_by_split(ranks) if by_split else ev.next_page_metrics(ranks)
+    pairs = None
+    for name, lines in inputs.items():
+        part = ev.limit_pairs(ev.pairs_from_lines(lines, seed), n_max, order=("line", "copy")).withColumn("input", F.lit(name))
+        pairs = part if pairs is None else pairs.union(part)
+    ranks = search_ranks(stored(pairs, "line-pairs"), docs, pages, k)
+    return ranks.groupBy("input").agg(*ev.metric_columns("rank"))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from readpaths.operators.text import vector_text_line
 
 
+ALL_WIKIS = "allwikis"  # in file names, when no wiki is selected
+
+
 def output_name(kind: str, wiki_db: str, *parts: str) -> str:
     """File names of the reference's outputs.
 
@@ -19,8 +22,8 @@ def output_name(kind: str, wiki_db: str, *parts: str) -> str:
         return "reading-sessions-actors_" + "_".join([wiki_db, *parts])
     if kind in ("edges", "nodes"):
         return f"graph_{wiki_db}_{'_'.join(parts)}_{kind}.parquet"
-    if kind == "vectors":
-        return "embedding-text_" + "_".join([wiki_db, *parts]) + ".vec.gz"
+    if kind == "vectors":  # parts: snapshot and number of dimensions
+        return "embedding-text_fasttext_" + "_".join([wiki_db, *parts]) + ".vec.gz"
     raise ValueError(f"unknown output kind {kind!r}")
 
 
