@@ -64,14 +64,32 @@ def test_limit_pairs_semantics(spark):
 def test_pairs_from_lines(spark):
     lines = spark.createDataFrame([("1 2 3",), ("4",), (" 5 6 ",)], "value string")
     got = sorted((r["src"], r["trg"]) for r in ev.pairs_from_lines(lines, seed=1).collect())
-    assert len(got) == 2 and ("5", "6") in got
+    assert len(got) == 2 and (5, 6) in got
+
+
+def test_equal_lines_draw_for_themselves(spark):
+    lines = spark.createDataFrame([("1 2 3 4",)] * 600, "value string")
+    got = Counter((r["src"], r["trg"]) for r in ev.pairs_from_lines(lines, seed=1).collect())
+    assert sum(got.values()) == 600 and set(got) == {(1, 2), (2, 3), (3, 4)} and min(got.values()) > 120
+
+
+def test_line_evaluation_of_two_inputs(spark):
+    from readpaths.plans import jobs
+
+    docs = spark.createDataFrame([(1, "red fox runs"), (2, "red fox sleeps"), (3, "blue whale"), (4, "blue whale swims"), (9, "red fox")], "doc_id long, text string")
+    pages = spark.createDataFrame([(1, "a"), (2, "b"), (3, ""), (4, "d")], "page_id long, page_title string")
+    inputs = {n: spark.createDataFrame(v, "value string") for n, v in {"dev": [("1 2",), ("1 2",)], "test": [("3 4",), ("7 1",)]}.items()}
+    got = {r["input"]: r for r in jobs.line_evaluation(inputs, docs, pages, k=5, seed=1).collect()}
+    # 9 is no page, so 2 is first for 1; a source without a title and one without a page have no neighbours
+    assert (got["dev"]["n"], got["dev"]["mrr"], got["dev"]["recall_at_1"]) == (2, 1.0, 1.0)
+    assert (got["test"]["n"], got["test"]["mrr"], got["test"]["recall_at_100"]) == (2, 1e-6, 0.0)
 
 
 # ---------------------------------------------------------------- text neighbours
-def brute_mlt(docs, k, max_terms=25):
+def brute_mlt(docs, k, max_terms=None):
     import re
 
-    toks = {d: re.findall(r"[a-z]+", t.lower()) for d, t in docs}
+    toks = {d: re.findall(r"[a-z0-9]+", t.lower()) for d, t in docs}
     n = len(docs)
     counts = {d: Counter(ws) for d, ws in toks.items()}
     df = Counter(w for c in counts.values() for w in c)
@@ -119,7 +137,7 @@ def brute_cos(vecs, k, sources=None):
     return out
 
 
-@pytest.mark.parametrize("clusters,block", [(1, 2048), (6, 2048), (6, 7)])
+@pytest.mark.parametrize("clusters,block", [(1, 2048), (6, 2048), (6, 7), (None, 2048)])
 def test_vector_neighbors_exact(spark, clusters, block):
     rng = np.random.default_rng(5)
     # uneven clusters: one big blob plus small ones
@@ -151,17 +169,30 @@ def test_vector_neighbors_for_sources_only(spark):
     assert got == exp
 
 
-@pytest.mark.parametrize("method", ["cells", "pairs"])
-def test_more_like_this_methods_agree_with_brute_force(spark, method):
+@pytest.fixture()
+def many_partitions(spark):
+    """Shuffles keep their partitions: what must meet has to hash alike."""
+    conf = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+@pytest.mark.parametrize(("clusters", "block"), [(6, 7), (None, 50)])
+def test_vector_neighbors_with_many_partitions(spark, many_partitions, clusters, block):
+    test_vector_neighbors_exact(spark, clusters, block)
+
+
+@pytest.mark.parametrize(("max_terms", "send"), [(None, 1 << 20), (None, 0), (5, 1 << 20), (5, 0)])
+def test_more_like_this_blocks_agree_with_brute_force(spark, many_partitions, max_terms, send):
     rng = random.Random(11)
-    vocab = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
-    docs = [(i, " ".join(rng.choice(vocab[: rng.randint(4, 36)]) for _ in range(rng.randint(2, 40))))
-            for i in range(60)]
-    docs = [(i, t.replace("w", "")) for i, t in docs]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
+    vocab = [f"{chr(97 + i)}{chr(97 + j)}{i}" for i in range(6) for j in range(6)]
+    docs = [(i, " ".join(rng.choice(vocab[: rng.randint(4, 36)]) for _ in range(rng.randint(2, 40)))) for i in range(60)]
+    df = spark.createDataFrame([*docs, (60, None), (61, "")], "doc_id long, text string")
     got = {}
-    for r in nb.more_like_this(df, k=6, max_terms=5, method=method, source_block=7, doc_block=9,
-                               block=5).orderBy("src", "rank").collect():
+    for r in nb.more_like_this(df, k=6, max_terms=max_terms, source_block=7, doc_block=9, send_bytes=send).orderBy("src", "rank").collect():
         got.setdefault(r["src"], []).append(r["nn"])
-    exp = {s: v for s, v in brute_mlt(docs, 6, 5).items() if v}
-    assert got == exp
+    assert got == {s: v for s, v in brute_mlt([*docs, (60, ""), (61, "")], 6, max_terms).items() if v}

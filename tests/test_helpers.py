@@ -1,32 +1,21 @@
-"""Helpers: blocked joins, checkpoint folder, cluster sizing."""
+"""Helpers: checkpoint folder, cluster sizing, sinks."""
 
-from pyspark.sql import functions as F
-
-from readpaths.operators.blocks import blocked_pairs
 from readpaths.session import checkpoint_dir, scale_conf
 
 
-def test_blocked_pairs_equal_plain_join_with_hot_key(spark):
-    # key 'hot' has 40 x 30 pairs, far more than one 4 x 4 cell
-    left = spark.createDataFrame([(i, "hot") for i in range(40)] + [(100, "cold")], "lid long, k string")
-    right = spark.createDataFrame([(j, "hot") for j in range(30)] + [(200, "cold"), (201, "none")],
-                                  "rid long, k string")
-    plain = sorted(tuple(r) for r in left.join(right, "k").select("lid", "rid").collect())
-    got = sorted(tuple(r) for r in blocked_pairs(left, right, "k", "lid", "rid", block=4)
-                 .select("lid", "rid").collect())
-    assert got == plain and len(got) == 40 * 30 + 1
-    counts = right.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    got2 = sorted(tuple(r) for r in blocked_pairs(left.join(counts, "k"), right.join(counts, "k"), "k", "lid", "rid",
-                                                  block=4, right_count="n").select("lid", "rid").collect())
-    assert got2 == plain
-
-
 def test_checkpoint_dir_keeps_the_session_setting(spark):
-    base = spark.conf.get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert checkpoint_dir(spark) == base.rstrip("/")
     sub = checkpoint_dir(spark, "x")
     assert sub.startswith(base.rstrip("/") + "/x-") and sub != checkpoint_dir(spark, "x")
-    assert spark.conf.get("spark.checkpoint.dir") == base
+
+
+def test_buckets_are_exact(spark):
+    from readpaths.functions.columns import bucket_of
+
+    us = [0, 1, 9_007_199_254_740_993, 3_600_000_000 * 2_500_000 - 1, -1, -3_600_000_000]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in us], "us long").select(bucket_of("us", 3_600_000_000)).collect()]
+    assert got == [u // 3_600_000_000 for u in us]
 
 
 def test_scale_conf_sizes_partitions():

@@ -5,8 +5,8 @@ import io
 
 import pytest
 
-import __spark_entry__ as entry
 from readpaths.operators import filters as flt
+from readpaths.plans import catalog
 from readpaths.sources import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -33,8 +33,8 @@ def test_time_range_prunes_partitions_and_filters_reach_scan(spark, tmp_dir):
     assert "pageview_info" not in schema
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_no_cartesian_or_nested_loop_join(spark, name):
-    text = plan_text(entry.queries()[name](spark, SF), "simple")
+    text = plan_text(catalog.queries()[name](spark, SF), "simple")
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text

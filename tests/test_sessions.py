@@ -3,9 +3,13 @@
 import datetime as dt
 import random
 
+import duckdb
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from readpaths import oracle as O
 from readpaths.operators import sessions as ss
 
 SCHEMA = "actor string, ts timestamp, page_id long, page_title string, wiki_db string, qid string"
@@ -98,38 +102,38 @@ def test_gap_sessions_no_filter_keeps_singletons(spark):
 
 def test_actor_sequences_sorted_with_null_ts_first(spark):
     rows = [("a", secs(10), 2, None), ("a", None, 7, None), ("a", secs(0), 1, None)]
-    seq = ss.actor_sequences(views(spark, rows)).collect()[0]["session"]
+    seq = ss.actor_sequences(views(spark, rows), 10).collect()[0]["session"]
     assert [e["page_id"] for e in seq] == [7, 1, 2]
 
 
-# ---------------------------------------------------------------- property check
-def python_sessions(rows, dt_s, lo=2, hi=30, blacklist=("Q5296",)):
-    """Straight re-implementation of the reference's per-actor loop."""
-    by_actor = {}
-    for a, ts, p, q in rows:
-        by_actor.setdefault(a, []).append((ts, p, f"page_{p}", "enwiki", q))
-    out = []
-    for a, seq in by_actor.items():
-        seq = sorted((r for r in seq if r[0] is not None), key=lambda r: (r[0], r[1]))
-        if not seq or any(r[4] in blacklist for r in seq):
-            continue
-        seen, dedup = set(), []
-        for r in seq:
-            if r[1] not in seen:
-                seen.add(r[1])
-                dedup.append(r)
-        sessions, cur = [], [dedup[0]]
-        for r in dedup[1:]:
-            if r[0] - cur[-1][0] > dt.timedelta(seconds=dt_s):
-                sessions.append(cur)
-                cur = [r]
-            else:
-                cur.append(r)
-        sessions.append(cur)
-        for s in sessions:
-            if lo <= len(s) <= hi:
-                out.append((a, " ".join(str(r[1]) for r in s)))
-    return sorted(out, key=repr)
+# ---------------------------------------------------------------- against SQL
+def sql_sessions(rows, dt_s, blacklist=("Q5296",)):
+    """``actor, line`` of the same views by window functions in DuckDB (the oracle's statements)."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE joined (actor VARCHAR, ts TIMESTAMP, page_id BIGINT, page_title VARCHAR, wiki_db VARCHAR, qid VARCHAR)")
+    if rows:
+        con.executemany("INSERT INTO joined VALUES (?, ?, ?, ?, 'enwiki', ?)", [(a, ts, p, f"page_{p}", q) for a, ts, p, q in rows])
+    items = " UNION ALL ".join(f"SELECT '{q}'" for q in blacklist) or "SELECT NULL WHERE false"
+    ctes = (O.blacklist_cte("joined", items), O.first_visits_cte("kept"), O.split_cte("firsts", dt_s), O.lines_cte("split", 2, 30))
+    return sorted(con.execute(O.with_(*ctes) + " SELECT actor, line FROM lines").fetchall(), key=repr)
+
+
+def check_properties(rows, got, dt_s):
+    """What any right answer has: lengths, first visits only, gaps within and between sessions."""
+    first = {}
+    for a, ts, p, _ in rows:
+        if ts is not None:
+            first[a, p] = min(first.get((a, p), ts), ts)
+    seen = set()
+    for actor, line in got:
+        pages = [int(p) for p in line.split()]
+        times = [first[actor, p] for p in pages]
+        assert 2 <= len(pages) <= 30 and times == sorted(times)
+        assert all((y - x).total_seconds() <= dt_s for x, y in zip(times, times[1:], strict=False))
+        assert not seen & {(actor, p) for p in pages}
+        seen |= {(actor, p) for p in pages}
+        before = [t for (a, p), t in first.items() if a == actor and t < times[0] and p not in pages]
+        assert not before or (times[0] - max(before)).total_seconds() > dt_s
 
 
 view_rows = st.lists(
@@ -140,19 +144,54 @@ view_rows = st.lists(
     min_size=0, max_size=40)
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=12, deadline=None)
 @given(view_rows, st.sampled_from([60, 600, 3600]))
-def test_matches_sequential_reference_loop(spark, rows, dt_s):
+def test_matches_sql_and_has_the_properties(spark, rows, dt_s):
     rows = [(a, None if s is None else secs(s), p, q) for a, s, p, q in rows]
-    expected = python_sessions(rows, dt_s)
     got = sorted(((r["actor"], r["line"]) for r in
                   ss.reading_sessions(views(spark, rows), dt_s).collect()), key=repr)
-    assert got == expected
+    assert got == sql_sessions(rows, dt_s)
+    check_properties(rows, got, dt_s)
 
 
-def test_random_large_actor_matches_loop(spark):
+def test_one_large_actor(spark):
     rng = random.Random(7)
     rows = [("x", secs(rng.randint(0, 200000)), rng.randint(0, 400), None) for _ in range(2000)]
     got = sorted(((r["actor"], r["line"]) for r in
                   ss.reading_sessions(views(spark, rows), 900, blacklist=None).collect()), key=repr)
-    assert got == python_sessions(rows, 900, blacklist=())
+    assert got == sql_sessions(rows, 900, blacklist=())
+    check_properties(rows, got, 900)
+
+
+def test_flag_on_the_item_map_is_the_same(spark):
+    rows = [("a", secs(0), 1, "Q1"), ("a", secs(10), 2, "Q7"), ("b", secs(0), 1, "Q1"), ("b", secs(10), 3, "Q3")]
+    df = views(spark, rows)
+    bl = spark.createDataFrame([("Q7",), ("Q7",)], "qid string")
+    flagged = ss.flag_blacklisted(df, bl)
+    assert lines(ss.reading_sessions(flagged, 3600, blacklist=None)) == lines(ss.reading_sessions(df, 3600, blacklist=bl)) == [("b", "1 3")]
+
+
+def test_actor_sequences_refuse_an_unbounded_actor(spark):
+    df = views(spark, [("a", secs(i), i, None) for i in range(5)])
+    assert ss.actor_sequences(df, 5).count() == 1
+    with pytest.raises(Exception, match="more than 4 views"):
+        ss.actor_sequences(df, 4).collect()
+
+
+def test_views_of_a_hot_page_are_split(spark):
+    from readpaths.operators import items as it
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        hot = spark.range(60_000).repartition(6).select(F.when(F.col("id") % 20 == 0, F.col("id") % 50).otherwise(7).alias("page_id"), F.lit("enwiki").alias("wiki_db"), F.rand(1).alias("x"))
+        links = spark.range(50).select(F.lit("enwiki").alias("wiki_db"), F.col("id").alias("page_id"), F.lit("2024-01-01").alias("snapshot"), F.col("id").cast("string").alias("item_id"))
+        out = it.views_with_item(hot, it.latest_item(links))
+        assert len(out.collect()) == 60_000
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

@@ -19,7 +19,7 @@ def test_lead_from_html(spark):
             "<p>First  <b>bold</b>\n para.</p><h2>Next</h2><p>rest</p></article></body></html>")
     df = spark.createDataFrame([(1, html), (2, "<p>no article</p>")], "page_id long, html string")
     got = dict((r["page_id"], r["text"]) for r in tx.lead_text(df).collect())
-    assert got == {1: "TitleFirst bold para.", 2: ""}
+    assert got == {1: "Title First bold para.", 2: ""}
 
 
 def test_lead_from_wikitext(spark):
@@ -29,6 +29,14 @@ def test_lead_from_wikitext(spark):
     assert df.select(tx.lead_from_wikitext("t").alias("x")).collect()[0]["x"] == "Foo is a Bar thing. More baz text."
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("== A ==\nfoo", ""), ("x = y\n= no heading\nmore\n=== H ===  \nz", "x = y = no heading more"), ("{{a|{{b|{{c}}}}}}x", "x"), ("{{never closed", ""),
+    ("[[File:x.jpg|thumb|see [[Foo]] here]] tail", "tail"), ("[[a]] [[File:q]] [[b|B [[c]] d]] [http://x.y lab el] [[Category:Z]]e", "a B c d lab el e"),
+    ("a&nbsp;b &amp;lt; &#233;&#x1F600; &ndash; c", "a b &lt; é😀 – c"), ("{| class\n| {{x}} {| n |} |}after", "after"), ("a<br>b<ref name=x/>c <!-- d -->e", "a bc e"), ("", ""), (None, None)])
+def test_wikitext_cases(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(tx.lead_from_wikitext("t").alias("x")).first()["x"] == want
+
+
 DUMP = """<mediawiki>
 <page><title>Alpha</title><ns>0</ns><id>1</id>
   <revision><id>11</id><text xml:space="preserve">Alpha is [[beta]].
@@ -48,23 +56,27 @@ def test_page_dump_source_skips_redirects_and_namespaces(spark, tmp_dir):
         f.write(bz2.compress(DUMP.encode()))
     with open(os.path.join(tmp_dir, "xwiki-20200801-pages-articles-multistream1.xml.bz2"), "wb") as f:
         f.write(b"")
-    paths = tb.dump_paths(tmp_dir, "xwiki", "20200801")
-    assert paths == [path]
+    paths = tb.dump_paths(spark, tmp_dir, "xwiki", "20200801")
+    assert paths == [f"file:{path}"]
     arts = tx.dump_articles(tb.read_page_dump(spark, paths)).collect()
     assert [(r["page_id"], r["page_title"], r["text"]) for r in arts] == [(1, "Alpha", "Alpha is beta.")]
 
 
-def test_dump_paths_fall_back_to_full_file(tmp_dir):
-    assert tb.dump_paths(tmp_dir, "ywiki", "20200801") == [f"{tmp_dir}/ywiki-20200801-pages-articles.xml.bz2"]
+def test_dump_paths_fall_back_to_full_file(spark, tmp_dir):
+    with open(os.path.join(tmp_dir, "ywiki-20200801-pages-articles.xml.bz2"), "wb") as f:
+        f.write(bz2.compress(DUMP.encode()))
+    paths = tb.dump_paths(spark, tmp_dir, "ywiki", "20200801")
+    assert paths == [f"{tmp_dir}/ywiki-20200801-pages-articles.xml.bz2"] and tb.read_page_dump(spark, paths).count() == 3
+    assert tb.dump_paths(spark, tmp_dir, "none", "20200801") == [f"{tmp_dir}/none-20200801-pages-articles.xml.bz2"]
 
 
 def test_text_vectors_mean_of_unit_word_vectors(spark):
-    texts = spark.createDataFrame([(1, "cat cat dog xx"), (2, "zzz")], "page_id long, text string")
-    wv = spark.createDataFrame([("cat", [3.0, 4.0]), ("dog", [0.0, 2.0]), ("zero", [0.0, 0.0])],
+    texts = spark.createDataFrame([(1, "cat cat dog xx"), (2, "zzz"), (3, ""), (4, None), (5, "7up zero")], "page_id long, text string")
+    wv = spark.createDataFrame([("cat", [3.0, 4.0]), ("dog", [0.0, 2.0]), ("zero", [0.0, 0.0]), ("7up", [0.0, 5.0])],
                                "word string, vector array<float>")
     got = {r["page_id"]: r["vector"] for r in tx.text_vectors(texts, wv).collect()}
     exp = (2 * np.array([0.6, 0.8]) + np.array([0.0, 1.0])) / 3
-    assert list(got) == [1]
+    assert sorted(got) == [1, 2, 3, 4, 5] and got[2] == got[3] == got[4] == [0.0, 0.0] and got[5] == [0.0, 1.0]
     assert got[1] == pytest.approx(exp.round(6).tolist())
 
 
@@ -96,20 +108,17 @@ def test_output_names():
     assert wr.output_name("sessions", "enwiki", "2020-04-01-00", "2020-04-09-00") == \
         "reading-sessions-actors_enwiki_2020-04-01-00_2020-04-09-00"
     assert wr.output_name("nodes", "simplewiki", "2020-07") == "graph_simplewiki_2020-07_nodes.parquet"
+    assert wr.output_name("vectors", "enwiki", "20200801", "50") == "embedding-text_fasttext_enwiki_20200801_50.vec.gz"
 
 
 def test_pca_dimensions(spark):
     rng = np.random.default_rng(0)
     df = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(30)], "page_id long, vector array<double>")
     out = models.reduce_dimension(df, k=3).collect()
-    assert len(out) == 30 and all(len(r["vector"]) == 3 for r in out)
-
-
-def test_session_vectors(spark):
-    s = spark.createDataFrame([([1, 2, 3],), ([2, 3, 4],), ([1, 4],)], "page_ids array<long>")
-    out = models.session_vectors(s, vector_size=4).collect()
-    assert sorted(r["page_id"] for r in out) == [1, 2, 3, 4]
-    assert all(len(r["vector"]) == 4 for r in out)
+    x = np.array([r["vector"] for r in sorted(df.collect(), key=lambda r: r["page_id"])])
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    want = np.abs(x @ axes[:, np.argsort(-values)[:3]])
+    assert np.abs([r["vector"] for r in sorted(out, key=lambda r: r["page_id"])]) == pytest.approx(want, abs=1e-8)
 
 
 def test_run_reading_sessions_writes_gzip(spark, tmp_dir):
@@ -125,22 +134,13 @@ def test_run_reading_sessions_writes_gzip(spark, tmp_dir):
     assert lines.where(F.col("value").rlike("^[0-9]+( [0-9]+)+$")).count() == lines.count()
 
 
-def test_session_stream_matches_batch(spark, tmp_dir):
+def test_run_reading_sessions_of_all_wikis(spark, tmp_dir):
     from readpaths.plans import jobs
     from readpaths.sources import fixtures as fx
-    from readpaths.streaming import start_session_stream
 
     d = "/root/testdata/sf0.001"
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    out, ckpt = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ckpt")
-    kw = dict(wiki_db="enwiki", item_since="2000-01-01", n_p_max=3)
-    q = start_session_stream(spark, d, schema, fx.item_links(spark, d), out, ckpt, "2024-01-01", "2024-02-01",
-                             prepare=fx.pageviews_from_events, glob="events.parquet", **kw)
-    q.awaitTermination()
-    streamed = sorted(r["value"] for r in spark.read.text(f"{out}/batch=*").collect())
-    batch = jobs.reading_sessions_job(fx.pageviews(spark, d), fx.item_links(spark, d), "2024-01-01", "2024-02-01", **kw)
-    assert streamed == sorted(r["line"] for r in batch.collect())
-    assert len(streamed) > 0
+    path = jobs.run_reading_sessions(spark, fx.pageviews(spark, d), fx.item_links(spark, d), tmp_dir, "2024-01-01", "2024-02-01", None, item_since="2000-01-01")
+    assert os.path.basename(path) == "reading-sessions-actors_allwikis_2024-01-01_2024-02-01" and spark.read.text(path).count() > 0
 
 
 def test_dump_vectors_job(spark, tmp_dir):
@@ -150,8 +150,11 @@ def test_dump_vectors_job(spark, tmp_dir):
     with open(path, "wb") as f:
         f.write(bz2.compress(DUMP.encode()))
     wv = spark.createDataFrame([("alpha", [1.0, 0.0]), ("beta", [0.0, 2.0])], "word string, vector array<float>")
-    out = jobs.dump_vectors_job(tb.read_page_dump(spark, tb.dump_paths(tmp_dir, "zwiki", "20200801")), wv).collect()
+    dump = tb.read_page_dump(spark, tb.dump_paths(spark, tmp_dir, "zwiki", "20200801"))
+    out = jobs.dump_vectors_job(dump, wv).collect()
     assert [(r["page_id"], [round(x, 6) for x in r["vector"]]) for r in out] == [(1, [0.5, 0.5])]
+    reduced = jobs.dump_vectors_job(dump, wv, dimensions=1).collect()
+    assert [(r["page_id"], len(r["vector"])) for r in reduced] == [(1, 1)]
 
 
 def test_text_search_evaluation_equals_catalog_metrics(spark):
@@ -160,7 +163,7 @@ def test_text_search_evaluation_equals_catalog_metrics(spark):
     from readpaths.sources import fixtures as fx
 
     d = "/root/testdata/sf0.001"
-    got = jobs.text_search_evaluation(C._sessions(spark, d), fx.documents(spark, d), k=C.P.k, seed=C.P.seed)
+    got = jobs.text_search_evaluation(C._sessions(spark, d), fx.documents(spark, d), C._graph_pages(spark, d), k=C.P.k, seed=C.P.seed)
     exp = C.q_metrics_by_split(spark, d)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
 
