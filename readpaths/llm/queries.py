@@ -81,5 +81,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP2_SQL = f"""
+WITH words AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM words WHERE len(ws) >= 50),
+windows AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k FROM starts),
+firsts AS (SELECT k, min(doc_id) AS lowest FROM windows GROUP BY k),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p
+  FROM windows JOIN firsts USING (k) WHERE doc_id > lowest
+),
+placed AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM words),
+kept AS (
+  SELECT a.doc_id, string_agg(a.word, ' ' ORDER BY a.p) AS text, count(*) AS n
+  FROM placed a LEFT JOIN gone g ON g.doc_id = a.doc_id AND g.p = a.p WHERE g.p IS NULL GROUP BY a.doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id"""
+
+_DIGITS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {1 + 5 * (i // 4)}, 5) AS BIGINT) >> {15 - 5 * (i % 4)}) & 31 AS INTEGER) + 1, 1)"
+    for i in range(32))
+OP4_SQL = f"""
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+ranked AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM hashed)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_DIGITS} AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM ranked"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the operator: the others rest on hashes, models and codes that SQL lacks."""
+    return {"op2_substring_dedup": OP2_SQL, "op4_warc_transactions": OP4_SQL}
