@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readpaths.llm.shared import stored
+from readpaths.llm.shared import bounded_batches, stored
 from readpaths.llm.words import U64, row_ranges, utf8
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 BLOCK_ROWS = 200_000
 BUCKET_BYTES = 4 << 20  # text per bucket
 LEAST_BUCKETS = 64
@@ -65,6 +65,7 @@ def block_table(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOC
     columns, as they are), ``sizes`` and ``text`` (zstd).  A null text counts
     as empty.  A block never spans two input partitions.
     """
+    bounded_batches(docs.sparkSession)
     others = T.StructType([f for f in docs.schema if f.name != text_col])
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("raw", T.LongType()),
                            T.StructField("meta", T.ArrayType(others)), T.StructField("sizes", T.ArrayType(T.LongType())),

@@ -34,9 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from readpaths.llm.shared import bounded_batches
+
 NONE = np.int64(1) << 40  # rank of a pair that never merges
-KNOWN_PIECES = 400_000  # pre-tokens a worker keeps encoded between pieces; all are encoded, kept or not
-PIECE_CHARS = 6_000_000
+KNOWN_PIECES = 150_000  # pre-tokens a worker keeps encoded between pieces; all are encoded, kept or not
+PIECE_CHARS = 2_000_000
 ROW_DOCS = 2000
 
 
@@ -262,6 +264,7 @@ def _ranges(sizes: list[int], limit: int, rows: int) -> Iterator[tuple[int, int]
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns and ``ids`` (array of int) of the texts, one row per input row."""
+    bounded_batches(docs.sparkSession)
     with open(rank_path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     through = [f"c{i}" for i in range(len(carry))]
@@ -283,6 +286,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text"
 def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """The columns of ``encoded`` with ``n_tokens, ids_sha256`` (of the decimal ids joined by one space) and
     ``decoded_sha256`` (of the bytes of the ids' tokens)."""
+    bounded_batches(encoded.sparkSession)
     with open(rank_path, "rb") as f:
         ranks = encoded.sparkSession.sparkContext.broadcast(f.read())
     through = [f"c{i}" for i in range(len(encoded.columns))]

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readpaths.llm.html_labelled import pages as labelled_pages
+from readpaths.llm.shared import bounded_batches
 
 SAMPLE_PAGES = 500
 SMOOTHING = 0.5
@@ -363,6 +364,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: Model | None = None) -> DataFrame:
     """``<id_col>, <url_col>, text, n_chars`` of every page."""
+    bounded_batches(pages.sparkSession)
     learned = train(pages, id_col, html_col) if model is None else model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

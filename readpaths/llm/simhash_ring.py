@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readpaths.llm.shared import stored
+from readpaths.llm.shared import bounded_batches, stored
 from readpaths.llm.words import LOWER
 
 BITS = 64
@@ -65,6 +65,7 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """``<id_col>, fingerprint`` (as a signed long), one row per input row."""
+    bounded_batches(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ from readpaths.llm.words import U64, find_words, mix, window_hashes, window_star
 
 MIN_WORDS = 50
 ANCHOR_WORDS = 10
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 NO_ID = np.iinfo(np.int64).max
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from readpaths.llm.shared import stored
+from readpaths.llm.shared import bounded_batches, stored
 
 K = 20
 FACTOR = 1.1
@@ -154,6 +154,7 @@ def neighbours(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
 
     ``query`` picks the query rows (default: ids divisible by 20); candidates are all other rows.
     """
+    bounded_batches(table.sparkSession)
     kept = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     kept = kept.where(F.col("id").isNotNull() & usable(F.col("v")))
     facts = kept.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("square")).first()

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readpaths.llm.shared import shared_path, stored
+from readpaths.llm.shared import bounded_batches, shared_path, stored
 
 CRLF = "\r\n"
 BOUNDARY = "\r\n\r\n"
@@ -172,6 +172,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
         if rows:
             yield batch()
 
+    bounded_batches(spark)
     lines = spark.read.option("lineSep", BOUNDARY + VERSION).text(path)
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")).mapInArrow(run, RECORD)
 

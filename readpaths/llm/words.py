@@ -20,7 +20,8 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_STEP, _WINDOW_STEP = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+WINDOW_STEP = 1 << 18  # windows hashed at once
+_STEP, _WINDOW_BASE = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,8 +53,8 @@ class _Powers:
 
 
 _BYTE_POWERS = _Powers(U64(0xA0761D6478BD642F))
-_POWERS = _Powers(_WINDOW_STEP)
-_INVERSE = _Powers(U64(pow(int(_WINDOW_STEP), -1, 1 << 64)))
+_POWERS = _Powers(_WINDOW_BASE)
+_INVERSE = _Powers(U64(pow(int(_WINDOW_BASE), -1, 1 << 64)))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,13 +126,15 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of every ``k`` consecutive entries; entry i covers i .. i + k - 1."""
-    n = len(hashes)
-    if n < k:
-        return np.zeros(0, dtype=U64)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, dtype=U64)
-        np.cumsum(hashes * _POWERS.upto(n), out=total[1:])
-        return mix((total[k:] - total[:-k]) * _INVERSE.upto(n)[: n - k + 1])
+    n = len(hashes) - k + 1
+    out = np.zeros(max(n, 0), dtype=U64)
+    for i in range(0, n, WINDOW_STEP):  # a window's hash does not depend on where its piece starts
+        part = hashes[i : min(i + WINDOW_STEP, n) + k - 1]
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(part) + 1, dtype=U64)
+            np.cumsum(part * _POWERS.upto(len(part)), out=total[1:])
+            out[i : i + WINDOW_STEP] = mix((total[k:] - total[:-k]) * _INVERSE.upto(len(part))[: len(part) - k + 1])
+    return out
 
 
 def window_starts(first: np.ndarray, k: int) -> np.ndarray:
