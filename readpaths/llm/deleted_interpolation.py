@@ -41,7 +41,7 @@ HELD_OUT_FOLD = 2  # never learned from
 DELETED_FOLD = 3  # of the training folds, the one whose counts train the weights
 ROUNDS = 12
 PRIOR = 1.0  # pseudo-count of each weight in each bucket
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 UNIGRAM, BIGRAM = 0, 1
 START, END = U64(0x2545F4914F6CDD1D), U64(0x9FB21C651E98DF25)  # keys of the two marks
 BUCKETS = 48  # by the context's count: 0, 1, 2-3, 4-7, ...
@@ -147,18 +147,16 @@ def _bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(np.float64))[1], BUCKETS - 1)
 
 
-def _aligned(keys: np.ndarray, values: np.ndarray, sought: np.ndarray) -> np.ndarray:
-    """``values`` of ascending distinct ``keys``, for each of ``sought``."""
-    return values[np.searchsorted(keys, sought)].astype(np.int64)
-
-
 def _counts(t: _Tokens, replies: dict[int, list], kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token: counts of its context, of the token and of the bigram."""
-    keys = np.unique(np.concatenate((t.tokens, np.full(min(1, len(t.size)), START))))
-    one = bl.replied(replies.get(kind + UNIGRAM))
-    pairs = np.unique(t.bigrams)
-    two = bl.replied(replies.get(kind + BIGRAM))
-    return _aligned(keys, one, t.context), _aligned(keys, one, t.tokens), _aligned(pairs, two, t.bigrams)
+    # the start mark goes last, so that a context is the entry before its token, or the last one
+    _, slot = np.unique(np.concatenate((t.tokens, np.full(min(1, len(t.size)), START))), return_inverse=True)
+    one = bl.replied(replies.get(kind + UNIGRAM)).astype(np.int64)[slot]
+    _, slot = np.unique(t.bigrams, return_inverse=True)
+    two = bl.replied(replies.get(kind + BIGRAM)).astype(np.int64)[slot]
+    word, context = one[:-1], np.concatenate((one[-1:], one[:-2]))
+    context[t.last - t.size + 1] = one[-1:] if len(t.size) else 0
+    return context, word, two
 
 
 def fit_weights(rows: DataFrame, core: Corpus, rounds: int = ROUNDS) -> np.ndarray:
