@@ -173,4 +173,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = stored(marked.groupBy("fingerprint").agg(F.min(order).alias("first")), "firsts")
     roots = _named(marked, "id", max_bits).select("fingerprint", "root")
     winners = stored(firsts.join(roots, "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.c").alias("number")), "winners")
-    return numbered.join(winners, "number", "left_semi").select("row.*")
+    # pinned to a sort-merge join: the winners grow with the table, so a plan that sends them everywhere only suits small ones
+    return numbered.join(winners.hint("merge"), "number", "left_semi").select("row.*")
