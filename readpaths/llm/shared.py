@@ -15,8 +15,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-#: Bytes of rows that Spark hands to a Python worker at once; its own default is eight times as many.
-BATCH_BYTES = 8 << 20
+#: Bytes of rows that Spark hands to a Python worker at once; its own default is sixteen times as many.
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
