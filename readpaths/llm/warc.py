@@ -112,8 +112,8 @@ def records(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[dict[str, str
     """(fields, block) of every record of archive text (file, piece) that was cut at boundary and version line.
 
     A piece shorter than its record's ``Content-Length`` was cut inside the
-    block and goes on in the next piece; a record cut off by the end of its
-    file is left out.
+    block and goes on in the next piece, which may hold the next record too; a
+    record cut off by the end of its file is left out.
     """
     cut = (BOUNDARY + VERSION).encode()
     parts: list[bytes] = []
@@ -128,7 +128,11 @@ def records(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[dict[str, str
         if parts and not opens_file and have < want:
             parts.append(piece)
             have += len(cut) + len(piece)
-            continue
+            if have <= want or not (text := cut.join(parts)).startswith(cut, want):
+                continue
+            # the block's end and the boundary made a cut together: the next record is in this piece
+            yield fields, text[:want]
+            parts, piece = [], text[want + len(cut) :]
         if parts and (block := whole()) is not None:
             yield fields, block
         head, _, block = (piece.removeprefix(VERSION.encode()) if opens_file else piece).partition(BOUNDARY.encode())

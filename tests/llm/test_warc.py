@@ -37,6 +37,13 @@ def test_captures_match_brute_force(spark):
     assert all(r["digest_ok"] for r in out.collect())
 
 
+def test_payload_end_and_boundary_make_a_cut(spark):
+    end = CUT[:-2]
+    rows = [(1, "a", "x" + end), (2, "b", "WARC/1.1"), (3, "c", CUT + "y" + CUT + end), (4, "d", end + end), (5, "e", "x" + end), (6, "f", end + "\r\n"), (7, "g", "plain")]
+    out = X.captures(spark.createDataFrame(rows, PAGES).coalesce(1)).collect()
+    assert sorted((tuple(r)[:5] for r in out), key=str) == plain(rows) and all(r["digest_ok"] for r in out)
+
+
 def test_large_group_of_equal_payloads(spark):
     rows = [(i, f"http://h/{i}", "same" if i % 3 else f"own {i}") for i in range(600)]
     assert captured(spark.createDataFrame(rows, PAGES).repartition(7)) == plain(rows)
