@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readpaths.llm import bpe_queue, deleted_interpolation, html_tree, quality_kn, raking, simhash_ring, substring_dedup, url_markov, vptree, warc
+from readpaths.llm import bpe_queue, deleted_interpolation, gnat, html_tree, merkle, quality_kn, raking, simhash_ring, substring_dedup, token_frames, url_markov, vptree, warc
+from readpaths.llm.shared import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,31 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_ring.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-frames")
+    token_frames.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_frames.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec, label = F.col("vec_id"), F.col("label").cast("long")
+    changed = F.when(vec % 7 == 0, F.pmod(label + 1, F.lit(10))).otherwise(label)
+    return gnat.hard_negatives(_table(spark, sf_dir, "embeddings"), changed, F.col("id") % 100 == 0, positives=5, negatives=5, least_percent=80)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh checksum's row is tampered with (one more in ``n_chars``) before its root is folded again."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    other = merkle.leaf([F.try_add(F.col(f).cast("long"), F.lit(1)) if f == "n_chars" else F.col(f) for f in fields])
+    made = merkle.manifest(_table(spark, sf_dir, "documents"), fields, "doc_id", "lang", carry={"changed": F.when(tampered, F.unhex(other))})
+    text = lambda c: F.lower(F.hex(c))
+    folded = merkle.fold(text(F.coalesce("changed", "leaf")), F.col("proof"))
+    named = [text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    out = made.select("doc_id", *named, merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -78,6 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": op8_url_filters,
         "op9_mixing_sources": op9_mixing_sources,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "op11_token_frames": op11_token_frames,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -111,6 +140,76 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_DIGITS} AS pay
 FROM ranked"""
 
 
+OP12_SQL = """
+WITH good AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.id AS anchor_id, a.label = b.label AS same, b.id, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM good a JOIN good b ON a.id <> b.id AND len(a.v) = len(b.v) WHERE a.id % 100 = 0
+),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 5"""
+
+
+def _leaf(n_chars: str) -> str:
+    part = "coalesce(strlen({0}) || ':' || {0}, '-')"
+    return "sha256(" + " || ".join(part.format(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+# the checksum bit by bit: SQL has no function for it
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, c: list_reduce(list_prepend(xor(a, c), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))))"""
+OP13_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS own,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n
+  FROM documents
+),
+nodes AS (
+  SELECT lang, 0 AS height, idx, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lang, height + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY lang, height, idx // 2, n
+),
+langs AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1
+),
+over_nodes AS (
+  SELECT 0 AS height, idx, n, subroot AS h FROM langs
+  UNION ALL
+  SELECT height + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM over_nodes WHERE n > 1 GROUP BY height, idx // 2, n
+),
+walk AS (
+  SELECT l.doc_id, l.lang, l.leaf, 0 AS upper, 0 AS height, l.idx, l.n, l.own AS folded, '' AS proof FROM leaves l
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.leaf, w.upper, w.height + 1, w.idx // 2, (w.n + 1) // 2,
+    sha256(CASE WHEN w.idx % 2 = 1 THEN s.h || w.folded ELSE w.folded || coalesce(s.h, '') END), w.proof || coalesce(s.h, '')
+  FROM walk w LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM w.lang AND s.height = w.height AND s.idx = xor(w.idx, 1)
+  WHERE w.n > 1
+),
+over_walk AS (
+  SELECT w.doc_id, w.lang, w.leaf, 0 AS height, g.subroot, g.idx, g.n, w.folded, w.proof
+  FROM walk w JOIN langs g ON g.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.leaf, w.height + 1, w.subroot, w.idx // 2, (w.n + 1) // 2,
+    sha256(CASE WHEN w.idx % 2 = 1 THEN s.h || w.folded ELSE w.folded || coalesce(s.h, '') END), w.proof || coalesce(s.h, '')
+  FROM over_walk w LEFT JOIN over_nodes s ON s.height = w.height AND s.idx = xor(w.idx, 1)
+  WHERE w.n > 1
+),
+top AS (SELECT h AS root FROM over_nodes WHERE n = 1)
+SELECT doc_id, leaf, subroot, (SELECT root FROM top) AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = (SELECT root FROM top) AS verified
+FROM over_walk WHERE n = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the operator: the others rest on hashes, models and codes that SQL lacks."""
-    return {"op2_substring_dedup": OP2_SQL, "op4_warc_transactions": OP4_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op4_warc_transactions": OP4_SQL, "op12_hard_negatives": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
