@@ -24,7 +24,10 @@ opened with ``pyarrow.fs``, so the folder may be on any store that it knows
 
 Words between ASCII white space are encoded once and remembered: the
 tokenizer's pattern never crosses white space, so a text's ids are those of
-its words.  The words that a task remembers are bounded.
+its words.  The words that a task remembers are bounded.  New words of plain
+letters and marks go to the library's merge model directly, which is what its
+normaliser and pattern would hand it; all others go through the whole library.
+The vocabulary is one of byte-level pieces in lower case.
 
 Cases: a null text is an empty one, of which the end id remains; a null id
 sorts first; rows with equal ids are ordered by a hash of their frames, and
@@ -38,7 +41,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -62,8 +67,15 @@ KNOWN_WORDS = 200_000     # words of either of two generations that a task remem
 KNOWN_BYTES = 64          # longer words are not remembered
 FILE_BYTES = 256 << 20
 READ_BYTES = 8 << 20      # neighbouring frames that are read at once
+KNOWN_TAILS = 10_000
 MAGIC = b"IDFRAME1"
 HEADER = 8 + 4 + 32
+# Letters whose composed form and lower case are their own affair, then ASCII marks without an apostrophe: the
+# vocabulary's pattern cuts between the two and nowhere else.
+PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+# The characters that byte-level vocabularies write bytes as: printable ones as they are, the others from 256 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LEVEL = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 class Encoder:
@@ -75,14 +87,47 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "<u4")
-        self.end = np.array([end_id], self.kind).tobytes()
+        self.model = self.tokenizer.model
+        small = max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16
+        self.kind, self.code = (np.dtype("<u2"), "H") if small else (np.dtype("<u4"), "I")
+        self.end = array(self.code, [end_id]).tobytes()
+        self.tails: dict[str, bytes] = {}
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _ids(self, words: list[bytes]) -> Iterator[bytes]:
         for found in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False):
-            yield np.array(found.ids, self.kind).tobytes()
+            yield array(self.code, found.ids).tobytes()
+
+    def _merged(self, letters: str) -> bytes:
+        """Ids of letters that the tokenizer's own normaliser and pattern would leave as one piece."""
+        lowered = letters.lower()
+        piece = lowered if lowered.isascii() else lowered.encode().decode("latin-1").translate(BYTE_LEVEL)
+        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _learn(self, fresh: list[bytes]) -> dict[bytes, bytes]:
+        """Remember the ids of new words; those of words too long to be remembered are returned."""
+        long, odd, new = {}, [], self.new
+        for w in fresh:
+            plain = PLAIN_WORD.fullmatch(w.decode()) if len(w) <= KNOWN_BYTES else None
+            if not plain:
+                odd.append(w)
+                continue
+            letters, tail = plain.groups()
+            root = letters.lower().encode()
+            ids = new.get(root) or self.old.get(root)
+            if ids is None:
+                ids = new[root] = self._merged(letters)
+            if tail:
+                if tail not in self.tails:
+                    self.tails[tail] = next(self._ids([tail.encode()]))
+                ids += self.tails[tail]
+            new[w] = ids
+        for w, ids in zip(odd, self._ids(odd), strict=True):
+            (new if len(w) <= KNOWN_BYTES else long)[w] = ids
+        if len(self.tails) > KNOWN_TAILS:
+            self.tails = {}
+        return long
 
     def __call__(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         """The serialised ids of each UTF-8 text, with the end id."""
@@ -90,14 +135,13 @@ class Encoder:
             words = text.split()  # bytes.split cuts at ASCII white space only
             if len(self.new) > KNOWN_WORDS:
                 self.old, self.new = self.new, {}
-            long, fresh = {}, []
+            fresh = []
             for w in set(words).difference(self.new):
                 if w in self.old:
                     self.new[w] = self.old[w]
                 else:
                     fresh.append(w)
-            for w, ids in zip(fresh, self._ids(fresh), strict=True):
-                (self.new if len(w) <= KNOWN_BYTES else long)[w] = ids
+            long = self._learn(fresh)
             get = (self.new | long).__getitem__ if long else self.new.__getitem__
             yield b"".join(map(get, words)) + self.end
 

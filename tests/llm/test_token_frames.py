@@ -53,6 +53,17 @@ def test_words_between_white_space_are_enough(plain):
     assert got == [plain(t) for t in texts]
 
 
+def test_plain_words_need_the_merge_model_only(plain):
+    encode, rng = T.Encoder(open(VOCABULARY).read()), random.Random(6)
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()]
+    words = ["".join(rng.choices(letters if i % 2 else letters[:52], k=rng.randint(1, 12))) + "".join(rng.choices(marks, k=rng.randint(0, 3))) for i in range(20_000)]
+    words += [chr(c) + m for c in range(0x21, 0x250) for m in ("", ".", "'s", "\u0301", "\u0331")]
+    assert sum(bool(T.PLAIN_WORD.fullmatch(w)) for w in words) > 8000
+    got = [np.frombuffer(x, encode.kind).tolist() for x in encode(w.encode() for w in words)]
+    assert got == [plain(w) for w in words]
+
+
 def test_words_forgotten_are_encoded_again(monkeypatch, plain):
     monkeypatch.setattr(T, "KNOWN_WORDS", 20)
     monkeypatch.setattr(T, "KNOWN_BYTES", 3)
