@@ -7,10 +7,11 @@ differ.  Links are found by the pigeonring principle: cut the 64 bits into
 ``max_bits``, some segment starts a chain whose first ``l`` segments differ
 in at most ``floor(l * max_bits / segments)`` bits for every ``l``.  The
 first segment of such a chain is equal and the second differs in at most one
-bit, so the join key is that pair of segments (one side lists the second
-segment's one-bit variants): about 2/3 of all bits at two bits, against 1/3
-for the plain pigeonhole filter.  Longer chains and the full Hamming distance
-are tested on what the key lets through.
+bit, so one of the second's halves is equal, too: the join keys are a segment
+and either half of the next, about half of all bits at two bits (against 1/3
+for the plain pigeonhole filter), in six rows of two numbers a fingerprint.
+The chains' budgets and the full Hamming distance are tested on what a key
+lets through.
 
 Copies are collapsed first: links run between *distinct* fingerprints, and a
 fingerprint has at most C(64,2) + 64 others within two bits, so no group of
@@ -98,25 +99,28 @@ def links(marks: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         at, width = ring[i % m]
         return F.shiftrightunsigned(col, at).bitwiseAND(F.lit((1 << width) - 1))
 
-    def key(i, second):
-        return F.struct(F.lit(i).cast("tinyint").alias("i"), cut(mark, i).alias("s"), second.alias("t"))
-
-    # chain of two: equal first segment, at most floor(2 * max_bits / m) = 1 different bit in the second
-    base = [key(i, cut(mark, i + 1)) for i in range(m)]
-    near = [key(i, cut(mark, i + 1).bitwiseXOR(F.lit(flip)))
-            for i in range(m) for flip in [0, *(1 << bit for bit in range(ring[(i + 1) % m][1]))]]
-    right = marks.select(mark.alias("b"), F.explode(F.array(*base)).alias("k")).select("b", "k.*")
-    left = marks.select(mark.alias("a"), F.explode(F.array(*near)).alias("k")).select("a", "k.*")
+    def halves(i):
+        """The halves of segment ``i`` as (number, half, width) columns."""
+        at, width = ring[i % m]
+        low = width // 2
+        for half, begin, size in ((0, at, low), (1, at + low, width - low)):
+            yield half, F.shiftrightunsigned(mark, begin).bitwiseAND(F.lit((1 << size) - 1)), size
+
+    # a key in one number: segment, which half, the segment's bits, the half's bits (at most 4 + 1 + 32 + 16 bits)
+    keys = [F.shiftleft(F.shiftleft(cut(mark, i), size).bitwiseOR(bits), 5).bitwiseOR(F.lit(2 * i + half)) for i in range(m) for half, bits, size in halves(i + 1)]
+    right = marks.select(mark.alias("b"), F.explode(F.array(*keys)).alias("k"))
+    left = marks.select(mark.alias("a"), F.explode(F.array(*keys)).alias("k"))
     diff = F.col("a").bitwiseXOR(F.col("b"))
     chains = None
-    for i in range(m):  # the key proves l = 1, 2; longer chains by their proportional budget, the last is the full distance
-        spent, holds = None, F.col("i") == i
+    for i in range(m):  # the key proves l = 1; longer chains by their proportional budget, the last is the full distance
+        spent, holds = None, F.shiftright(F.col("k").bitwiseAND(F.lit(31)), 1) == i
         for step in range(m):
             part = F.bit_count(cut(diff, i + step))
             spent = part if spent is None else spent + part
             holds = holds & (spent <= (step + 1) * max_bits // m)
         chains = holds if chains is None else chains | holds
-    return (left.join(right, ["i", "s", "t"]).where((F.col("a") < F.col("b")) & chains & (F.bit_count(diff) <= max_bits))
+    # pinned to a sort-merge join, so that the plan is the same at any size
+    return (left.join(right.hint("merge"), "k").where((F.col("a") < F.col("b")) & chains & (F.bit_count(diff) <= max_bits))
             .select("a", "b").distinct())
 
 
@@ -166,12 +170,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` with one row per component: that of the smallest id (one of them, if rows share it)."""
-    numbered = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number")), "rows")
-    texts = numbered.select("number", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text_col}`").alias("text"))
-    marked = stored(fingerprints(texts, "number", "text", shingle_words).join(texts.select("number", "id"), "number"), "fingerprints")
-    order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("number").alias("c"))
-    firsts = stored(marked.groupBy("fingerprint").agg(F.min(order).alias("first")), "firsts")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    own = F.col(f"`{id_col}`")
+    # rows are told apart by id and content, so no copy of the table is kept and only ids and hashes go through the joins
+    key = F.struct(own.isNull().alias("no_id"), own.alias("id"), F.xxhash64(*columns).alias("h"), F.hash(*columns, F.lit(1)).alias("g"))
+    marked = stored(fingerprints(docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), "key", "text", shingle_words).select("key", "key.id", "fingerprint"), "fingerprints")
+    firsts = stored(marked.groupBy("fingerprint").agg(F.min("key").alias("key")), "firsts")
     roots = _named(marked, "id", max_bits).select("fingerprint", "root")
-    winners = stored(firsts.join(roots, "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.c").alias("number")), "winners")
+    winners = firsts.join(roots, "fingerprint").groupBy("root").agg(F.min("key").alias("key"))
+    repeated = marked.groupBy("key.h", "key.g").agg(F.count("*").alias("times")).where("times > 1").select("h", "g", F.lit(True).alias("again"))
+    winners = stored(winners.select("key.h", "key.g").join(repeated, ["h", "g"], "left").select("h", "g", F.coalesce("again", F.lit(False)).alias("again")), "winners")
     # pinned to a sort-merge join: the winners grow with the table, so a plan that sends them everywhere only suits small ones
-    return numbered.join(winners.hint("merge"), "number", "left_semi").select("row.*")
+    rows = docs.select(F.xxhash64(*columns).alias("h"), F.hash(*columns, F.lit(1)).alias("g"), F.struct(*columns).alias("row"))
+    kept = rows.join(winners.hint("merge"), ["h", "g"])
+    once = kept.where("again").groupBy("h", "g").agg(F.first("row").alias("row")).select("row.*")
+    return kept.where(~F.col("again")).select("row.*").union(once)
