@@ -23,7 +23,12 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
+import itertools
+import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -37,9 +42,12 @@ from pyspark.sql import types as T
 from readpaths.llm.shared import bounded_batches
 
 NONE = np.int64(1) << 40  # rank of a pair that never merges
-KNOWN_PIECES = 150_000  # pre-tokens a worker keeps encoded between pieces; all are encoded, kept or not
-PIECE_CHARS = 2_000_000
-ROW_DOCS = 2000
+KNOWN_WORDS = 80_000  # words of either of two generations that a worker keeps encoded; all are encoded, kept or not
+KNOWN_CHARS = 64       # longer words are not kept
+PIECE_CHARS = 3_000_000
+ROW_DOCS = 20_000
+# A space inside a longer run of white space may belong to another pre-token than the word after it.
+_WIDE_SPACE = re.compile(r" \s|\s ")
 
 
 class RankQueue:
@@ -104,27 +112,36 @@ class Vocabulary:
         self.tokens = [b""] * self.size
         for token, i in ids.items():
             self.tokens[i] = token
-        self.decimals = [str(i).encode() for i in range(self.size)]
         self.of_byte = np.array([ids.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
         if (self.of_byte < 0).any():
             raise ValueError("the vocabulary lacks single bytes")
-        keys, ranks = [], []
-        for token, rank in ids.items():
+
+    @functools.cached_property
+    def decimals(self) -> list[bytes]:
+        return [str(i).encode() for i in range(self.size)]
+
+    @functools.cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys (ascending) of all pairs that merge, and their ranks; only encoding needs them."""
+        keys, ranks = array("q"), array("q")
+        for token, rank in self.ids.items():
             for cut in range(1, len(token)):
-                left, right = ids.get(token[:cut]), ids.get(token[cut:])
+                left, right = self.ids.get(token[:cut]), self.ids.get(token[cut:])
                 if left is not None and right is not None:
                     keys.append(left << 24 | right)
                     ranks.append(rank)
+        keys, ranks = np.frombuffer(keys, np.int64), np.frombuffer(ranks, np.int64)
         order = np.argsort(keys)
-        self.pairs, self.pair_ranks = np.array(keys, np.int64)[order], np.array(ranks, np.int64)[order]
+        return keys[order], ranks[order]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left << 24 | right
-        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == keys, self.pair_ranks[at], NONE)
+        pairs, ranks = self.pairs
+        at = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+        return np.where(pairs[at] == keys, ranks[at], NONE)
 
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, one after the other, and how many each has."""
@@ -199,44 +216,54 @@ class Vocabulary:
 
 
 class Encoder:
-    """Texts to ids; keeps recent pre-tokens encoded."""
+    """Texts to ids; keeps recent words encoded.
+
+    A pre-token holds a space only at its start, so single spaces part a text
+    into words whose pre-tokens are those of the text.  A text with longer runs
+    of white space around a space is cut by the pattern itself.  The pre-tokens
+    of all new words of a call go through one queue.
+    """
 
     def __init__(self, rank_file: bytes, pattern: str):
         self.vocabulary, self.pattern = Vocabulary(rank_file), regex.compile(pattern)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def words(self, text: str) -> list[str]:
+        if _WIDE_SPACE.search(text):
+            return self.pattern.findall(text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
+
+    def _learn(self, fresh: list[str]) -> dict[str, bytes]:
+        """Keep the ids of new words; those of words too long to be kept are returned."""
+        cut = [self.pattern.findall(w) for w in fresh]
+        pieces = list({p for found in cut for p in found})
+        ids, sizes = self.vocabulary.encode([p.encode() for p in pieces])
+        flat, ends = ids.astype(np.int32).tobytes(), (4 * np.cumsum(sizes)).tolist()
+        known = {p: flat[a:b] for p, a, b in zip(pieces, [0, *ends], ends, strict=False)}
+        long = {}
+        for w, found in zip(fresh, cut, strict=True):
+            (self.new if len(w) <= KNOWN_CHARS else long)[w] = known[w] if len(found) == 1 and found[0] == w else b"".join(map(known.__getitem__, found))
+        return long
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
-        pieces, counts = [], []
-        for t in texts:
-            found = self.pattern.findall(t)
-            pieces += found
-            counts.append(len(found))
-        if not pieces:
-            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
-        del pieces
-        which, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        fresh = [p for p in distinct if p not in self.known]
-        if len(self.known) + len(fresh) > KNOWN_PIECES:
-            self._forget()
-            fresh = distinct
-        ids, sizes = self.vocabulary.encode([p.encode() for p in fresh])
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
-        self.sizes = np.concatenate((self.sizes, sizes))
-        self.flat = np.concatenate((self.flat, ids))
-        slot = np.fromiter((self.known[p] for p in distinct), np.int64, len(distinct))[which]
-        size = self.sizes[slot]
-        ends = np.cumsum(size)
-        out = self.flat[np.arange(int(ends[-1])) + np.repeat(self.starts[slot] - (ends - size), size)]
-        cuts = np.concatenate(([0], np.cumsum(counts)))
-        total = np.concatenate(([0], ends))
-        return out, total[cuts[1:]] - total[cuts[:-1]]
+        if len(self.new) > KNOWN_WORDS:
+            self.old, self.new = self.new, {}
+        # words are numbered as they come, so that only one text's words are held at a time
+        number: dict[str, int] = defaultdict(itertools.count().__next__)
+        numbers = [array("i", map(number.__getitem__, self.words(t))) for t in texts]
+        fresh = []
+        for w in number:
+            if w in self.old:
+                self.new[w] = self.old[w]
+            elif w not in self.new:
+                fresh.append(w)
+        long = self._learn(fresh)
+        ids = [self.new[w] if w in self.new else long[w] for w in number]
+        parts = [b"".join(map(ids.__getitem__, x)) for x in numbers]
+        return np.frombuffer(b"".join(parts), np.int32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
 
 
 _ENCODERS: dict[tuple[bytes, str], Encoder] = {}

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -77,13 +78,22 @@ def test_queue_pops_ranks_in_order():
 
 
 def test_forgetting_changes_nothing(monkeypatch):
-    monkeypatch.setattr(B, "KNOWN_PIECES", 5)
+    monkeypatch.setattr(B, "KNOWN_WORDS", 5)
+    monkeypatch.setattr(B, "KNOWN_CHARS", 6)
     texts = ["one two three four five six", "seven one eight", "two two ten eleven", "one"] * 3
     encoder = B.Encoder(RAW, public_tokenizers.PATTERN)
     for t in texts:
         assert encoder([t])[0].tolist() == LIBRARY.encode_ordinary(t)
 
 
+def test_words_between_single_spaces_are_enough():
+    rng, encoder = random.Random(8), B.Encoder(RAW, public_tokenizers.PATTERN)
+    letters = [" ", " ", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\x1c", "\x85", "a", "Bc", "é", "1", "23", "'", "'s", "'ll", "#", "!?", "中", "😀", "\x00"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(4000)]
+    ids, counts = encoder(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [LIBRARY.encode_ordinary(t) for t in texts]
+
+
 def test_query_shape_and_round_trip(spark):
     docs = clashing(corpus(spark), "ids", "id", "n_tokens")
     encoded = B.encode(docs, PATH, public_tokenizers.PATTERN)
