@@ -64,11 +64,10 @@ def folded(host: Column, path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "[0-9]+", "0"), "[^a-z0./-]", "*")
 
 
-def grams(urls: DataFrame) -> DataFrame:
-    """Each 4-gram (``gram``) of the folded URLs, ends marked."""
+def grams(urls: DataFrame, *carry: str) -> DataFrame:
+    """The ``carry`` columns and each 4-gram (``gram``) of the folded URLs, ends marked; one pass over a URL."""
     marked = F.concat(F.lit("^" * ORDER), F.col("folded"), F.lit("$"))
-    return (urls.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("folded") + 1)))
-            .withColumn("gram", F.substring(marked, F.col("i"), ORDER + 1)).drop("i"))
+    return urls.select(*carry, F.explode(F.regexp_extract_all(marked, F.lit(f"(?=(.{{{ORDER + 1}}}))"), F.lit(1))).alias("gram"))
 
 
 def log_ratios(counts: DataFrame, asked: DataFrame) -> DataFrame:
@@ -95,8 +94,8 @@ def threshold(scores: DataFrame) -> float:
     """The cut with the best balanced accuracy over ``score, a, r`` (the lowest of equals); -inf with a kind missing."""
     bins = scores.groupBy(F.round("score", 2).alias("cut")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
     upward, everything = W.orderBy("cut").rowsBetween(W.unboundedPreceding, -1), W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    lost = F.coalesce(F.sum("a").over(upward), F.lit(0)) / F.sum("a").over(everything)
-    caught = F.coalesce(F.sum("r").over(upward), F.lit(0)) / F.sum("r").over(everything)
+    lost = F.coalesce(F.sum("a").over(upward), F.lit(0)) / F.nullif(F.sum("a").over(everything), F.lit(0))
+    caught = F.coalesce(F.sum("r").over(upward), F.lit(0)) / F.nullif(F.sum("r").over(everything), F.lit(0))
     best = bins.select("cut", (caught - lost).alias("gain")).where("gain is not null").orderBy(F.desc("gain"), "cut").first()
     return float("-inf") if best is None else best["cut"] - 0.005
 
@@ -109,14 +108,15 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "pag
     verdict = F.col("by.verdict")
     urls = stored(ruled.groupBy("folded").agg(
         F.count(F.when(verdict == ALLOW, 1)).alias("a"), F.count(F.when(verdict == BLOCK, 1)).alias("r"),
-        F.count(F.when(verdict.isNull(), 1)).alias("open")), "urls")
+        F.count(F.when(verdict.isNull(), 1)).alias("open")).withColumn("number", F.monotonically_increasing_id()), "urls")
     labelled = (F.col("a") > 0) | (F.col("r") > 0)
     fold = F.pmod(F.crc32(F.col("folded").cast("binary")), F.lit(CALIBRATION_FOLDS)) == 0
-    counts = stored(grams(urls.where(labelled & ~fold)).groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), "grams")
+    counts = stored(grams(urls.where(labelled & ~fold), "a", "r").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), "grams")
     judged = urls.where((labelled & fold) | (F.col("open") > 0))
     ratios = stored(log_ratios(counts, grams(judged)), "ratios")
-    mean = F.sum("ratio") / (F.length("folded") + 1)
-    scores = stored(grams(judged).join(F.broadcast(ratios), "gram").groupBy("folded", "a", "r", "open").agg(mean.alias("score")), "scores")
+    # a URL's grams carry its number, not its text
+    means = grams(judged, "number").join(F.broadcast(ratios), "gram").groupBy("number").agg(F.avg("ratio").alias("score"))
+    scores = stored(judged.join(means, "number").select("folded", "a", "r", "open", "score"), "scores")
     kinds = counts.agg(F.sum("a"), F.sum("r")).first()
     cut = threshold(scores.where(labelled & fold)) if kinds[0] and kinds[1] else float("-inf")
     decided = ruled.where("by is not null").select("id", "host", "path", "by.rule", "by.verdict", F.lit(None).cast("double").alias("score"))

@@ -110,6 +110,30 @@ def test_without_one_kind_all_unruled_are_allowed(spark):
     assert {r["verdict"] for r in U.judge(spark.createDataFrame(rows, PAGES), Q.URL_RULES).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("kinds", ["allow", "block", "neither"])
+def test_a_kind_missing_from_the_calibration_fold(spark, kinds):
+    """Both kinds are learned from, but no URL of one (or either) kind is left to calibrate with: unruled URLs are allowed."""
+    rows, n = [], Counter()
+    for i in range(4000):
+        url = f"https://{'www' if i % 2 else 'x'}.example.{'com' if i % 2 else 'net/es'}/p{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}"
+        kind = "allow" if i % 2 else "block"
+        calibrates = zlib.crc32(fold(*host_path(url)).encode()) % U.CALIBRATION_FOLDS == 0
+        if calibrates and (kinds == "neither" or kind != kinds):
+            continue
+        n[kind, calibrates] += 1
+        rows.append((i, url, None))
+    rows.append((9000, "https://other.org/page", None))
+    assert n["allow", False] and n["block", False] and bool(n[kinds, True]) == (kinds != "neither")
+    got = {r["page_id"]: r["verdict"] for r in Q.url_markov.judge(spark.createDataFrame(rows, PAGES), Q.URL_RULES).collect()}
+    assert len(got) == len(rows) and got[9000] == "allow"
+
+
+def test_a_very_long_url(spark):
+    rows = [(i, f"https://a.example.com/page/{i}", None) for i in range(20)] + [(i, f"https://a.net/es/{i}", None) for i in range(20, 40)]
+    rows.append((99, "https://b.org/" + "ab1/" * 250_000, None))
+    assert len(U.judge(spark.createDataFrame(rows, PAGES), Q.URL_RULES).collect()) == 41
+
+
 def test_no_python_in_the_plan(spark):
     plan = U.judge(spark.createDataFrame(rows_of(50), PAGES), Q.URL_RULES)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|MapPartitions", plan)
