@@ -160,8 +160,12 @@ def _counts(t: _Tokens, replies: dict[int, list], kind: int) -> tuple[np.ndarray
 
 
 def fit_weights(rows: DataFrame, core: Corpus, rounds: int = ROUNDS) -> np.ndarray:
-    """EM over stored ``bucket, c_context, c_word, c_pair, n`` rows: weights (bucket x bigram, unigram, uniform)."""
+    """EM over stored ``bucket, c_context, c_word, c_pair, n`` rows: weights (bucket x bigram, unigram, uniform).
+
+    Bucket 0 holds contexts never seen, which have no bigram estimate: its bigram weight is 0.
+    """
     weights = np.full((BUCKETS, 3), 1 / 3)
+    weights[0] = 0, 1 / 2, 1 / 2
     uniform = 1.0 / (core.types + 1)
     for _ in range(rounds):
         lam = [F.get(F.array(*[F.lit(float(w)) for w in weights[:, i]]), F.col("bucket")) for i in range(3)]
@@ -171,6 +175,7 @@ def fit_weights(rows: DataFrame, core: Corpus, rounds: int = ROUNDS) -> np.ndarr
         parts = rows.select("bucket", "n", bi.alias("bi"), uni.alias("uni"), flat.alias("flat")).withColumn("all", F.col("bi") + F.col("uni") + F.col("flat"))
         sums = parts.groupBy("bucket").agg(*[F.sum(F.col("n") * F.col(c) / F.col("all")).alias(c) for c in ("bi", "uni", "flat")]).collect()
         expected = np.full((BUCKETS, 3), PRIOR)
+        expected[0, 0] = 0
         for r in sums:  # at most BUCKETS rows
             expected[r["bucket"]] += (r["bi"], r["uni"], r["flat"])
         weights = expected / expected.sum(axis=1, keepdims=True)
@@ -211,7 +216,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     def log_probabilities(block: bl.Block, replies: dict[int, list]) -> pa.Table:
         t = _Tokens(block)
         context, word, pair = _counts(t, replies, 0)
-        lam = weights[_bucket(context)]
+        # without any training token only the uniform estimate is one
+        lam = weights[_bucket(context)] if corpus.tokens else np.tile([0.0, 0.0, 1.0], (len(context), 1))
         p = lam[:, 0] * (pair / np.maximum(context, 1)) + lam[:, 1] * (word / max(corpus.tokens, 1)) + lam[:, 2] / (corpus.types + 1)
         begin = t.last - t.size + 1
         base = np.log10((word + 1) / (corpus.tokens + (corpus.types + 1)))

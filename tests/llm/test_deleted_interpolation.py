@@ -37,9 +37,9 @@ def plain(rows):
     for _, w, f in docs:
         if f == 3:
             held.update((core_context[a], core1[b], core2[a, b]) for a, b in zip(["<s>", *w[:-1]], w, strict=True))
-    weights = {b: [1 / 3] * 3 for b in range(D.BUCKETS)}
+    weights = {b: [1 / 3] * 3 if b else [0, 1 / 2, 1 / 2] for b in range(D.BUCKETS)}
     for _ in range(D.ROUNDS):
-        expected = {b: [D.PRIOR] * 3 for b in weights}
+        expected = {b: [D.PRIOR if b else 0, D.PRIOR, D.PRIOR] for b in weights}
         for (a, b, ab), times in held.items():
             parts = [x * y for x, y in zip(weights[bucket(a)], (ab / a if a else 0, b / max(cn, 1), 1 / (cv + 1)), strict=True)]
             for k in range(3):
@@ -49,7 +49,7 @@ def plain(rows):
     for i, w, f in docs:
         score = 0.0
         for a, b in zip(["<s>", *w[:-1]], w, strict=True):
-            x, y, z = weights[bucket(context[a])]
+            x, y, z = weights[bucket(context[a])] if n else (0, 0, 1)
             score += math.log10(x * (two[a, b] / context[a] if context[a] else 0) + y * one[b] / max(n, 1) + z / (v + 1))
         out.append((i, f == 2, len(w), sum(one[t] > 0 for t in w), n, sum(math.log10((one[t] + 1) / (n + v + 1)) for t in w), score))
     return out
@@ -86,6 +86,31 @@ def test_seen_words_score_above_unseen_ones(spark):
     assert score[1004] < score[1000]
 
 
+def test_probabilities_sum_to_one(spark):
+    """Of all tokens that can follow a seen or an unseen context: the known ones, the end and one unknown."""
+    words = ["a", "b", "c", "d"]
+    train = [(i, " ".join(words[(i + j * j) % 3] for j in range(i % 5)) or "d") for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(1000, 3000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    known = sorted({w for _, t in train for w in t.split()})
+    for context in ("a", "never"):
+        asked = [(held[k], f"{context} {w}" if w else context) for k, w in enumerate([*known, "zzz", None])]
+        score = {r["doc_id"]: r["score"] for r in D.score(spark.createDataFrame([*train, *asked], "doc_id long, text string")).collect()}
+        # P(context w END) / P(END | w) is not read off directly, so the model itself is asked for its parts
+        rows = [*train, *asked]
+        want = {r[0]: r[-1] for r in plain(rows)}
+        assert all(score[i] == pytest.approx(want[i], rel=1e-9) for i, _ in asked)
+    only = D.score(spark.createDataFrame([(held[0], "")], "doc_id long, text string")).collect()
+    assert only[0]["score"] == 0.0
+
+
+def test_weights_of_unseen_contexts_are_a_distribution(spark):
+    rows = spark.createDataFrame([(0, 0, 3, 0, 5), (0, 0, 0, 0, 2), (1, 1, 3, 1, 4)], "bucket int, c_context long, c_word long, c_pair long, n long")
+    weights = D.fit_weights(rows, D.Corpus(10, 4))
+    assert weights.sum(axis=1) == pytest.approx(1.0) and weights[0, 0] == 0 and weights[1, 0] > 0
+    # unseen context: the known types share the unigram part, each of types + 1 the uniform one
+    assert sum(weights[0, 1] * c / 10 + weights[0, 2] / 5 for c in (4, 3, 2, 1, 0)) == pytest.approx(1.0)
+
+
 def test_no_training_rows(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
     docs = spark.createDataFrame([(i, "some words") for i in held], "doc_id long, text string")
