@@ -2,7 +2,9 @@
 
 Largest inner product becomes smallest Euclidean distance by one more
 coordinate: rows get ``sqrt(M^2 - |x|^2)`` (M is the largest norm of the
-table), queries get 0 and the norm M.  In that metric space the rows of a
+tree), queries get 0 and the norm M.  Rows of very different size (by their
+largest component, in steps of 2^8) go to trees of their own, as one giant
+would make all others look equally far away.  In that metric space the rows of a
 shard form a vantage-point tree: a node splits its rows at the median
 distance to a vantage point and keeps the distance interval of either half,
 and the triangle inequality bounds how near a half can be to a query.
@@ -11,8 +13,8 @@ A leaf is skipped when ``factor`` times its bound exceeds the distance of the
 k-th neighbour found so far.  Factor 1 skips only what cannot matter (exact
 search); larger factors skip more and may miss neighbours.
 
-Rows are dealt to shards by a hash of the id, so equal vectors spread out;
-every shard answers every block of queries, and the k best of all shards are
+Rows are dealt to shards by a hash of the id, so equal vectors spread out; a
+shard has one tree for each size of rows; every shard answers every block of queries, and the k best of all shards are
 merged.  Every row is indexed.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite
@@ -48,10 +50,12 @@ SLACK = 1e-6  # of the largest norm: rounding errors of distances near zero are
 class Tree:
     """Rows in leaf order, leaves, and the splits above them (parents before children)."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, largest: float, leaf_rows: int = LEAF_ROWS):
-        self.largest = largest
-        norms = np.einsum("ij,ij->i", rows, rows)
-        lifted = np.concatenate((rows, np.sqrt(np.maximum(largest**2 - norms, 0))[:, None]), axis=1)
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, largest: float, leaf_rows: int = LEAF_ROWS, unit: float = 1.0):
+        """``largest`` is the largest norm in units of ``unit``, in which distances are measured, so that no square overflows."""
+        self.largest, self.unit = largest, unit
+        scaled = rows / unit
+        norms = np.einsum("ij,ij->i", scaled, scaled)
+        lifted = np.concatenate((scaled, np.sqrt(np.maximum(largest**2 - norms, 0))[:, None]), axis=1)
         order = np.arange(len(ids))
         pending = [(0, len(ids), -1, 0.0, 0.0)]
         nodes, leaves, vantages = [], [], []  # node: (parent node, nearest, farthest of its rows to the parent's vantage point)
@@ -89,7 +93,7 @@ class Tree:
         with np.load(io.BytesIO(data)) as f:
             for k in f.files:
                 setattr(tree, k, f[k])
-        tree.largest = float(tree.largest)
+        tree.largest, tree.unit = float(tree.largest), float(tree.unit)
         return tree
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
@@ -107,8 +111,10 @@ class Tree:
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, int]:
         """(queries x k) scores and ids, best first (-inf where there are fewer), and the number of leaf visits."""
-        scale = np.einsum("ij,ij->i", queries, queries) ** 0.5
-        bounds = self.bounds(queries * (self.largest / scale)[:, None])
+        scaled = queries / np.abs(queries).max(axis=1, initial=0, keepdims=True)
+        direction = scaled / np.einsum("ij,ij->i", scaled, scaled)[:, None] ** 0.5
+        norm = np.einsum("ij,ij->i", direction, queries)
+        bounds = self.bounds(direction * self.largest)
         best, found = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
         visits = 0
 
@@ -131,8 +137,9 @@ class Tree:
             visit(leaf, np.flatnonzero(seen[:, leaf]))
         for leaf in np.argsort(bounds.min(axis=0), kind="stable"):
             # distance of the k-th neighbour so far; infinite while there are fewer
-            worst = np.sqrt(np.maximum(2 * self.largest**2 - 2 * best[:, -1] * (self.largest / scale), 0))
-            who = np.flatnonzero(~seen[:, leaf] & (factor * bounds[:, leaf] <= worst + SLACK * self.largest))
+            worst = np.sqrt(np.maximum(2 * self.largest**2 - 2 * self.largest * (best[:, -1] / norm / self.unit), 0))
+            # a bound that is no number (components beyond all range) skips nothing
+            who = np.flatnonzero(~seen[:, leaf] & ~(factor * bounds[:, leaf] > worst + SLACK * self.largest))
             if len(who):
                 visit(leaf, who)
         return best, found, visits
@@ -157,15 +164,19 @@ def neighbours(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     bounded_batches(table.sparkSession)
     kept = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     kept = kept.where(F.col("id").isNotNull() & usable(F.col("v")))
-    facts = kept.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("square")).first()
-    shards = max(1, -(-facts["n"] // shard_rows))
-    largest = float(np.sqrt(facts["square"] or 1.0) * (1 + 1e-12))
+    shards = max(1, -(-kept.count() // shard_rows))
     dealt = kept.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
 
     def build(group: pa.Table) -> pa.Table:
-        tree = Tree(group.column("id").to_numpy(), _matrix(group.column("v")), largest)
-        return pa.table({"dim": pa.array([group.column("dim")[0].as_py()], pa.int32()), "shard": pa.array([group.column("shard")[0].as_py()], pa.int32()),
-                         "tree": pa.array([tree.dump()], pa.binary())})
+        ids, rows = group.column("id").to_numpy(), _matrix(group.column("v"))
+        most = np.abs(rows).max(axis=1)
+        band, trees = (np.frexp(most)[1] + 4) // 8, []
+        for b in np.unique(band):
+            own, unit = rows[band == b], float(most[band == b].max())
+            largest = float(np.sqrt(((own / unit) ** 2).sum(axis=1).max()) * (1 + 1e-12))
+            trees.append(Tree(ids[band == b], own, largest, unit=unit).dump())
+        return pa.table({"dim": pa.array([group.column("dim")[0].as_py()] * len(trees), pa.int32()), "shard": pa.array([group.column("shard")[0].as_py()] * len(trees), pa.int32()),
+                         "tree": pa.array(trees, pa.binary())})
 
     trees = stored(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, tree binary"), "trees")
     asked = kept.where(F.col("id") % 20 == 0 if query is None else query).groupBy("id").agg(F.min("v").alias("v"))
@@ -175,14 +186,14 @@ def neighbours(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     cells = trees.select("dim", "shard", "tree", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            ids, found, best = np.zeros(0, np.int64), np.zeros((0, k), np.int64), np.zeros((0, k))
-        else:
-            tree = Tree.load(left.column("tree")[0].as_py())
-            ids = right.column("id").to_numpy()
-            best, found, _ = tree.search(ids, _matrix(right.column("v")), k, factor)
-        good = np.isfinite(best)
-        return pa.table({"query_id": np.repeat(ids, good.sum(axis=1)), "vec_id": found[good], "score": best[good]})
+        out = [pa.table({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        if left.num_rows and right.num_rows:
+            ids, queries = right.column("id").to_numpy(), _matrix(right.column("v"))
+            for data in left.column("tree"):
+                best, found, _ = Tree.load(data.as_py()).search(ids, queries, k, factor)
+                good = np.isfinite(best)
+                out.append(pa.table({"query_id": np.repeat(ids, good.sum(axis=1)), "vec_id": found[good], "score": best[good]}))
+        return pa.concat_tables(out)
 
     keys = ("dim", "shard", "block")
     answers = cells.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")

@@ -66,6 +66,16 @@ def test_tree_prunes_and_larger_factors_visit_less():
         assert row.tolist() == ids[np.lexsort((ids, -np.einsum("ij,j->i", x, x[i]), np.arange(len(ids)) == i))[:20]].tolist()
 
 
+def test_one_huge_component(spark):
+    """A row whose square is beyond all doubles costs the others neither neighbours nor pruning's correctness."""
+    rows = [(i, [float(x) for x in v]) for i, v in vectors(4, 3000, 8)] + [(9001, [1e160] + [0.0] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = answers(V.neighbours(df, shard_rows=800)), plain(rows)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / len(want[q]) for q in want]) >= 0.99
+    exact = answers(V.neighbours(df, shard_rows=800, factor=1.0))
+    assert {q: [i for i, _ in a] for q, a in exact.items()} == {q: [i for i, _ in a] for q, a in want.items()}
+
+
 def test_awkward_rows(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, [float("nan"), 1.0]), (3, [2.0, 0.0]), (4, [2.0, 0.0]), (None, [1.0, 1.0]), (80, [1.0]), (81, [3.0]), (0, [1.0, 0.0]), (100, []),
             (120, [float("inf"), 1.0]), (140, [None, 1.0]), (160, [-1.0, 0.0]), (5, [2.0, 0.0]), (5, [2.0, 0.0])]
