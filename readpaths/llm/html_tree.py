@@ -47,9 +47,10 @@ BATCH_CHARS = 8 << 20
 
 # fixed values: element groups of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math object select button".split())
+RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg select button".split())
 TO_THE_END = frozenset("script style title textarea xmp".split())  # raw elements that swallow the rest when never closed
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+                   "object math semantics mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mtable mtr mtd".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
             "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -95,6 +96,9 @@ class Page:
 
     def _read(self, s: str) -> None:
         stack: list[tuple[str, int]] = []  # open elements with their variable
+        places: dict[str, list[int]] = {}  # of the open elements of each tag
+        solid: list[int] = []  # places of those that are not inline
+        unclosed: set[str] = set()  # tags that no end tag follows any more
         block, links, at, size = 0, 0, 0, len(s)
 
         def text(piece):
@@ -108,8 +112,20 @@ class Page:
             for tag, _ in stack[count:]:
                 links -= tag == "a"
                 block += tag not in INLINE
+                places[tag].pop()
+                if tag not in INLINE:
+                    solid.pop()
             del stack[count:]
 
+        def opened(tag, variable):
+            places.setdefault(tag, []).append(len(stack))
+            if tag not in INLINE:
+                solid.append(len(stack))
+            stack.append((tag, variable))
+
+        def last(tags):
+            return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
         while at < size:
             m = _MARKUP.search(s, at)
             if m is None:
@@ -128,10 +144,8 @@ class Page:
             m = _TAG.match(s, at) or _LOOSE_TAG.match(s, at)
             at, tag = m.end(), m[2].lower()
             if m[1]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
+                if places.get(tag):
+                    close(places[tag][-1])
                 else:
                     block += tag not in INLINE
                 continue
@@ -139,34 +153,29 @@ class Page:
                 self.segments.append((block, -1, " ", False))
                 continue
             if tag in RAW and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(s, at)
+                end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(s, at)
+                if not end:
+                    unclosed.add(tag)
                 if end or tag in TO_THE_END:
                     stop = s.find(">", end.end()) if end else -1
                     at = size if stop < 0 else stop + 1
                     continue
             if tag in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
+                if solid and stack[solid[-1]][0] == "p":
+                    close(solid[-1])
             elif tag in SIBLINGS:
                 ends, scope = SIBLINGS[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in scope:
+                while (i := last(ends)) > last(scope):
+                    close(i)
+                    if tag != "tr":
                         break
-                    if stack[i][0] in ends:
-                        close(i)
-                        if tag != "tr":
-                            break
             if tag not in INLINE:
                 block += 1
             if tag in VOID:
                 continue
             if tag == "html" and len(self.parent) == 1:  # the root is there already
                 self.gold[0] = dict((k.lower(), a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[3])).get("gold")
-                stack.append((tag, 0))
+                opened(tag, 0)
                 continue
             found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] else {}
             names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
@@ -180,7 +189,7 @@ class Page:
             if m[3].endswith("/") and tag in INLINE:
                 continue
             links += tag == "a"
-            stack.append((tag, variable))
+            opened(tag, variable)
 
     def features(self) -> list[tuple]:
         """Per element: tag group, cue, then the values of ``FEATURES``."""
@@ -344,7 +353,7 @@ def labelled_counts() -> Counter:
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> Model:
     """Potentials from the labelled pages and from about ``sample_pages`` pages of the table."""
     n = pages.count()
-    sample = pages.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(n, 1))) < sample_pages).select(F.col(html_col).alias("html"))
+    sample = pages.where(F.pmod(F.xxhash64(F.col(id_col), F.col(html_col)), F.lit(max(n, 1))) < sample_pages).select(F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
