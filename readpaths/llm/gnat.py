@@ -358,14 +358,18 @@ class Index:
         schema = pa.schema([("anchor", pa.int64()), ("pos", pa.int32()), ("score", pa.int64()), ("id", pa.int64())])
 
         def run(batches):
-            tree = data = None
+            place = tree = data = None
             for b in batches:
-                kinds = b.column("kind").to_numpy()
-                # a tree starts a new shard; the anchors up to the next one are its own
-                cuts = [0, *np.flatnonzero(kinds == 0).tolist(), len(kinds)]
+                at = np.stack([b.column(c).to_numpy() for c in (*keys, "kind")])
+                # a shard's tree comes first, if the shard has any row; the anchors up to the next shard are its own
+                cuts = [0, *(np.flatnonzero((at[:4, 1:] != at[:4, :-1]).any(axis=0)) + 1).tolist(), at.shape[1]]
                 for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                    if j > i and kinds[i] == 0:
-                        tree, data, i = None, b.column("tree")[i].as_py(), i + 1
+                    if place != tuple(at[:4, i]):
+                        place, tree, data = tuple(at[:4, i]), None, None
+                    if at[4, i] == 0:
+                        data, i = b.column("tree")[i].as_py(), i + 1
+                    if data is None:
+                        continue
                     for a in range(i, j, QUERY_ROWS):
                         tree = tree or Tree.load(data)
                         part = b.slice(a, min(QUERY_ROWS, j - a))

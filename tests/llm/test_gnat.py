@@ -40,7 +40,7 @@ def mined(df, **kw):
     return answers(G.hard_negatives(df, F.col("label"), F.col("id") % 10 == 0, 5, 5, 80, **kw))
 
 
-@pytest.mark.parametrize("shard_rows", [100, 100_000])
+@pytest.mark.parametrize("shard_rows", [2, 100, 100_000])
 @pytest.mark.parametrize("dim", [2, 8])
 def test_against_all_pairs(spark, shard_rows, dim):
     rows = rows_of(dim=dim)
