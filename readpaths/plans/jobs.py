@@ -125,9 +125,12 @@ def search_ranks(pairs: DataFrame, docs: DataFrame, pages: DataFrame, k: int = n
     """Pairs with the rank of their target among the text neighbours of their source (K3-K5).
 
     The source's title is looked up first: a source that is no page of
-    ``pages`` has no neighbours, and only those pages are candidates.
+    ``pages`` has no neighbours, and only those pages are candidates.  Ranks
+    are counted, so no neighbour list is made for them.
     """
-    return ev.target_ranks(pairs, nb.more_like_this_by_id(pairs.select(F.col("src").alias("page_id")), pages, docs, k=k))
+    titled = nb.titled_ids(pairs, pages, "src").withColumnRenamed("page_id", "src")
+    ranks = nb.target_positions(pairs.join(titled, "src", "left_semi"), docs, k, candidates=pages.select("page_id"))
+    return ev.target_ranks(pairs, ranks.withColumnRenamed("trg", "nn"))
 
 
 def text_search_evaluation(sessions: DataFrame, docs: DataFrame, pages: DataFrame, k: int = nb.DEFAULT_K, seed=None,

@@ -186,13 +186,58 @@ def test_vector_neighbors_with_many_partitions(spark, many_partitions, clusters,
     test_vector_neighbors_exact(spark, clusters, block)
 
 
-@pytest.mark.parametrize(("max_terms", "send"), [(None, 1 << 20), (None, 0), (5, 1 << 20), (5, 0)])
-def test_more_like_this_blocks_agree_with_brute_force(spark, many_partitions, max_terms, send):
+@pytest.mark.parametrize(("max_terms", "postings"), [(None, 1 << 18), (None, 20), (5, 1 << 18), (5, 20)])
+def test_more_like_this_blocks_agree_with_brute_force(spark, many_partitions, monkeypatch, max_terms, postings):
+    monkeypatch.setattr(nb, "FIRST", 1)
+    monkeypatch.setattr(nb, "SOURCES_PER_COPY", 9)
     rng = random.Random(11)
     vocab = [f"{chr(97 + i)}{chr(97 + j)}{i}" for i in range(6) for j in range(6)]
     docs = [(i, " ".join(rng.choice(vocab[: rng.randint(4, 36)]) for _ in range(rng.randint(2, 40)))) for i in range(60)]
     df = spark.createDataFrame([*docs, (60, None), (61, "")], "doc_id long, text string")
     got = {}
-    for r in nb.more_like_this(df, k=6, max_terms=max_terms, source_block=7, doc_block=9, send_bytes=send).orderBy("src", "rank").collect():
+    for r in nb.more_like_this(df, k=6, max_terms=max_terms, block_postings=postings).orderBy("src", "rank").collect():
         got.setdefault(r["src"], []).append(r["nn"])
     assert got == {s: v for s, v in brute_mlt([*docs, (60, ""), (61, "")], 6, max_terms).items() if v}
+
+
+def mixed_docs(rng, n):
+    """Documents of two vocabularies and very different lengths."""
+    vocab = {x: [f"{x}{i}" for i in range(120)] for x in "ab"}
+    return [(i, " ".join(rng.choice(vocab["a" if i % 3 else "b"]) for _ in range(int(4 * 1.5 ** rng.uniform(0, 11))))) for i in range(n)]
+
+
+def test_search_scores_a_part_of_all_pairs(spark, monkeypatch):
+    """Bands and blocks are skipped, and nothing is lost."""
+    monkeypatch.setattr(nb, "FIRST", 4)
+    rng, work = random.Random(5), {}
+    for n in (150, 600):
+        docs = mixed_docs(rng, n)
+        df, scored = spark.createDataFrame(docs, "doc_id long, text string"), spark.sparkContext.accumulator(0)
+        got = {}
+        for r in nb.more_like_this(df, k=5, block_postings=2000, work=scored).orderBy("src", "rank").collect():
+            got.setdefault(r["src"], []).append(r["nn"])
+        assert got == {s: v for s, v in brute_mlt(docs, 5).items() if v}
+        work[n] = scored.value
+    assert all(scored < 0.3 * n * n for n, scored in work.items())
+
+
+@pytest.mark.parametrize("postings", [1 << 18, 300])
+def test_target_positions_are_those_of_the_lists(spark, monkeypatch, postings):
+    monkeypatch.setattr(nb, "FIRST", 1)
+    rng = random.Random(6)
+    docs = [*mixed_docs(rng, 120), (500, "a1 a2 a3"), (501, "a1 a2 a3"), (502, "a1 a2 a3"), (503, "alone"), (504, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    allowed = spark.createDataFrame([(i,) for i, _ in docs if i % 7], "page_id long")
+    k, lists = 12, {}
+    for r in nb.more_like_this(df, k=k, candidates=allowed).collect():
+        lists[r["src"], r["nn"]] = r["rank"]
+    ids = [i for i, _ in docs]
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(400)] + [(s, t) for s, t in list(lists)[::9]] + [(500, 501), (500, 502), (500, 500), (503, 500), (999, 1), (1, 999), (None, 1)]
+    got = nb.target_positions(spark.createDataFrame(pairs, "src long, trg long"), df, k, candidates=allowed, block_postings=postings).collect()
+    assert {(r["src"], r["trg"]): r["rank"] for r in got} == {p: lists[p] for p in set(pairs) if p in lists}
+
+
+def test_text_neighbours_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert nb.more_like_this(none).count() == 0
+    assert nb.target_positions(spark.createDataFrame([(1, 2)], "src long, trg long"), none).count() == 0
