@@ -67,27 +67,45 @@ def hour_start(year: ColumnOrName = "year", month: ColumnOrName = "month",
                             F.lit(0), F.lit(0))
 
 
-def to_utc_timestamp_lit(value: str | _dt.datetime | _dt.date) -> Column:
-    """A timestamp literal read in the session zone (UTC).
+def to_utc_datetime(value: str | _dt.datetime | _dt.date) -> _dt.datetime:
+    """A UTC instant without zone.
 
     Accepts ``YYYY-MM-DD``, ``YYYY-MM-DD-HH`` (the reference's argument
     format), ``YYYY-MM-DD HH:MM:SS`` or a ``datetime``/``date``.
     """
     if isinstance(value, _dt.datetime):
-        text = value.strftime("%Y-%m-%d %H:%M:%S")
-    elif isinstance(value, _dt.date):
-        text = value.strftime("%Y-%m-%d 00:00:00")
-    else:
-        text = str(value).strip()
-        for fmt in ("%Y-%m-%d-%H", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d"):
-            try:
-                text = _dt.datetime.strptime(text, fmt).strftime("%Y-%m-%d %H:%M:%S")
-                break
-            except ValueError:
-                continue
-        else:
-            raise ValueError(f"not a date or hour: {value!r} (use YYYY-MM-DD or YYYY-MM-DD-HH)")
-    return F.to_timestamp(F.lit(text), "yyyy-MM-dd HH:mm:ss")
+        return value.replace(tzinfo=None)
+    if isinstance(value, _dt.date):
+        return _dt.datetime(value.year, value.month, value.day)
+    text = str(value).strip()
+    for fmt in ("%Y-%m-%d-%H", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d"):
+        try:
+            return _dt.datetime.strptime(text, fmt)
+        except ValueError:
+            continue
+    raise ValueError(f"not a date or hour: {value!r} (use YYYY-MM-DD or YYYY-MM-DD-HH)")
+
+
+def to_utc_timestamp_lit(value: str | _dt.datetime | _dt.date) -> Column:
+    """A timestamp literal read in the session zone (UTC), to the second."""
+    return F.to_timestamp(F.lit(to_utc_datetime(value).strftime("%Y-%m-%d %H:%M:%S")), "yyyy-MM-dd HH:mm:ss")
+
+
+def hour_not_before(value: str | _dt.datetime | _dt.date, columns=("year", "month", "day", "hour")) -> Column:
+    """Whether the hour partition ``year, month, day, hour`` starts at or after an instant.
+
+    Comparisons of single partition columns with constants, so that a
+    metastore can prune on all of them: a later year, or the same year and a
+    later month, and so on.
+    """
+    at = to_utc_datetime(value)
+    if at != at.replace(minute=0, second=0, microsecond=0):
+        at = at.replace(minute=0, second=0, microsecond=0) + _dt.timedelta(hours=1)
+    parts = list(zip(columns, (at.year, at.month, at.day, at.hour), strict=True))
+    out = F.col(parts[-1][0]) >= parts[-1][1]
+    for name, part in reversed(parts[:-1]):
+        out = (F.col(name) > part) | ((F.col(name) == part) & out)
+    return out
 
 
 def vector_norm(v: ColumnOrName) -> Column:

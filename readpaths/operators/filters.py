@@ -11,7 +11,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readpaths.functions.columns import hour_start, normalize_wiki, to_utc_timestamp_lit
+from readpaths.functions.columns import hour_not_before, normalize_wiki
 
 DAY_KEYS = ("year", "month", "day")
 
@@ -40,25 +40,12 @@ def hour_range_filter(df: DataFrame, start, end) -> DataFrame:
     """Keep rows whose hour partition lies in ``[start, end)``.
 
     ``start`` / ``end`` are UTC instants (``YYYY-MM-DD``, ``YYYY-MM-DD-HH``
-    or datetime).  The predicate is on the partition columns only, so a
-    partitioned table is pruned before any file is opened.
+    or datetime).  The predicate compares partition columns with constants
+    only, so a partitioned table is pruned before any file is opened, and by
+    a metastore before any partition is listed.  Rows with a null part of
+    the hour are dropped.
     """
-    t = hour_start()
-    out = df.where((t >= to_utc_timestamp_lit(start)) & (t < to_utc_timestamp_lit(end)))
-    years = _year_bounds(start, end)
-    if years is not None:
-        # plain comparisons on the partition column: a metastore can prune on them
-        out = out.where(F.col("year").between(*years))
-    return out
-
-
-def _year_bounds(start, end) -> tuple[int, int] | None:
-    try:
-        y0 = start.year if hasattr(start, "year") else int(str(start)[:4])
-        y1 = end.year if hasattr(end, "year") else int(str(end)[:4])
-    except ValueError:
-        return None
-    return y0, y1
+    return df.where(hour_not_before(start)).where(~hour_not_before(end))
 
 
 def pageview_filters(df: DataFrame, wiki_db: str | None = None,

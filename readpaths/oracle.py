@@ -269,7 +269,33 @@ g_endpoints AS (
 )"""]
 
 
+def chain_ctes(max_hops: int | None) -> list[str]:
+    """CTE ``g_chains``: the end of every redirect's chain, walked one hop a step; walks that meet a page again are cycles."""
+    return [f"""
+g_walk AS (
+  SELECT rd_from, rd_to, 1 AS hops, [rd_from] AS seen, rd_to = rd_from AS again FROM g_rd
+  UNION ALL
+  SELECT w.rd_from, r.rd_to, w.hops + 1, list_append(w.seen, r.rd_from), list_contains(w.seen, r.rd_to) OR r.rd_to = r.rd_from
+  FROM g_walk w JOIN g_rd r ON r.rd_from = w.rd_to WHERE NOT w.again
+),
+g_cycles AS (SELECT DISTINCT rd_from FROM g_walk WHERE again),
+g_chains AS (
+  SELECT w.rd_from, w.rd_to, false AS in_cycle FROM g_walk w
+  WHERE w.rd_from NOT IN (SELECT rd_from FROM g_cycles) AND {f"w.hops <= {max_hops}" if max_hops else "true"}
+  QUALIFY row_number() OVER (PARTITION BY w.rd_from ORDER BY w.hops DESC) = 1
+  UNION ALL
+  SELECT rd_from, rd_to, true FROM g_rd WHERE rd_from IN (SELECT rd_from FROM g_cycles)
+)"""]
+
+
 # ------------------------------------------------------------ text
+DUMP_ARTICLES = r"""
+SELECT page_id, 'page_' || page_id AS page_title,
+  trim('P' || page_id || ' is label ' || page_id || ' é©é given site' ||
+    CASE page_id % 5 WHEN 0 THEN ' {{ open' WHEN 1 THEN ' [[ open' WHEN 2 THEN ' {| open' ELSE '' END || ' See ' ||
+    regexp_replace(coalesce(url, '') || ' there.', '\s+', ' ', 'g')) AS text
+FROM pages WHERE page_id % 10 <> 9 AND page_id % 7 <> 3"""
+
 INLINE = ("a|abbr|b|bdi|bdo|cite|code|data|dfn|em|font|i|kbd|mark|q|s|samp|small|span|strong|sub|sup|time|u|var|wbr")
 LEAD = rf"""
 lead AS (

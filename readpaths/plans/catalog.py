@@ -53,6 +53,7 @@ class TestParams:
     k: int = 100
     n_pairs: int = 50
     slice_dt: int = 3600
+    max_hops: int = 3
 
 
 P = TestParams()
@@ -232,6 +233,15 @@ def q_redirect_map(spark, d):
     return _graph_rd(spark, d)
 
 
+def q_redirect_chains(spark, d):
+    return gr.redirect_chains(_graph_rd(spark, d))
+
+
+def q_graph_edges_multi_hop(spark, d):
+    return gr.graph_edges(fx.page_table(spark, d), fx.redirect_table(spark, d), fx.pagelinks_table(spark, d),
+                          P.graph_wiki, P.graph_snapshot, max_hops=P.max_hops)
+
+
 def q_links_from_content_pages(spark, d):
     return gr.links_from_content_pages(fx.pagelinks_table(spark, d), _graph_rd(spark, d), P.graph_wiki,
                                        P.graph_snapshot)
@@ -311,6 +321,10 @@ def q_lead_text(spark, d):
     return _lead(spark, d)
 
 
+def q_dump_articles(spark, d):
+    return tx.dump_articles(fx.page_dump(spark, d))
+
+
 def q_text_vectors(spark, d):
     return _text_vectors(spark, d)
 
@@ -406,6 +420,10 @@ def _graph(select, wiki=P.graph_wiki):
     return O.with_(*O.graph_ctes(wiki, P.graph_snapshot)) + "\n" + select
 
 
+def _graph_chains(max_hops, select):
+    return O.with_(*O.graph_ctes(P.graph_wiki, P.graph_snapshot), *O.chain_ctes(max_hops)).replace("WITH", "WITH RECURSIVE", 1) + "\n" + select
+
+
 def _graph_items(select):
     ctes = [*O.graph_ctes(P.graph_wiki, P.graph_snapshot), O.ITEM_LINKS,
             O.links_since_cte(P.item_since, P.graph_wiki), O.latest_cte()]
@@ -445,6 +463,9 @@ FROM joined GROUP BY actor"""),
     + f"\nSELECT * FROM page_t WHERE wiki_db = '{P.graph_wiki}' AND snapshot = '{P.graph_snapshot}'",
     "main_namespace_pages": _graph("SELECT * FROM g_pages"),
     "redirect_map": _graph("SELECT * FROM g_rd"),
+    "redirect_chains": _graph_chains(None, "SELECT rd_from, rd_to, in_cycle FROM g_chains"),
+    "graph_edges_multi_hop": _graph_chains(P.max_hops, """SELECT DISTINCT l.page_id_from, coalesce(r.rd_to, l.page_id_to) AS page_id_to
+FROM g_links l LEFT JOIN g_chains r ON l.page_id_to = r.rd_from"""),
     "links_from_content_pages": _graph("SELECT * FROM g_content"),
     "links_by_id": _graph("SELECT * FROM g_links"),
     "graph_edges": _graph("SELECT * FROM g_edges"),
@@ -468,6 +489,7 @@ FROM (SELECT {METRICS} FROM ranks)"""),
     "vector_target_ranks": _sql_vector_ranks("SELECT * FROM ranks"),
     "vector_metrics_by_split": _sql_vector_ranks(f"SELECT {SPLIT} AS split, {METRICS} FROM ranks GROUP BY 1"),
     "lead_text": O.with_(O.LEAD) + "\nSELECT * FROM lead",
+    "dump_articles": O.DUMP_ARTICLES,
     "text_vectors": O.with_(O.LEAD, *O.text_vector_ctes()) + "\nSELECT * FROM tvec",
     "vector_lines": O.with_(O.LEAD, *O.text_vector_ctes(rounded=False)) + """
 SELECT CAST(page_id AS VARCHAR) || ' ' || array_to_string(list_transform(vector, lambda x: printf('%.5f', x)), ' ') AS line

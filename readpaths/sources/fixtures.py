@@ -142,6 +142,22 @@ def page_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"), SCAN_TASKS)
 
 
+def page_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages in the shape of a page dump (``sources.tables.DUMP_SCHEMA``): every article's lead has nested,
+    unclosed and inline marks around its id and address, and a later revision that must not be read."""
+    key = F.col("page_id")
+    name, address = key.cast("string"), F.coalesce("url", F.lit(""))
+    unclosed = F.when(key % 5 == 0, " {{ open").when(key % 5 == 1, " [[ open").when(key % 5 == 2, " {| open").otherwise("")
+    text = F.concat(F.lit("<!-- c -->{{Infobox|a={{nested|"), name, F.lit("}}|b=[[x]]}}\n[[File:p.png|thumb|see [[q|r]] ]]\'\'\'P"), name, F.lit("\'\'\' is [[target|label "), name,
+                    F.lit("]]<ref>note</ref> &eacute;&copy;&#233; {{{1|given}}} [ftp://x.y/ site] {|\n| cell {| inner |}\n|}"), unclosed, F.lit("\nSee "), address,
+                    F.lit(" there.\n== History ==\nLater {{text}}."))
+    text_of = lambda c: F.struct(c.alias("_VALUE"), F.octet_length(c).cast("long").alias("_bytes"))
+    revisions = F.array(*(F.struct((key * 10 + i).alias("id"), text_of(c).alias("text")) for i, c in enumerate((text, F.lit("another revision")))))
+    return spread(table(spark, sf_dir, "pages").select(
+        key.alias("id"), F.when(key % 10 == 9, 1).otherwise(0).alias("ns"), F.concat(F.lit("page_"), name).alias("title"),
+        F.when(key % 7 == 3, F.struct(F.lit("page_0").alias("_title"))).alias("redirect"), revisions.alias("revision")), SCAN_TASKS)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document corpus for text search: ``doc_id, text`` (doc_id is the page id)."""
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), SCAN_TASKS)

@@ -148,3 +148,38 @@ def test_run_graph_writes_and_reads_back(spark, tmp_dir):
     assert e_path.endswith("graph_wwiki_s_edges.parquet")
     assert spark.read.parquet(e_path).count() == 5
     assert spark.read.parquet(n_path).where(F.col("item_id").isNotNull()).count() == 2
+
+
+def test_redirect_chains_of_any_length_and_cycles(spark):
+    chain = [(i, i + 1) for i in range(1, 40)]
+    pairs = [*chain, (100, 5), (200, 201), (201, 202), (202, 200), (300, 200), (400, 400), (500, 400), (600, 601), (600, 602)]
+    df = spark.createDataFrame(pairs, "rd_from long, rd_to long")
+    cycle = {200: 201, 201: 202, 202: 200, 300: 200, 400: 400, 500: 400}
+    for hops in (None, 1, 2, 3, 7, 8, 100):
+        got = {r["rd_from"]: (r["rd_to"], r["in_cycle"]) for r in gr.redirect_chains(df, hops).collect()}
+        far = hops or 10**6
+        want = {i: (min(i + far, 40), False) for i, _ in chain} | {100: (min(5 + far - 1, 40), False), 600: (601, False)} | {i: (t, True) for i, t in cycle.items()}
+        assert got == want
+    assert gr.redirect_chains(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("start", "end"), [("2024-01-03", "2024-01-25"), ("2023-12-31-22", "2024-01-01-03"), ("2024-02-28 10:30:00", "2024-03-01 00:00:01"), ("2024-01-01", "2024-01-01")])
+def test_hour_range_is_that_of_the_hours_starts(spark, start, end):
+    import datetime as dt
+
+    from readpaths.functions.columns import to_utc_datetime
+
+    hours = [dt.datetime(2023, 12, 30) + dt.timedelta(hours=h) for h in range(24 * 65)]
+    df = spark.createDataFrame([(h.year, h.month, h.day, h.hour) for h in hours] + [(None, 1, 1, 1), (2024, None, 5, 1)], "year int, month int, day int, hour int")
+    got = sorted(tuple(r) for r in flt.hour_range_filter(df, start, end).collect())
+    assert got == [(h.year, h.month, h.day, h.hour) for h in hours if to_utc_datetime(start) <= h < to_utc_datetime(end)]
+
+
+def test_hour_range_reaches_the_partition_filter(spark, tmp_dir):
+    df = spark.range(96).selectExpr("2024 as year", "1 + id div 48 as month", "1 + id div 24 as day", "id % 24 as hour", "id")
+    df.write.partitionBy("year", "month", "day", "hour").parquet(tmp_dir + "/views")
+    read = flt.hour_range_filter(spark.read.parquet(tmp_dir + "/views"), "2024-01-01-20", "2024-01-02-04")
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "make_timestamp" not in plan and "PartitionFilters: [" in plan and "month" in plan.split("PartitionFilters: [")[1]
+    assert read.count() == 8 and len(read.inputFiles()) >= 8
+    assert read.select("id").rdd.getNumPartitions() <= 8

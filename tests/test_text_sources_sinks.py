@@ -3,6 +3,7 @@
 import bz2
 import gzip
 import os
+import time
 
 import numpy as np
 import pytest
@@ -30,13 +31,23 @@ def test_lead_from_wikitext(spark):
 
 
 @pytest.mark.parametrize(("text", "want"), [
-    ("== A ==\nfoo", ""), ("x = y\n= no heading\nmore\n=== H ===  \nz", "x = y = no heading more"), ("{{a|{{b|{{c}}}}}}x", "x"), ("{{never closed", ""),
+    ("== A ==\nfoo", ""), ("x = y\n= no heading\nmore\n=== H ===  \nz", "x = y = no heading more"), ("{{a|{{b|{{c}}}}}}x", "x"), ("{{never closed", "{{never closed"),
     ("[[File:x.jpg|thumb|see [[Foo]] here]] tail", "tail"), ("[[a]] [[File:q]] [[b|B [[c]] d]] [http://x.y lab el] [[Category:Z]]e", "a B c d lab el e"),
-    ("a&nbsp;b &amp;lt; &#233;&#x1F600; &ndash; c", "a b &lt; é😀 – c"), ("{| class\n| {{x}} {| n |} |}after", "after"), ("a<br>b<ref name=x/>c <!-- d -->e", "a bc e"), ("", ""), (None, None)])
+    ("a&nbsp;b &amp;lt; &#233;&#x1F600; &ndash; c", "a b &lt; é😀 – c"), ("{| class\n| {{x}} {| n |} |}after", "after"), ("a<br>b<ref name=x/>c <!-- d -->e", "a bc e"), ("", ""), (None, None),
+    ("a {{ b c", "a {{ b c"), ("start [[Foo|bar]] {| never closed … rest", "start bar {| never closed … rest"), ("x {{{1|y}}} z {{{2}}}.", "x y z ."), ("&eacute;&copy; &nope; &amp;copy; &#9;&#xD800;.", "é© &nope; &copy; &#xD800;."),
+    ("[ftp://y z] [mailto:a@b c] [//u v] [no link]", "z c v [no link]"), ("{{a {{b}} c", "{{a c"), ("a}} [[b]] c]] |}", "a}} b c]] |}"), ("[[File:a|b [[c]] d", "[[File:a|b c d"),
+    ("{{a|{b} [[c|d]] {| e |} }}f {x} [y] |z", "f {x} [y] |z"), ("{{" * 30 + "a" + "}}" * 30 + "b", "b"), ("{|\n|a|b\n|-\n|{{c}}\n|}d", "d")])
 def test_wikitext_cases(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(tx.lead_from_wikitext("t").alias("x")).first()["x"] == want
 
 
+@pytest.mark.parametrize("text", ["{{" * 200_000, "[[" * 200_000, "{|" * 200_000, "{{a}} " * 100_000, "}}" * 200_000, "{{" + "x{y} " * 100_000 + "}}", "[[a|" * 100_000, "{{{1|" * 80_000])
+def test_wikitext_of_many_marks_takes_little_time(spark, text):
+    began = time.time()
+    out = spark.createDataFrame([(text,)], "t string").select(tx.lead_from_wikitext("t").alias("x")).first()["x"]
+    assert (out == "") == (text[:4] in ("{{a}", "{{x{")) and time.time() - began < 30
+
+
 DUMP = """<mediawiki>
 <page><title>Alpha</title><ns>0</ns><id>1</id>
   <revision><id>11</id><text xml:space="preserve">Alpha is [[beta]].
