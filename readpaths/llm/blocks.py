@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readpaths.llm.shared import bounded_batches, stored
+from readpaths.llm.shared import bounded_batches, give_back, stored
 from readpaths.llm.words import U64, row_ranges, utf8
 
 BLOCK_BYTES = 6 << 20
@@ -100,6 +100,7 @@ def block_table(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOC
                     yield flush()
                 held.append(((buf[offsets[i] : offsets[j]].copy(), offsets[i : j + 1] - offsets[i]), meta.slice(i, j - i)))
                 held_bytes, held_rows = held_bytes + size, held_rows + j - i
+            give_back()
         if held:
             yield flush()
 
@@ -126,6 +127,7 @@ def map_blocks(table: DataFrame, each: Callable[[Block], Iterator[pa.RecordBatch
         for b in batches:
             for block in open_blocks(b):
                 yield from each(block)
+            give_back()
 
     return table.mapInArrow(run, schema)
 
@@ -136,6 +138,7 @@ def map_replied(table: DataFrame, replies: DataFrame, each: Callable[[Block, dic
         by_kind: dict[int, list] = {}
         for r in sorted(right.to_pylist(), key=lambda r: (r["kind"], r["bucket"])):
             by_kind.setdefault(r["kind"], []).append((r["n"], r["v"]))
+        give_back()
         return pa.concat_tables([each(block, by_kind) for block in open_blocks(left)])
 
     return table.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readpaths.llm.shared import bounded_batches
+from readpaths.llm.shared import bounded_batches, give_back
 
 NONE = np.int64(1) << 40  # rank of a pair that never merges
 KNOWN_WORDS = 80_000  # words of either of two generations that a worker keeps encoded; all are encoded, kept or not
@@ -304,6 +304,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text"
                 ids, counts = encoder(texts[i:j])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in through), lists], names=[*through, "ids"])
+            give_back()
 
     named = docs.select(*[F.col(f"`{c}`").alias(t) for c, t in zip(carry, through, strict=True)], F.col(text_col).alias("text"))
     schema = T.StructType([*(named.schema[t] for t in through), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -331,6 +332,7 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
                 texts.append(hashlib.sha256(vocabulary.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())],
                                              names=[*through, "n_tokens", "ids_sha256", "decoded_sha256"])
+            give_back()
 
     named = encoded.toDF(*through)
     schema = T.StructType([*named.schema, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])

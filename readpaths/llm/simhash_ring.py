@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readpaths.llm.shared import bounded_batches, stored
+from readpaths.llm.shared import bounded_batches, give_back, stored
 from readpaths.llm.words import LOWER
 
 BITS = 64
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             marks = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in b.column("text")), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(marks.view(np.int64))], names=["id", "fingerprint"])
+            give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return kept.mapInArrow(run, f"id {kind}, fingerprint long").withColumnRenamed("id", id_col)
