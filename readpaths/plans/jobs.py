@@ -109,6 +109,22 @@ def run_graph(spark: SparkSession, page: DataFrame, redirect: DataFrame, pagelin
     return e_path, n_path
 
 
+def run_graph_partition(spark: SparkSession, page: DataFrame, redirect: DataFrame, pagelinks: DataFrame,
+                        item_links: DataFrame, out_dir: str, wiki_db: str, snapshot: str, **kw) -> tuple[str, str]:
+    """Write edges and nodes into the tables of all wikis, ``graph_edges`` and ``graph_nodes``.
+
+    Each is partitioned by wiki and snapshot; a rerun replaces its own part
+    only.  The nodes are derived from the written edges, as in ``run_graph``.
+    """
+    wiki, base = normalize_wiki(wiki_db), out_dir.rstrip("/")
+    edges, _ = graph_job(page, redirect, pagelinks, item_links, wiki, snapshot, **kw)
+    wr.write_partition(edges, f"{base}/graph_edges", wiki, snapshot)
+    own = gr.snapshot_select(spark.read.schema("page_id_from long, page_id_to long, wiki_db string, snapshot string").parquet(f"{base}/graph_edges"), wiki, snapshot)
+    _, nodes = graph_job(page, redirect, pagelinks, item_links, wiki, snapshot, edges=own.drop(*wr.PARTITIONS), **kw)
+    wr.write_partition(nodes, f"{base}/graph_nodes", wiki, snapshot)
+    return f"{base}/graph_edges", f"{base}/graph_nodes"
+
+
 def dump_vectors_job(dump: DataFrame, word_vectors: DataFrame, digits: int | None = None,
                      dimensions: int | None = None) -> DataFrame:
     """Page dump -> articles -> lead text -> sentence vectors (J7): ``page_id, vector``.

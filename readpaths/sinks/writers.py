@@ -35,6 +35,19 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     w.parquet(path)
 
 
+PARTITIONS = ("wiki_db", "snapshot")
+
+
+def write_partition(df: DataFrame, path: str, wiki_db: str, snapshot: str) -> None:
+    """Write one wiki's snapshot into a table partitioned by both.
+
+    Dynamic partition overwrite: a rerun replaces its own partition and leaves
+    the others of the table as they are.
+    """
+    marked = df.withColumns({"wiki_db": F.lit(wiki_db), "snapshot": F.lit(snapshot)})
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+
+
 def write_lines(df: DataFrame, path: str, col: str = "line", compression: str = "gzip") -> None:
     """One text line per row, gzip-compressed, no order (B2)."""
     df.select(F.col(col).alias("value")).write.mode("overwrite").option("compression", compression).text(path)

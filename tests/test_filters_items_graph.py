@@ -150,6 +150,23 @@ def test_run_graph_writes_and_reads_back(spark, tmp_dir):
     assert spark.read.parquet(n_path).where(F.col("item_id").isNotNull()).count() == 2
 
 
+def test_a_rerun_replaces_its_own_partition_only(spark, tmp_dir):
+    from readpaths.plans import jobs
+
+    page, redirect, links, items = graph_frames(spark)
+    other = [df.withColumn("snapshot", F.lit("t")) for df in (page, redirect, links)]
+    kw = {"item_since": "2020-01-01"}
+    jobs.run_graph_partition(spark, page, redirect, links, items, tmp_dir, "w", "s", **kw)
+    e_path, n_path = jobs.run_graph_partition(spark, *other, items, tmp_dir, "w", "t", **kw)
+    files = lambda: sorted(f for f in spark.read.parquet(e_path).inputFiles() if "snapshot=s/" in f)
+    before = files()
+    jobs.run_graph_partition(spark, other[0], other[1], other[2].where("pl_from = 1"), items, tmp_dir, "w", "t", **kw)
+    edges, nodes = spark.read.parquet(e_path), spark.read.parquet(n_path)
+    assert {(r["wiki_db"], r["snapshot"]): r["count"] for r in edges.groupBy("wiki_db", "snapshot").count().collect()} == {("wwiki", "s"): 5, ("wwiki", "t"): 2}
+    assert files() == before and before
+    assert nodes.where("snapshot = 's'").count() == 5 and nodes.where("snapshot = 't'").count() == 3
+
+
 def test_redirect_chains_of_any_length_and_cycles(spark):
     chain = [(i, i + 1) for i in range(1, 40)]
     pairs = [*chain, (100, 5), (200, 201), (201, 202), (202, 200), (300, 200), (400, 400), (500, 400), (600, 601), (600, 602)]
