@@ -349,6 +349,52 @@ def text_vector_ctes(src: str = "lead", name: str = "tvec", rounded: bool = True
 )"""]
 
 
+def subword_ctes(min_n: int, max_n: int, src: str = "lead", name: str = "sub") -> list[str]:
+    """Vectors of the unknown words of ``src`` from their n-grams, and page vectors with them."""
+    digit = "(strpos('0123456789ABCDEF', substr(hex(gram), {}, 1)) - 1)"
+    octet = f"(16 * {digit.format('2 * i + 1')} + {digit.format('2 * i + 2')})"
+    signed = f"CAST({octet} + CASE WHEN {octet} >= 128 THEN 4294967040 ELSE 0 END AS BIGINT)"
+    return [word_count_cte(src, "page_id", "text", f"{name}_counts"), f"""
+{name}_words AS (SELECT DISTINCT word FROM {name}_counts),
+{name}_grams AS (
+  SELECT word, unnest(flatten(list_transform(range({min_n}, {max_n + 1}), lambda n:
+    list_transform(range(1, length(word) + 4 - n), lambda p: substr('<' || word || '>', p, n))))) AS gram
+  FROM {name}_words WHERE {md5int('word')} % 3 = 0
+),
+{name}_hashes AS (
+  SELECT gram, list_reduce(list_prepend(CAST(2166136261 AS BIGINT),
+    list_transform(range(0, strlen(gram)), lambda i: {signed})), lambda h, b: (xor(h, b) * 16777619) % 4294967296) AS h
+  FROM (SELECT DISTINCT gram FROM {name}_grams)
+),
+{name}_gram_dims AS (
+  SELECT g.word, unnest(generate_series(1, len(e.embedding))) AS dim, unnest(CAST(e.embedding AS DOUBLE[])) AS x
+  FROM {name}_grams g JOIN {name}_hashes s ON s.gram = g.gram
+  JOIN embeddings e ON e.vec_id = s.h % (SELECT count(*) FROM embeddings)
+),
+{name}_unknown AS (SELECT word, dim, avg(x) AS x FROM {name}_gram_dims GROUP BY word, dim),
+{name}_vectors AS (SELECT word, list(round(x, 6) ORDER BY dim) AS vector FROM {name}_unknown GROUP BY word),
+{name}_dims AS (
+  SELECT word, dim, x FROM {name}_unknown
+  UNION ALL
+  SELECT v.word, unnest(generate_series(1, len(e.embedding))), unnest(CAST(e.embedding AS DOUBLE[]))
+  FROM {name}_words v JOIN embeddings e ON e.vec_id = {md5int('v.word')} % (SELECT count(*) FROM embeddings)
+  WHERE {md5int('v.word')} % 3 <> 0
+),
+{name}_unit AS (
+  SELECT word, dim, x / sqrt(sum(x * x) OVER (PARTITION BY word)) AS x
+  FROM {name}_dims QUALIFY sum(x * x) OVER (PARTITION BY word) > 0
+),
+{name}_mean AS (
+  SELECT c.page_id, u.dim, round(sum(c.n * u.x) / sum(c.n), 6) AS m
+  FROM {name}_counts c JOIN {name}_unit u ON u.word = c.word GROUP BY c.page_id, u.dim
+),
+{name}_known AS (SELECT page_id, list(m ORDER BY dim) AS vector FROM {name}_mean GROUP BY page_id),
+{name}_pages AS (
+  SELECT t.page_id, coalesce(k.vector, list_resize(CAST([] AS DOUBLE[]), (SELECT max(len(embedding)) FROM embeddings), 0.0)) AS vector
+  FROM {src} t LEFT JOIN {name}_known k ON k.page_id = t.page_id
+)"""]
+
+
 def mlt_ctes(k: int, sources_sql: str | None = None, candidates_sql: str | None = None, name: str = "mlt") -> list[str]:
     src_filter = f"WHERE doc_id IN ({sources_sql})" if sources_sql else ""
     nn_filter = f"AND p.doc_id IN ({candidates_sql})" if candidates_sql else ""

@@ -27,6 +27,7 @@ from readpaths.operators import graph as gr
 from readpaths.operators import items as it
 from readpaths.operators import neighbors as nb
 from readpaths.operators import sessions as ss
+from readpaths.operators import subwords as sw
 from readpaths.operators import text as tx
 from readpaths.operators import vectors as vn
 from readpaths.plans import jobs
@@ -329,6 +330,18 @@ def q_text_vectors(spark, d):
     return _text_vectors(spark, d)
 
 
+def q_subword_vectors(spark, d):
+    words = tx.word_counts(_lead(spark, d)).select("word").distinct()
+    buckets = fx.bucket_vectors(spark, d)
+    return sw.subword_vectors(sw.unknown_words(words, fx.known_word_vectors(spark, d, words)), buckets, buckets.count(), digits=6)
+
+
+def q_text_vectors_subwords(spark, d):
+    lead = _lead(spark, d)
+    buckets = fx.bucket_vectors(spark, d)
+    return sw.text_vectors_subwords(lead, fx.known_word_vectors(spark, d, tx.word_counts(lead)), buckets, buckets.count())
+
+
 def q_vector_lines(spark, d):
     return _text_vectors(spark, d, digits=None).select(tx.vector_text_line().alias("line"))
 
@@ -491,6 +504,8 @@ FROM (SELECT {METRICS} FROM ranks)"""),
     "lead_text": O.with_(O.LEAD) + "\nSELECT * FROM lead",
     "dump_articles": O.DUMP_ARTICLES,
     "text_vectors": O.with_(O.LEAD, *O.text_vector_ctes()) + "\nSELECT * FROM tvec",
+    "subword_vectors": O.with_(O.LEAD, *O.subword_ctes(sw.MIN_N, sw.MAX_N)) + "\nSELECT word, vector FROM sub_vectors",
+    "text_vectors_subwords": O.with_(O.LEAD, *O.subword_ctes(sw.MIN_N, sw.MAX_N)) + "\nSELECT page_id, vector FROM sub_pages",
     "vector_lines": O.with_(O.LEAD, *O.text_vector_ctes(rounded=False)) + """
 SELECT CAST(page_id AS VARCHAR) || ' ' || array_to_string(list_transform(vector, lambda x: printf('%.5f', x)), ' ') AS line
 FROM tvec""",

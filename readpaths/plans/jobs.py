@@ -21,6 +21,7 @@ from readpaths.operators import items as it
 from readpaths.operators import models as md
 from readpaths.operators import neighbors as nb
 from readpaths.operators import sessions as ss
+from readpaths.operators import subwords as sw
 from readpaths.operators import text as tx
 from readpaths.session import stored
 from readpaths.sinks import writers as wr
@@ -125,16 +126,29 @@ def run_graph_partition(spark: SparkSession, page: DataFrame, redirect: DataFram
     return f"{base}/graph_edges", f"{base}/graph_nodes"
 
 
-def dump_vectors_job(dump: DataFrame, word_vectors: DataFrame, digits: int | None = None,
-                     dimensions: int | None = None) -> DataFrame:
+def dump_vectors_job(dump: DataFrame, word_vectors: DataFrame, digits: int | None = None, dimensions: int | None = None,
+                     buckets: DataFrame | None = None, n_buckets: int = sw.N_BUCKETS) -> DataFrame:
     """Page dump -> articles -> lead text -> sentence vectors (J7): ``page_id, vector``.
 
     With ``dimensions`` the word vectors are reduced first (J6), as the
-    reference shrinks its model before it averages.
+    reference shrinks its model before it averages.  With ``buckets``
+    (``bucket, vector``) unknown words take part with sub-word vectors;
+    words and buckets are then reduced by one common rotation.
     """
+    articles = tx.dump_articles(dump)
+    if buckets is None:
+        if dimensions is not None:
+            word_vectors = md.reduce_dimension(word_vectors, dimensions, id_col="word", vec_col="vector")
+        return tx.text_vectors(articles, word_vectors, digits=digits)
     if dimensions is not None:
-        word_vectors = md.reduce_dimension(word_vectors, dimensions, id_col="word", vec_col="vector")
-    return tx.text_vectors(tx.dump_articles(dump), word_vectors, digits=digits)
+        key = lambda word, bucket: F.struct(word.alias("word"), bucket.cast("long").alias("bucket")).alias("key")
+        rows = lambda df, k: df.select(k, F.col("vector").cast("array<double>").alias("vector"))
+        both = rows(word_vectors, key(F.col("word"), F.lit(None))).unionByName(
+            rows(buckets, key(F.lit(None).cast("string"), F.col("bucket"))))
+        reduced = stored(md.reduce_dimension(both, dimensions, id_col="key", vec_col="vector"), "reduced")
+        word_vectors = reduced.where("key.word is not null").select("key.word", "vector")
+        buckets = reduced.where("key.bucket is not null").select("key.bucket", "vector")
+    return sw.text_vectors_subwords(articles, word_vectors, buckets, n_buckets, digits=digits)
 
 
 def search_ranks(pairs: DataFrame, docs: DataFrame, pages: DataFrame, k: int = nb.DEFAULT_K) -> DataFrame:

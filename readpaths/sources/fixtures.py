@@ -180,3 +180,13 @@ def word_vectors_for(spark: SparkSession, sf_dir: str, words: DataFrame,
     vocab = (words.select(F.col(word_col).alias("word")).distinct()
              .withColumn("vec_id", md5int("word") % F.lit(emb.count())))
     return vocab.join(emb.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("word", "vector")
+
+
+def known_word_vectors(spark: SparkSession, sf_dir: str, words: DataFrame) -> DataFrame:
+    """Word vectors of ``words`` but for those with ``md5int(word) % 3 = 0``, which stay unknown."""
+    return word_vectors_for(spark, sf_dir, words.where(md5int("word") % 3 != 0))
+
+
+def bucket_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket table of character n-grams, ``bucket, vector``: the whole embeddings table."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("bucket"), F.col("embedding").alias("vector"))
