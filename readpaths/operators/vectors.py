@@ -24,7 +24,9 @@ local top-k per source.
 
 There are about ``sqrt(n)`` clusters for ``n`` vectors, at any size: the
 centres (``sqrt(n) x dim`` numbers) travel with the batch function, and as
-many rows of cluster statistics reach the driver.  Centres are fitted on a
+many rows of cluster statistics reach the driver.  A source's distances and
+bounds exist only inside a batch, a bounded number at a time; what leaves
+it is one row per cluster that the source must visit.  Centres are fitted on a
 bounded sample (``SAMPLE_PER_CLUSTER`` vectors a cluster, by a hash of the
 id); which centres they are changes the work, never the result.  What
 several steps read is written to the shared folder once.
@@ -48,6 +50,8 @@ from readpaths.session import stored
 DEFAULT_K = 100
 SAMPLE_PER_CLUSTER = 64
 BLOCK = 2048          # vectors (and sources) per scoring block
+CELLS = 1 << 20       # source x centre distances held at a time
+ROWS = 1 << 14        # rows of a source and a cluster to visit handed on at a time
 BOUND_SLACK = 1e-7    # covers the 9-digit rounding of scores and float error of the bound
 SCORE_SCHEMA = "src long, nn long, score double"
 
@@ -87,28 +91,27 @@ def _block_top_k(k: int):
     return score
 
 
-def _blocked_candidates(probe: DataFrame, members: DataFrame, k: int, block: int,
-                        m_counts: dict | None = None) -> DataFrame:
+def _cluster_sizes(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("c").agg(F.count(F.lit(1)).alias(name))
+
+
+def _blocked_candidates(probe: DataFrame, members: DataFrame, sizes: DataFrame, k: int, block: int) -> DataFrame:
     """Score every (source, member) pair of the probed clusters in bounded blocks.
 
-    ``probe``: ``src, u_src, c``; ``members``: ``nn, u_nn, c``.  Block counts
-    per cluster come from one small aggregate (one row per cluster).
+    ``probe``: ``src, u_src, c``; ``members``: ``nn, u_nn, c``; ``sizes``:
+    ``c, members``.  The numbers of blocks are a stored table of one row per
+    probed cluster; members of other clusters stay behind in its join.
     """
-    if m_counts is None:
-        m_counts = {r["c"]: r["n"] for r in members.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    q_counts = {r["c"]: r["n"] for r in probe.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_c = max([*m_counts, *q_counts, 0]) + 1
-    m_blocks = F.array(*[F.lit(max(1, -(-m_counts.get(i, 0) // block))) for i in range(n_c)])
-    q_blocks = F.array(*[F.lit(max(1, -(-q_counts.get(i, 0) // block))) for i in range(n_c)])
+    blocks_of = lambda n: F.ceil(F.col(n) / block).cast("long")
+    grid = stored(_cluster_sizes(probe, "sources").join(sizes, "c")
+                  .select("c", blocks_of("members").alias("nmb"), blocks_of("sources").alias("nqb")), "grid")
     # all three keys are bigint on both sides: keys of different types hash to different partitions
-    nmb = F.element_at(m_blocks, F.col("c") + 1).cast("long")
-    nqb = F.element_at(q_blocks, F.col("c") + 1).cast("long")
     zero, one, cluster = F.lit(0).cast("long"), F.lit(1).cast("long"), F.col("c").cast("long")
     # members: own block by id hash, copied to every source block of the cluster
-    mm = (members.withColumn("mb", F.pmod(F.xxhash64("nn"), nmb))
-          .withColumn("qb", F.explode(F.sequence(zero, nqb - one))).withColumn("c", cluster))
-    qq = (probe.withColumn("qb", F.pmod(F.xxhash64("src"), nqb))
-          .withColumn("mb", F.explode(F.sequence(zero, nmb - one))).withColumn("c", cluster))
+    mm = (members.join(grid, "c").withColumn("mb", F.pmod(F.xxhash64("nn"), "nmb"))
+          .withColumn("qb", F.explode(F.sequence(zero, F.col("nqb") - one))).withColumn("c", cluster))
+    qq = (probe.join(grid, "c").withColumn("qb", F.pmod(F.xxhash64("src"), "nqb"))
+          .withColumn("mb", F.explode(F.sequence(zero, F.col("nmb") - one))).withColumn("c", cluster))
     return (qq.select("c", "mb", "qb", "src", "u_src").groupBy("c", "mb", "qb")
             .cogroup(mm.select("c", "mb", "qb", "nn", "u_nn").groupBy("c", "mb", "qb"))
             .applyInPandas(_block_top_k(k), SCORE_SCHEMA))
@@ -129,29 +132,54 @@ def _radius_fn(centers: np.ndarray):
     return run
 
 
-def _probe_fn(centers: np.ndarray, radius: np.ndarray, size: np.ndarray, k: int):
-    """Per batch of sources: clusters of pass 1, and the cosine bound of every cluster.
+def _distances(u: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Distance of every row of ``u`` to every centre."""
+    squares = (u ** 2).sum(axis=1)[:, None] + (centers ** 2).sum(axis=1)[None, :] - 2.0 * u @ centers.T
+    return np.sqrt(np.maximum(0.0, squares))
+
+
+def _slices(batches, n_clusters: int, cells: int):
+    """The batches in slices whose distances to all centres stay within ``cells``."""
+    step = max(1, cells // n_clusters)
+    for b in batches:
+        for at in range(0, len(b), step):
+            yield b.iloc[at:at + step]
 
-    Pass 1 takes clusters nearest-centre first until they hold ``k + 1``
-    vectors.  The bound of cluster ``c`` is ``1 - max(0, |q - m_c| - r_c)^2 / 2``.
-    """
-    c_sq = (centers ** 2).sum(axis=1)
+
+def _first_fn(centers: np.ndarray, size: np.ndarray, k: int):
+    """Per batch of sources: the clusters of pass 1, nearest centre first until they hold ``k + 1`` vectors."""
 
     def run(batches):
-        for b in batches:
-            if b.empty:
-                yield pd.DataFrame({"src": pd.Series([], dtype="int64"), "u_src": [], "_first": [], "_ub": []})
-                continue
-            u = np.stack(b["u"].to_numpy())
-            d = np.sqrt(np.maximum(0.0, (u ** 2).sum(axis=1)[:, None] + c_sq[None, :] - 2.0 * u @ centers.T))
-            ub = 1.0 - np.maximum(0.0, d - radius[None, :]) ** 2 / 2.0
-            order = np.argsort(d, axis=1, kind="stable")
+        for b in _slices(batches, len(centers), CELLS):
+            order = np.argsort(_distances(np.stack(b["u"].to_numpy()), centers), axis=1, kind="stable")
             held = np.cumsum(size[order], axis=1)
             # clusters taken: all before the first point where k + 1 vectors are held, and that one
             n_take = np.minimum((held < k + 1).sum(axis=1) + 1, len(centers))
-            first = [order[i, :n_take[i]].astype(np.int32).tolist() for i in range(len(b))]
-            yield pd.DataFrame({"src": b["page_id"].to_numpy(np.int64), "u_src": b["u"].to_numpy(),
-                                "_first": first, "_ub": list(ub)})
+            first = [order[i, :n].astype(np.int32) for i, n in enumerate(n_take)]
+            yield pd.DataFrame({"src": b["page_id"].to_numpy(), "u_src": b["u"].to_numpy(), "first": first})
+
+    return run
+
+
+def _second_fn(centers: np.ndarray, radius: np.ndarray):
+    """Per batch of sources with their k-th score: one row for each further cluster that can still reach it.
+
+    The bound of cluster ``c`` is ``1 - max(0, |q - m_c| - r_c)^2 / 2``.  A
+    source's bounds live in its batch only.
+    """
+
+    def run(batches):
+        for b in _slices(batches, len(centers), CELLS):
+            u = b["u_src"].to_numpy()
+            far = np.maximum(0.0, _distances(np.stack(u), centers) - radius[None, :])
+            visit = 1.0 - far ** 2 / 2.0 >= b["kth"].to_numpy()[:, None] - BOUND_SLACK
+            for i, first in enumerate(b["first"]):
+                visit[i, first] = False
+            rows, clusters = np.nonzero(visit)
+            ids = b["src"].to_numpy()
+            for at in range(0, len(rows), ROWS):
+                row = rows[at:at + ROWS]
+                yield pd.DataFrame({"src": ids[row], "u_src": u[row], "c": clusters[at:at + ROWS].astype(np.int32)})
 
     return run
 
@@ -180,30 +208,23 @@ def vector_neighbors(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame
         assigned = units.withColumn("c", F.lit(0))
     n_c = len(cmat)
     members = stored(assigned.mapInPandas(_radius_fn(cmat), "page_id long, u array<double>, c int, _r double"), "members")
-    stats = {r["c"]: (r["radius"], r["size"]) for r in
-             members.groupBy("c").agg(F.max("_r").alias("radius"), F.count(F.lit(1)).alias("size")).collect()}
+    stats = stored(members.groupBy("c").agg(F.max("_r").alias("radius"), F.count(F.lit(1)).alias("members")), "clusters")
+    sizes = stats.select("c", "members")
     members = members.select(F.col("page_id").alias("nn"), F.col("u").alias("u_nn"), "c")
 
-    radius = np.array([float(stats.get(i, (0.0, 0))[0]) for i in range(n_c)])
-    size = np.array([int(stats.get(i, (0.0, 0))[1]) for i in range(n_c)], dtype=np.int64)
+    radius, size = np.zeros(n_c), np.zeros(n_c, dtype=np.int64)
+    for r in stats.collect():  # one row per cluster, as many as there are centres
+        radius[r["c"]], size[r["c"]] = r["radius"], r["members"]
     queries = units if sources is None else units.join(
         sources.select(F.col(sources.columns[0]).alias("page_id")).distinct(), "page_id", "left_semi")
-    q = stored(queries.select("page_id", "u")
-               .mapInPandas(_probe_fn(cmat, radius, size, k),
-                            "src long, u_src array<double>, _first array<int>, _ub array<double>"), "probes")
+    q = stored(queries.select("page_id", "u").mapInPandas(_first_fn(cmat, size, k), "src long, u_src array<double>, first array<int>"), "probes")
 
-    sizes = {c: n for c, (_, n) in stats.items()}
-    first = _blocked_candidates(q.select("src", "u_src", F.explode("_first").alias("c")), members, k, block, sizes)
+    first = _blocked_candidates(q.select("src", "u_src", F.explode("first").alias("c")), members, sizes, k, block)
     first_top = stored(top_k(first, "src", "score", "nn", k), "first")
-    kth = (first_top.groupBy("src")
-           .agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
-           .select("src", F.when(F.col("_n") >= k, F.col("_kth")).otherwise(F.lit(-2.0)).alias("_kth")))
-    second_probe = stored(q.join(kth, "src", "left")
-                          .select("src", "u_src", "_first", F.coalesce("_kth", F.lit(-2.0)).alias("_kth"),
-                                  F.posexplode("_ub").alias("c", "ub"))
-                          .where(~F.array_contains("_first", F.col("c")))
-                          .where(F.col("ub") >= F.col("_kth") - BOUND_SLACK)
-                          .select("src", "u_src", F.col("c").cast("int").alias("c")), "second")
-    second = _blocked_candidates(second_probe, members, k, block, sizes)
+    kth = (first_top.groupBy("src").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
+           .select("src", F.when(F.col("_n") >= k, F.col("_kth")).alias("_kth")))
+    second_probe = stored(q.join(kth, "src", "left").select("src", "u_src", "first", F.coalesce("_kth", F.lit(-2.0)).alias("kth"))
+                          .mapInPandas(_second_fn(cmat, radius), "src long, u_src array<double>, c int"), "second")
+    second = _blocked_candidates(second_probe, members, sizes, k, block)
     both = first_top.select("src", "nn", "score").unionByName(second)
     return top_k(both, "src", "score", "nn", k).select("src", "nn", "score", "rank")

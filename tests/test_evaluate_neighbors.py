@@ -154,6 +154,12 @@ def test_vector_neighbors_exact(spark, clusters, block):
     assert got == brute_cos(vecs64, 7)
 
 
+def test_vector_neighbors_in_small_slices(spark, monkeypatch):
+    monkeypatch.setattr(vn, "CELLS", 20)
+    monkeypatch.setattr(vn, "ROWS", 3)
+    test_vector_neighbors_exact(spark, 6, 16)
+
+
 def test_vector_neighbors_for_sources_only(spark):
     rng = np.random.default_rng(1)
     vecs = {i: rng.normal(size=5).astype(np.float32).tolist() for i in range(50)}
