@@ -26,7 +26,7 @@ There are about ``sqrt(n)`` clusters for ``n`` vectors, at any size: the
 centres (``sqrt(n) x dim`` numbers) travel with the batch function, and as
 many rows of cluster statistics reach the driver.  A source's distances and
 bounds exist only inside a batch, a bounded number at a time; what leaves
-it is one row per cluster that the source must visit.  Centres are fitted on a
+it are the clusters that the source must visit.  Centres are fitted on a
 bounded sample (``SAMPLE_PER_CLUSTER`` vectors a cluster, by a hash of the
 id); which centres they are changes the work, never the result.  What
 several steps read is written to the shared folder once.
@@ -51,7 +51,6 @@ DEFAULT_K = 100
 SAMPLE_PER_CLUSTER = 64
 BLOCK = 2048          # vectors (and sources) per scoring block
 CELLS = 1 << 20       # source x centre distances held at a time
-ROWS = 1 << 14        # rows of a source and a cluster to visit handed on at a time
 BOUND_SLACK = 1e-7    # covers the 9-digit rounding of scores and float error of the bound
 SCORE_SCHEMA = "src long, nn long, score double"
 
@@ -162,7 +161,7 @@ def _first_fn(centers: np.ndarray, size: np.ndarray, k: int):
 
 
 def _second_fn(centers: np.ndarray, radius: np.ndarray):
-    """Per batch of sources with their k-th score: one row for each further cluster that can still reach it.
+    """Per batch of sources with their k-th score: the further clusters that can still reach it.
 
     The bound of cluster ``c`` is ``1 - max(0, |q - m_c| - r_c)^2 / 2``.  A
     source's bounds live in its batch only.
@@ -175,11 +174,7 @@ def _second_fn(centers: np.ndarray, radius: np.ndarray):
             visit = 1.0 - far ** 2 / 2.0 >= b["kth"].to_numpy()[:, None] - BOUND_SLACK
             for i, first in enumerate(b["first"]):
                 visit[i, first] = False
-            rows, clusters = np.nonzero(visit)
-            ids = b["src"].to_numpy()
-            for at in range(0, len(rows), ROWS):
-                row = rows[at:at + ROWS]
-                yield pd.DataFrame({"src": ids[row], "u_src": u[row], "c": clusters[at:at + ROWS].astype(np.int32)})
+            yield pd.DataFrame({"src": b["src"].to_numpy(), "u_src": u, "further": [np.flatnonzero(v).astype(np.int32) for v in visit]})
 
     return run
 
@@ -224,7 +219,7 @@ def vector_neighbors(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame
     kth = (first_top.groupBy("src").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
            .select("src", F.when(F.col("_n") >= k, F.col("_kth")).alias("_kth")))
     second_probe = stored(q.join(kth, "src", "left").select("src", "u_src", "first", F.coalesce("_kth", F.lit(-2.0)).alias("kth"))
-                          .mapInPandas(_second_fn(cmat, radius), "src long, u_src array<double>, c int"), "second")
-    second = _blocked_candidates(second_probe, members, sizes, k, block)
+                          .mapInPandas(_second_fn(cmat, radius), "src long, u_src array<double>, further array<int>"), "second")
+    second = _blocked_candidates(second_probe.select("src", "u_src", F.explode("further").alias("c")), members, sizes, k, block)
     both = first_top.select("src", "nn", "score").unionByName(second)
     return top_k(both, "src", "score", "nn", k).select("src", "nn", "score", "rank")

@@ -156,7 +156,6 @@ def test_vector_neighbors_exact(spark, clusters, block):
 
 def test_vector_neighbors_in_small_slices(spark, monkeypatch):
     monkeypatch.setattr(vn, "CELLS", 20)
-    monkeypatch.setattr(vn, "ROWS", 3)
     test_vector_neighbors_exact(spark, 6, 16)
 
 
