@@ -18,11 +18,13 @@ tokens and counts for its cell with weight 0; rows with equal ids are drawn
 alike, a null id is drawn by its text; target shares of absent values are
 left out and the others scaled up, values without a target get nothing;
 targets that no weights can meet end after ``SWEEPS`` sweeps at the last
-fit; an empty table gives an empty result; other columns stay as they are.
+fit, with a ``MarginWarning`` that names the largest error of a share (so does
+a budget that ``CALIBRATION_ROUNDS`` do not meet); an empty table gives an empty result; other columns stay as they are.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +40,10 @@ ALPHA = 0.5  # default targets: shares of the tokens to this power
 SEED = 20
 
 
+class MarginWarning(UserWarning):
+    """A fit that ended before its targets were met."""
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -76,10 +82,21 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEEP
         now = now.drop(*[f"factor_{d}" for d in targets])
         if change is None or change <= tolerance:
             break
+    else:
+        warnings.warn(f"raking ended after {sweeps} sweeps; largest error of a share: {margin_error(now, targets):.2g}", MarginWarning, stacklevel=2)
     total = now.agg(F.sum("weight")).first()[0] or 1.0
     return now.drop(*[f"share_{d}" for d in targets]).withColumn("weight", F.col("weight") / F.lit(total))
 
 
+def margin_error(raked: DataFrame, targets: Mapping[str, DataFrame]) -> float:
+    """The largest distance of a value's share of the weight from its target in ``share_<dimension>``."""
+    total, worst = raked.agg(F.sum("weight")).first()[0] or 1.0, 0.0
+    for dim in targets:
+        margins = raked.groupBy(dim, f"share_{dim}").agg(F.sum("weight").alias("weight"))
+        worst = max(worst, margins.agg(F.max(F.abs(F.col("weight") / F.lit(total) - F.col(f"share_{dim}")))).first()[0] or 0.0)
+    return worst
+
+
 def calibrate(cells: DataFrame, budget: float) -> DataFrame:
     """``cells`` with ``probability = min(1, c * weight / tokens)``, where c makes the expected tokens ``budget``.
 
@@ -97,6 +114,8 @@ def calibrate(cells: DataFrame, budget: float) -> DataFrame:
         if scaled <= c * (1 + 1e-12):
             break
         c = scaled
+    else:
+        warnings.warn(f"calibration ended after {CALIBRATION_ROUNDS} rounds", MarginWarning, stacklevel=2)
     p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), wish * F.lit(c)))
     return cells.withColumn("probability", F.coalesce(p, F.when(F.col("weight") > 0, 1.0).otherwise(0.0)))
 

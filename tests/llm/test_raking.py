@@ -1,5 +1,6 @@
 import math
 import re
+import warnings
 from collections import defaultdict
 
 import pytest
@@ -55,6 +56,18 @@ def test_values_without_target_get_nothing(spark):
     assert got[None, "q"] == got["z", None] == 0 and sum(got.values()) == pytest.approx(1)
 
 
+def test_targets_that_cannot_be_met_are_reported(spark):
+    """Value q of b has no cell beside x, which may have a tenth only."""
+    t = {n: spark.createDataFrame(rows, "value string, share double") for n, rows in (("a", [("x", 0.1), ("y", 0.9)]), ("b", [("p", 0.2), ("q", 0.8)]))}
+    cells = spark.createDataFrame([("x", "q", 5), ("x", "p", 5), ("y", "p", 5)], "a string, b string, tokens long")
+    with pytest.warns(R.MarginWarning, match="largest error of a share: 0\\.[0-9]+"):
+        R.rake(cells, t, sweeps=6).count()
+    fine = {**t, "b": spark.createDataFrame([("p", 0.95), ("q", 0.05)], "value string, share double")}
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", R.MarginWarning)
+        R.rake(cells, fine).count()
+
+
 @pytest.mark.parametrize("share", [0.1, 0.5, 0.9, 1.0])
 def test_calibrated_probabilities_meet_the_budget(spark, share):
     cells = spark.createDataFrame([("a", 1000, 0.5), ("b", 10, 0.4), ("c", 500, 0.1), ("d", 0, 0.0), ("e", 70, 0.0)], "k string, tokens long, weight double")
