@@ -64,7 +64,7 @@ def unit_vectors(vectors: DataFrame, id_col: str = "page_id", vec_col: str = "ve
 
 
 def _block_top_k(k: int):
-    """Per block: all source x member cosines, rounded, local top-k per source."""
+    """Per block: all source x member cosines, rounded, local top-k per source, none below the source's ``floor`` if it has one."""
 
     def score(_key, q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         if q.empty or m.empty:
@@ -74,13 +74,15 @@ def _block_top_k(k: int):
         ms = m["nn"].to_numpy(np.int64)
         s = np.round(np.stack(q["u_src"].to_numpy()) @ np.stack(m["u_nn"].to_numpy()).T, 9)
         s[qs[:, None] == ms[None, :]] = -np.inf
+        if "floor" in q:
+            s[s < q["floor"].to_numpy()[:, None]] = -np.inf
         out_src, out_nn, out_s = [], [], []
         kk = min(k, len(ms))
         for i in range(len(qs)):
             row = s[i]
+            live = np.flatnonzero(np.isfinite(row))
             # order: score descending, then member id ascending
-            idx = np.lexsort((ms, -row))[:kk]
-            idx = idx[np.isfinite(row[idx])]
+            idx = live[np.lexsort((ms[live], -row[live]))[:kk]]
             out_src.append(np.full(len(idx), qs[i], np.int64))
             out_nn.append(ms[idx])
             out_s.append(row[idx])
@@ -94,10 +96,11 @@ def _cluster_sizes(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("c").agg(F.count(F.lit(1)).alias(name))
 
 
-def _blocked_candidates(probe: DataFrame, members: DataFrame, sizes: DataFrame, k: int, block: int) -> DataFrame:
+def blocked_candidates(probe: DataFrame, members: DataFrame, sizes: DataFrame, k: int, block: int) -> DataFrame:
     """Score every (source, member) pair of the probed clusters in bounded blocks.
 
-    ``probe``: ``src, u_src, c``; ``members``: ``nn, u_nn, c``; ``sizes``:
+    ``probe``: ``src, u_src, c`` and, where only scores from it on count,
+    ``floor``; ``members``: ``nn, u_nn, c``; ``sizes``:
     ``c, members``.  The numbers of blocks are a stored table of one row per
     probed cluster; members of other clusters stay behind in its join.
     """
@@ -111,7 +114,8 @@ def _blocked_candidates(probe: DataFrame, members: DataFrame, sizes: DataFrame,
           .withColumn("qb", F.explode(F.sequence(zero, F.col("nqb") - one))).withColumn("c", cluster))
     qq = (probe.join(grid, "c").withColumn("qb", F.pmod(F.xxhash64("src"), "nqb"))
           .withColumn("mb", F.explode(F.sequence(zero, F.col("nmb") - one))).withColumn("c", cluster))
-    return (qq.select("c", "mb", "qb", "src", "u_src").groupBy("c", "mb", "qb")
+    asked = ["src", "u_src", *(["floor"] if "floor" in probe.columns else [])]
+    return (qq.select("c", "mb", "qb", *asked).groupBy("c", "mb", "qb")
             .cogroup(mm.select("c", "mb", "qb", "nn", "u_nn").groupBy("c", "mb", "qb"))
             .applyInPandas(_block_top_k(k), SCORE_SCHEMA))
 
@@ -174,7 +178,7 @@ def _second_fn(centers: np.ndarray, radius: np.ndarray):
             visit = 1.0 - far ** 2 / 2.0 >= b["kth"].to_numpy()[:, None] - BOUND_SLACK
             for i, first in enumerate(b["first"]):
                 visit[i, first] = False
-            yield pd.DataFrame({"src": b["src"].to_numpy(), "u_src": u, "further": [np.flatnonzero(v).astype(np.int32) for v in visit]})
+            yield pd.DataFrame({"src": b["src"].to_numpy(), "u_src": u, "floor": b["kth"].to_numpy(), "further": [np.flatnonzero(v).astype(np.int32) for v in visit]})
 
     return run
 
@@ -214,12 +218,12 @@ def vector_neighbors(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame
         sources.select(F.col(sources.columns[0]).alias("page_id")).distinct(), "page_id", "left_semi")
     q = stored(queries.select("page_id", "u").mapInPandas(_first_fn(cmat, size, k), "src long, u_src array<double>, first array<int>"), "probes")
 
-    first = _blocked_candidates(q.select("src", "u_src", F.explode("first").alias("c")), members, sizes, k, block)
+    first = blocked_candidates(q.select("src", "u_src", F.explode("first").alias("c")), members, sizes, k, block)
     first_top = stored(top_k(first, "src", "score", "nn", k), "first")
     kth = (first_top.groupBy("src").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
            .select("src", F.when(F.col("_n") >= k, F.col("_kth")).alias("_kth")))
     second_probe = stored(q.join(kth, "src", "left").select("src", "u_src", "first", F.coalesce("_kth", F.lit(-2.0)).alias("kth"))
-                          .mapInPandas(_second_fn(cmat, radius), "src long, u_src array<double>, further array<int>"), "second")
-    second = _blocked_candidates(second_probe.select("src", "u_src", F.explode("further").alias("c")), members, sizes, k, block)
+                          .mapInPandas(_second_fn(cmat, radius), "src long, u_src array<double>, floor double, further array<int>"), "second")
+    second = blocked_candidates(second_probe.select("src", "u_src", "floor", F.explode("further").alias("c")), members, sizes, k, block)
     both = first_top.select("src", "nn", "score").unionByName(second)
     return top_k(both, "src", "score", "nn", k).select("src", "nn", "score", "rank")

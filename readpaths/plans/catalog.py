@@ -29,6 +29,7 @@ from readpaths.operators import neighbors as nb
 from readpaths.operators import sessions as ss
 from readpaths.operators import subwords as sw
 from readpaths.operators import text as tx
+from readpaths.operators import vector_hashing as vh
 from readpaths.operators import vectors as vn
 from readpaths.plans import jobs
 from readpaths.session import checkpoint_dir, ensure_conf, stored
@@ -283,6 +284,11 @@ def q_vector_neighbors(spark, d):
     return vn.vector_neighbors(fx.page_vectors(spark, d), k=P.k)
 
 
+def q_vector_neighbors_hashed(spark, d):
+    """Buckets of 64 vectors, so that the test tables have several."""
+    return vh.vector_neighbors_hashed(fx.page_vectors(spark, d), k=P.k, bucket=64)
+
+
 def q_target_ranks(spark, d):
     return _ranks(spark, d)
 
