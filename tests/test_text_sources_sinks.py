@@ -186,3 +186,18 @@ def test_session_lines_refuses_unbounded_collect(spark):
                                    "wiki_db string, qid string")
     with pytest.raises(ValueError):
         ss.session_lines(df, max_length=None)
+
+
+@pytest.mark.parametrize("block", [3, 1 << 20])
+def test_word_vectors_travel_once_a_block(spark, monkeypatch, block):
+    monkeypatch.setattr(tx, "BLOCK_WORDS", block)
+    monkeypatch.setattr(tx, "CELLS", 4)
+    texts = spark.createDataFrame([(1, "a b b"), (2, "c a zz"), (3, "zz"), (4, None), (None, "a"), (2, "b"), (5, "n")], "page_id long, text string")
+    wv = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 2.0]), ("b", [2.0, 0.0]), ("c", [1.0, 0.0]), ("n", [0.0, 0.0])], "word string, vector array<double>")
+    out = tx.text_vectors(texts, wv)
+    # a word with two vectors counts with both; the two texts of page 2 are one
+    two = [round((0.6 + 0 + 1 + 1) / 4, 6), round((0.8 + 1 + 0 + 0) / 4, 6)]
+    got = sorted(((r["page_id"], r["vector"]) for r in out.collect()), key=str)
+    assert got == sorted([(1, [0.52, 0.56]), (2, two), (2, two), (3, [0.0, 0.0]), (4, [0.0, 0.0]), (5, [0.0, 0.0]), (None, [0.0, 0.0])], key=str)
+    # no aggregation buffer of a vector's size for every count
+    assert "summar" not in out._jdf.queryExecution().toString().lower()
