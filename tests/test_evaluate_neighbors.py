@@ -246,3 +246,13 @@ def test_text_neighbours_of_an_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert nb.more_like_this(none).count() == 0
     assert nb.target_positions(spark.createDataFrame([(1, 2)], "src long, trg long"), none).count() == 0
+
+
+def test_sources_are_not_shuffled_to_blocks(spark):
+    """What is shuffled does not follow the number of (source, block) pairs."""
+    docs = spark.createDataFrame(mixed_docs(random.Random(2), 60), "doc_id long, text string")
+    _, asked, blocks = nb._prepared(docs, "doc_id", "text", None, None, None, 50)
+    queries = asked.selectExpr("*", "0D as least", "cast(null as long) as trg")
+    lists = nb._Lists(3)
+    plan = nb._streamed(blocks, list(blocks.docs), queries, lists, lists.schema)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
