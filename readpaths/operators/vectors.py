@@ -22,6 +22,12 @@ it into blocks of about ``block`` sources, so no group grows with the
 data, however uneven the clusters are.  Each block returns only its
 local top-k per source.
 
+In pass 2 a source may have to visit most clusters, so it is not sent to
+them: packs of sources with the same nearest cluster meet the blocks of
+members in a product of two stored tables, which shuffles neither.  A
+source is scored in the clusters it must visit only, its k-th score so far
+bounds what follows, and a task returns ``k`` rows a source at most.
+
 There are about ``sqrt(n)`` clusters for ``n`` vectors, at any size: the
 centres (``sqrt(n) x dim`` numbers) travel with the batch function, and as
 many rows of cluster statistics reach the driver.  A source's distances and
@@ -38,6 +44,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -51,6 +58,9 @@ DEFAULT_K = 100
 SAMPLE_PER_CLUSTER = 64
 BLOCK = 2048          # vectors (and sources) per scoring block
 CELLS = 1 << 20       # source x centre distances held at a time
+PACK = 1024           # sources of a pack, about
+PART_VECTORS = 1 << 17  # vectors of a part of the packs or the member blocks, about
+LEAST_PARTS = 12
 BOUND_SLACK = 1e-7    # covers the 9-digit rounding of scores and float error of the bound
 SCORE_SCHEMA = "src long, nn long, score double"
 
@@ -178,11 +188,103 @@ def _second_fn(centers: np.ndarray, radius: np.ndarray):
             visit = 1.0 - far ** 2 / 2.0 >= b["kth"].to_numpy()[:, None] - BOUND_SLACK
             for i, first in enumerate(b["first"]):
                 visit[i, first] = False
-            yield pd.DataFrame({"src": b["src"].to_numpy(), "u_src": u, "floor": b["kth"].to_numpy(), "further": [np.flatnonzero(v).astype(np.int32) for v in visit]})
+            yield pd.DataFrame({"src": b["src"].to_numpy(), "u_src": u, "near": [f[0] for f in b["first"]], "floor": b["kth"].to_numpy(), "further": [np.flatnonzero(v).astype(np.int32) for v in visit]})
 
     return run
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length (no numbers at all for lists of none)."""
+    return np.ascontiguousarray(column.combine_chunks().flatten().to_numpy(), dtype=np.float64)
+
+
+def _binary(place: dict[str, int], cells: dict[str, np.ndarray], types: list[pa.DataType]) -> pa.Table:
+    return pa.table({c: pa.array([v], t) for (c, v), t in zip(place.items(), types, strict=True)} | {c: pa.array([v.tobytes()], pa.binary()) for c, v in cells.items()})
+
+
+def _pack_members(group: pa.Table) -> pa.Table:
+    place = {c: group.column(c)[0].as_py() for c in ("c", "mb")}
+    return _binary(place, {"nn": group.column("nn").to_numpy(), "m": _matrix(group.column("u_nn"))}, [pa.int32(), pa.int64()])
+
+
+def _pack_sources(group: pa.Table) -> pa.Table:
+    place = {c: group.column(c)[0].as_py() for c in ("near", "pack")}
+    lists = group.column("further").combine_chunks()
+    cuts, further = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+    cells = {"src": group.column("src").to_numpy(), "u": _matrix(group.column("u_src")), "floor": group.column("floor").to_numpy(),
+             "cuts": (cuts - cuts[0]).astype(np.int64), "further": further.astype(np.int32)}
+    return _binary(place, cells, [pa.int32(), pa.int64()]).append_column("clusters", pa.array([np.unique(further).tolist()], pa.list_(pa.int32())))
+
+
+class _Pack:
+    """Sources with the clusters they must visit, and the best k of each so far."""
+
+    def __init__(self, b: pa.RecordBatch, i: int, n_clusters: int):
+        cell = lambda c, t: np.frombuffer(b.column(c)[i].as_buffer(), t)
+        self.src, self.floor = cell("src", np.int64).copy(), cell("floor", np.float64).copy()
+        self.u = cell("u", np.float64).reshape(len(self.src), -1).copy()
+        cuts, further = cell("cuts", np.int64), cell("further", np.int32)
+        self.visit = np.zeros((n_clusters, len(self.src)), bool)
+        self.visit[further, np.repeat(np.arange(len(self.src)), np.diff(cuts))] = True
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, c: int, nn: np.ndarray, m: np.ndarray, k: int) -> None:
+        rows = np.flatnonzero(self.visit[c])
+        if not len(rows):
+            return
+        score = np.round(self.u[rows] @ m.reshape(len(nn), -1).T, 9)
+        score[self.src[rows][:, None] == nn[None, :]] = -np.inf
+        reached = score >= self.floor[rows][:, None]  # a floor is at least -2
+        for r in np.flatnonzero(reached.any(axis=1)).tolist():
+            i, near = int(rows[r]), np.flatnonzero(reached[r])
+            ids, s = nn[near], score[r][near]
+            if i in self.held:
+                ids, s = np.concatenate((self.held[i][0], ids)), np.concatenate((self.held[i][1], s))
+            best = np.lexsort((ids, -s))[:k]
+            self.held[i] = ids[best], s[best]
+            if len(best) == k:
+                self.floor[i] = max(self.floor[i], s[best[-1]])
+
+    def rows(self) -> pa.Table:
+        n = [len(ids) for ids, _ in self.held.values()]
+        src = np.repeat(self.src[np.array(list(self.held), np.int64)], n)
+        ids, s = zip(*self.held.values(), strict=True) if self.held else ([np.zeros(0, np.int64)], [np.zeros(0)])
+        return pa.table({"src": src, "nn": np.concatenate(ids), "score": np.concatenate(s)})
+
+
+def _met(probe: DataFrame, members: DataFrame, sizes: DataFrame, n_rows: int, n_clusters: int, k: int, block: int) -> DataFrame:
+    """Best ``k`` of each source in its ``further`` clusters, once for each part of the members: ``src, nn, score``.
+
+    ``probe``: ``src, u_src, near, floor, further``.
+    """
+    share = lambda n, size: F.ceil(F.col(n) / size).cast("long")
+    parts = max(LEAST_PARTS, -(-n_rows // PART_VECTORS))
+    dealt = members.join(F.broadcast(sizes), "c").withColumn("mb", F.pmod(F.xxhash64("nn"), share("members", block)))
+    held = stored(dealt.select("c", "mb", "nn", "u_nn").repartition(parts, "c", "mb").groupBy("c", "mb")
+                  .applyInArrow(_pack_members, "c int, mb long, nn binary, m binary"), "member-blocks")
+    asking = probe.where(F.size("further") > 0)
+    packs = stored(asking.groupBy("near").agg(F.count(F.lit(1)).alias("sources")), "near")  # a row per cluster at most
+    packed = asking.join(F.broadcast(packs), "near").withColumn("pack", F.pmod(F.xxhash64("src"), share("sources", PACK)))
+    packed = stored(packed.drop("sources").repartition(parts, "near", "pack").groupBy("near", "pack").applyInArrow(
+        _pack_sources, "near int, pack long, src binary, u binary, floor binary, cuts binary, further binary, clusters array<int>"), "packs")
+    met = packed.join(held.hint("shuffle_replicate_nl"), F.array_contains("clusters", F.col("c"))).drop("clusters")
+
+    def run(batches):
+        place = pack = None
+        for b in batches:
+            for i in range(b.num_rows):
+                here = b.column("near")[i].as_py(), b.column("pack")[i].as_py()
+                if place != here:
+                    if pack is not None:
+                        yield from pack.rows().to_batches()
+                    place, pack = here, _Pack(b, i, n_clusters)
+                pack.add(b.column("c")[i].as_py(), np.frombuffer(b.column("nn")[i].as_buffer(), np.int64), np.frombuffer(b.column("m")[i].as_buffer(), np.float64), k)
+        if pack is not None:
+            yield from pack.rows().to_batches()
+
+    return met.mapInArrow(run, SCORE_SCHEMA)
+
+
 def vector_neighbors(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame | None = None,
                      id_col: str = "page_id", vec_col: str = "vector", n_clusters: int | None = None,
                      block: int = BLOCK, seed: int = 1, max_iter: int = 5) -> DataFrame:
@@ -223,7 +325,7 @@ def vector_neighbors(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame
     kth = (first_top.groupBy("src").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
            .select("src", F.when(F.col("_n") >= k, F.col("_kth")).alias("_kth")))
     second_probe = stored(q.join(kth, "src", "left").select("src", "u_src", "first", F.coalesce("_kth", F.lit(-2.0)).alias("kth"))
-                          .mapInPandas(_second_fn(cmat, radius), "src long, u_src array<double>, floor double, further array<int>"), "second")
-    second = blocked_candidates(second_probe.select("src", "u_src", "floor", F.explode("further").alias("c")), members, sizes, k, block)
+                          .mapInPandas(_second_fn(cmat, radius), "src long, u_src array<double>, near int, floor double, further array<int>"), "second")
+    second = _met(second_probe, members, sizes, n_rows, n_c, k, block)
     both = first_top.select("src", "nn", "score").unionByName(second)
     return top_k(both, "src", "score", "nn", k).select("src", "nn", "score", "rank")
