@@ -12,10 +12,15 @@ with none left the search is exact.
 
 * Equal vectors are one member: of a group of copies only the ``k + 1``
   smallest ids can be anybody's neighbours, and they come back at the end.
-* The first pass visits the sources' own buckets; its k-th score is the floor
-  of the second, whose cells return nothing below it.
-* A bucket is scored in bounded cells of members and sources, as in the exact
-  search, so no group grows with the data and none is cut short.
+* Nothing is copied for a visit: members and sources are dealt once into packs
+  of about ``block`` vectors, and every pack of sources meets every pack of
+  members in a product of two stored tables.  A task that holds both works out
+  the buckets and scores only pairs that meet in a table.
+* The packs of members come in rounds, each as many as all before.  A source
+  keeps its best ``k`` so far, and their last score is the floor of the next
+  round, so that a round returns about ``k`` rows a source, however many
+  buckets it visits.  What a round leaves on disk replaces that of the round
+  before; there are as many rounds as doublings of the number of packs.
 
 Null and zero vectors take no part; an empty table gives an empty result; an
 id has one row, as in the exact search.
@@ -28,12 +33,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readpaths.operators.neighbors import top_k
-from readpaths.operators.vectors import BLOCK, CELLS, DEFAULT_K, blocked_candidates, unit_vectors
-from readpaths.session import stored
+from readpaths.operators.vectors import BLOCK, CELLS, DEFAULT_K, SCORE_SCHEMA, unit_vectors
+from readpaths.session import removed, stored
 
 TABLES = 8
 BUCKET = 2048   # vectors per bucket, on average
@@ -41,6 +47,9 @@ RECALL = 0.95   # on the sample
 SAMPLE = 200    # sources that are compared with every vector
 WEAK = 10       # signs of a table that probes may change
 MAX_BITS = 30
+MAX_FILES = 1000  # of a table of packs
+PACK_VALUES = 1 << 18  # components in a pack, at most
+LOOKUP = 16  # looking a bucket up costs as much as comparing with so many members
 
 
 @dataclass(frozen=True)
@@ -141,20 +150,172 @@ def tuned(members: DataFrame, k: int = DEFAULT_K, recall: float = RECALL, tables
         bits = max(0, bits - 2)
 
 
-def _bucket_fn(search: Search, id_name: str, columns: list[str], skip: int, probes: int):
-    """Per batch of vectors: a row for each table and visited bucket but the first ``skip``."""
+def _pack(group: pd.DataFrame) -> pd.DataFrame:
+    """A pack's ids in ascending order and their vectors, as bytes."""
+    group = group.sort_values("id")
+    return pd.DataFrame({"pack": [group["pack"].iloc[0]], "ids": [group["id"].to_numpy(np.int64).tobytes()],
+                         "u": [np.stack(group["u"].to_numpy()).astype(np.float64).tobytes()]})
+
+
+def _packs(rows: DataFrame, n: int, name: str) -> DataFrame:
+    """``page_id, u`` as ``n`` packs, each a row ``pack, ids, u``."""
+    dealt = rows.select(_pack_of("page_id", n).alias("pack"), F.col("page_id").alias("id"), "u")
+    return stored(dealt.repartition(min(n, MAX_FILES), "pack").groupBy("pack").applyInPandas(_pack, "pack long, ids binary, u binary"), name)
+
+
+def _pack_of(id_col: str, n: int):
+    return F.pmod(F.xxhash64(id_col), F.lit(n))
+
+
+def _unpacked(ids: bytes, u: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, np.int64)
+    return ids, np.frombuffer(u, np.float64).reshape(len(ids), -1)
+
+
+class _Sources:
+    """A pack of sources: ids, vectors, floors, and per table either the visited buckets or what a changed sign costs."""
+
+    def __init__(self, search: Search, ids: bytes, u: bytes, asked: np.ndarray | None, floors: np.ndarray | None):
+        self.search = search
+        self.ids, self.u = _unpacked(ids, u)
+        self.floor = np.full(len(self.ids), -2.0)
+        if asked is not None:
+            order = np.argsort(asked)
+            at = order[np.minimum(np.searchsorted(asked[order], self.ids), len(asked) - 1)]
+            self.floor = np.where(asked[at] == self.ids, floors[at], self.floor)
+        self.products = [self.u @ p for p in search.planes]
+        self.visits = self.costs = None
+
+    def codes(self) -> list[np.ndarray]:
+        """Source x visited bucket, per table."""
+        if self.visits is None:
+            step = max(1, CELLS >> min(WEAK, self.search.bits))
+            self.visits = [np.concatenate([_probe_codes(x[at:at + step], self.search.probes) for at in range(0, len(x), step)]) for x in self.products]
+        return self.visits
+
+    def weights(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per table: the cost of a member's 0 and 1 in each place, and that of the last visited bucket."""
+        if self.costs is None:
+            self.costs = [_weights(x, self.search.probes) for x in self.products]
+        return self.costs
+
+
+def _weights(products: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    weak = min(WEAK, products.shape[1])
+    near = np.argsort(np.abs(products), axis=1, kind="stable")[:, :weak]
+    squares = np.take_along_axis(products, near, axis=1) ** 2
+    cost = np.full(products.shape, 1e30)  # a sign that no probe changes
+    np.put_along_axis(cost, near, squares, axis=1)
+    last = np.empty(len(products))
+    step = max(1, CELLS >> weak)
+    for at in range(0, len(products), step):
+        last[at:at + step] = np.partition(squares[at:at + step] @ _changes(weak).T, probes - 1, axis=1)[:, probes - 1]
+    one = products > 0
+    return np.hstack((cost * one, cost * ~one)), last * (1 + 1e-12)
+
+
+def _looked_up(codes: list[np.ndarray], tables: list[np.ndarray], rows: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (source, member) that meet, by looking the visited buckets up."""
+    met = []
+    for visits, own in zip(codes, tables, strict=True):
+        order = np.argsort(own, kind="stable")
+        visits = visits[rows]
+        low = np.searchsorted(own[order], visits.ravel(), side="left")
+        n = np.searchsorted(own[order], visits.ravel(), side="right") - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        met.append(np.repeat(np.arange(len(visits)), visits.shape[1]).repeat(n) * len(own) + order[at])
+    pairs = np.unique(np.concatenate(met))
+    return pairs // len(tables[0]), pairs % len(tables[0])
+
+
+def _pair_scores(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    out = np.empty(len(i))
+    step = max(1, CELLS // max(1, a.shape[1]))
+    for at in range(0, len(i), step):
+        out[at:at + step] = np.einsum("ij,ij->i", a[i[at:at + step]], b[j[at:at + step]])
+    return out
+
+
+def _met(s: _Sources, signs: list[np.ndarray], u: np.ndarray, ids: np.ndarray, rows: slice, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of the sources ``rows`` with members that share a visited bucket, none below the source's floor, and scores."""
+    search, floor, own = s.search, s.floor[rows], s.ids[rows]
+    if len(search.planes) * search.probes * LOOKUP < len(ids):
+        i, j = _looked_up(s.codes(), [_codes(x - 0.5) for x in signs], rows)
+        score = np.round(_pair_scores(s.u[rows], u, i, j), 9)
+        good = (score >= floor[i]) & (own[i] != ids[j])
+        return i[good], j[good], score[good]
+    score = np.round(s.u[rows] @ u.T, 9)
+    score[own[:, None] == ids[None, :]] = -np.inf
+    live = score >= floor[:, None]
+    beside = [np.hstack((1.0 - x, x)) for x in signs]
+    if live.mean() > 1 / 16:
+        meets = np.zeros(live.shape, bool)
+        for (cost, last), b in zip(s.weights(), beside, strict=True):
+            meets |= cost[rows] @ b.T <= last[rows, None]
+        score[~(meets & live)] = -np.inf
+        if k < len(ids):
+            score[score < np.partition(score, -k, axis=1)[:, -k, None]] = -np.inf
+        i, j = np.nonzero(np.isfinite(score))
+    else:
+        i, j = np.nonzero(live)
+        meets = np.zeros(len(i), bool)
+        for (cost, last), b in zip(s.weights(), beside, strict=True):
+            meets |= _pair_scores(cost[rows], b, i, j) <= last[rows][i]
+        i, j = i[meets], j[meets]
+    return i, j, score[i, j]
+
+
+def _product_fn(search: Search, k: int):
+    """Per row, a pack of sources beside a pack of members: each source's best ``k`` of the members that it meets."""
     def run(batches):
-        step = max(1, CELLS // (len(search.planes) * max(probes, 1 << min(WEAK, search.bits))))
-        for b in _slices(batches, step):
-            u = np.stack(b["u"].to_numpy())
-            for t, p in enumerate(search.planes):
-                codes = _probe_codes(u @ p, probes)[:, skip:] + (t << MAX_BITS + 1)
-                rows = np.repeat(np.arange(len(b)), codes.shape[1])
-                yield b[[id_name, *columns]].iloc[rows].assign(c=codes.ravel())
+        held, s = None, None
+        for b in batches:
+            for n in range(b.num_rows):
+                cell = {c: b.column(c)[n] for c in b.schema.names}
+                if cell["pack"].as_py() != held:
+                    floors = [None if cell[c].values is None else cell[c].values.to_numpy() for c in ("asked", "floors")]
+                    held, s = cell["pack"].as_py(), _Sources(search, cell["ids"].as_py(), cell["u"].as_py(), *floors)
+                ids, u = _unpacked(cell["member_ids"].as_py(), cell["member_u"].as_py())
+                signs = [(u @ p > 0).astype(np.float64) for p in search.planes]
+                step = max(1, CELLS // len(ids))
+                for at in range(0, len(s.ids), step):
+                    i, j, score = _met(s, signs, u, ids, slice(at, at + step), k)
+                    order = np.lexsort((ids[j], -score, i))
+                    order = order[np.arange(len(i)) - np.searchsorted(i[order], i[order]) < k]
+                    if len(order):
+                        yield pa.RecordBatch.from_arrays([pa.array(s.ids[at:at + step][i[order]]), pa.array(ids[j[order]]), pa.array(score[order])], names=["src", "nn", "score"])
 
     return run
 
 
+def _searched(asking: DataFrame, members: DataFrame, search: Search, k: int, block: int) -> DataFrame:
+    """``src, nn, score``: each source's best ``k`` of the members that it meets in a visited bucket."""
+    block = max(1, min(block, PACK_VALUES // search.planes.shape[1]))
+    n_members, n_sources = (max(1, math.ceil(x.count() / block)) for x in (members, asking))
+    held = _packs(members, n_members, "member-packs").select(F.col("pack").alias("at"), F.col("ids").alias("member_ids"), F.col("u").alias("member_u"))
+    packs = _packs(asking, n_sources, "source-packs")
+    best, first = None, 0
+    while first < n_members:
+        then = max(1, 2 * first)
+        if best is None:
+            sources = packs.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("asked", "array<long>"), ("floors", "array<double>"))))
+        else:
+            least = best.groupBy("src").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+            floors = least.groupBy(_pack_of("src", n_sources).alias("pack")).agg(F.collect_list(F.struct("src", "floor")).alias("f"))
+            sources = stored(packs.join(floors, "pack", "left").select("pack", "ids", "u", F.col("f.src").alias("asked"), F.col("f.floor").alias("floors"))
+                             .repartition(min(n_sources, MAX_FILES), "pack"), "asking-packs")
+        met = sources.crossJoin(held.where((F.col("at") >= first) & (F.col("at") < then)).drop("at").hint("shuffle_replicate_nl"))
+        new = met.mapInArrow(_product_fn(search, k), SCORE_SCHEMA)
+        every = (new if best is None else best.union(new)).repartition("src").distinct()
+        done = stored(top_k(every, "src", "score", "nn", k).drop("rank"), "best")
+        if best is not None:
+            removed(best)
+            removed(sources)
+        best, first = done, then
+    removed(packs)
+    return best
+
+
 def vector_neighbors_hashed(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame | None = None, id_col: str = "page_id",
                             vec_col: str = "vector", recall: float = RECALL, tables: int = TABLES, bucket: int = BUCKET,
                             block: int = BLOCK, seed: int = 1) -> DataFrame:
@@ -175,23 +336,7 @@ def vector_neighbors_hashed(vectors: DataFrame, k: int = DEFAULT_K, sources: Dat
     asking = stored(class_of(asked.select(F.col("page_id").alias("src"), "u")), "sources")
     asking_classes = stored(members.join(asking.select(F.col("class").alias("page_id")).distinct(), "page_id", "left_semi"), "asking")
 
-    table = stored(members.mapInPandas(_bucket_fn(search, "page_id", ["u"], 0, 1), "page_id long, u array<double>, c long")
-                   .select(F.col("page_id").alias("nn"), F.col("u").alias("u_nn"), "c"), "tables")
-    sizes = table.groupBy("c").agg(F.count(F.lit(1)).alias("members"))
-
-    def found(rows: DataFrame, columns: list[str], types: str, skip: int, probes: int) -> DataFrame:
-        probe = stored(rows.mapInPandas(_bucket_fn(search, "page_id", ["u", *columns], skip, probes), f"page_id long, u array<double>{types}, c long")
-                       .withColumnsRenamed({"page_id": "src", "u": "u_src"}).join(sizes.select("c"), "c", "left_semi"), "probes")
-        # a pair that meets in several buckets has the same score in each
-        return blocked_candidates(probe, table, sizes, k, block).distinct()
-
-    first = stored(top_k(found(asking_classes, [], "", 0, 1), "src", "score", "nn", k).drop("rank"), "first")
-    every = first
-    if search.probes > 1:
-        floor = first.groupBy("src").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-        rest = asking_classes.join(floor, asking_classes["page_id"] == floor["src"], "left").select("page_id", "u", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
-        every = first.union(found(rest, ["floor"], ", floor double", 1, search.probes)).distinct()
-    classes = top_k(every, "src", "score", "nn", k).select(F.col("src").alias("class"), F.col("nn").alias("found"), "score")
+    classes = _searched(asking_classes, members, search, k, block).select(F.col("src").alias("class"), F.col("nn").alias("found"), "score")
     own = asking_classes.select(F.col("page_id").alias("class"), F.col("page_id").alias("found"),
                                 F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x), 9).alias("score"))
     ids = class_of(copies.select(F.col("page_id").alias("nn"), "u")).withColumnRenamed("class", "found")

@@ -113,3 +113,55 @@ def test_too_many_bits_are_given_up(spark):
     units = vh.unit_vectors(frame(spark, {i: rng.standard_normal(48) for i in range(600)}))
     search = vh.tuned(units, k=20, recall=1.0, tables=1, bucket=0.1)
     assert search.bits < 13 and search.recall == 1.0
+
+
+def test_rounds_leave_few_rows_on_disk_however_many_buckets_are_visited(spark, monkeypatch):
+    """Even vectors: most buckets are visited; no table that is written holds a row for each visit, and the result is that of the visits."""
+    rng = np.random.default_rng(11)
+    vecs = {i: rng.standard_normal(32) for i in range(900)}
+    written = []
+    real = vh.stored
+
+    def stored(df, name):
+        out = real(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(vh, "stored", stored)
+    units = vh.unit_vectors(frame(spark, vecs))
+    search = vh.tuned(units, k=10, bucket=16)
+    got = found(vh.vector_neighbors_hashed(frame(spark, vecs), k=10, bucket=16, block=64))
+    assert vh.TABLES * search.probes > 50 and max(n for _, n in written) <= 10 * len(vecs)
+    ids = np.array(sorted(vecs))
+    u = {r["page_id"]: r["u"] for r in units.collect()}
+    u = np.array([u[i] for i in ids])
+    meets = np.zeros((len(u), len(u)), bool)
+    for p in search.planes:
+        codes = vh._codes(u @ p)
+        for row, c in enumerate(vh._probe_codes(u @ p, search.probes)):
+            meets[row] |= np.isin(codes, c)
+    s = np.round(u @ u.T, 9)
+    for a, i in enumerate(ids):
+        want = sorted((-s[a, b], j) for b, j in enumerate(ids) if j != i and meets[a, b])[:10]
+        assert [j for j, _ in got[i]] == [j for _, j in want]
+
+
+@pytest.mark.parametrize("lookup", [0, 1 << 20])
+def test_both_ways_of_meeting_agree(monkeypatch, lookup):
+    """Looked-up buckets and compared costs give the same pairs, with and without floors."""
+    rng = np.random.default_rng(1)
+    u, own = rng.standard_normal((300, 12)), rng.standard_normal((40, 12))
+    u, own = (x / np.linalg.norm(x, axis=1)[:, None] for x in (u, own))
+    search = vh.Search(vh._planes(3, 12, 6, 2), 5, 1.0)
+    monkeypatch.setattr(vh, "LOOKUP", lookup)
+    ids, src = np.arange(300), np.arange(1000, 1040)
+    meets = np.zeros((40, 300), bool)
+    for p in search.planes:
+        for row, c in enumerate(vh._probe_codes(own @ p, 5)):
+            meets[row] |= np.isin(vh._codes(u @ p), c)
+    score = np.round(own @ u.T, 9)
+    for floor in (-2.0, 0.1, 0.7):
+        s = vh._Sources(search, src.tobytes(), own.tobytes(), src[::-1], np.full(40, floor))
+        i, j, got = vh._met(s, [(u @ p > 0).astype(float) for p in search.planes], u, ids, slice(0, 40), 300)
+        assert {*zip(i.tolist(), j.tolist(), strict=True)} == {*zip(*(x.tolist() for x in np.nonzero(meets & (score >= floor))), strict=True)}
+        assert np.abs(got - score[i, j]).max(initial=0) < 2e-9
