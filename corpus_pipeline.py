@@ -44,7 +44,7 @@ def stage(fn: Stage) -> Stage:
 @stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return quality_kn.keep(docs)
+    return quality_kn.keep(docs, whole=True)
 
 
 @stage

@@ -1,7 +1,18 @@
 """Quality rules: base counts, then bands of n-gram perplexity per language.
 
 The perplexity is that of a modified Kneser-Ney model of character n-grams,
-one model per language, counted by Spark over every text.  ASCII
+one model per language, counted by Spark over every text.  With ``whole``
+(op3, the pipeline) every code point is a symbol of its own and every language
+has n-grams of the same order: three code points pack without loss into 63
+bits.  The last back-off is to 1 / (128 + the language's letters beyond ASCII).
+Such a model has no bound, so it is not sent whole: the most frequent n-grams,
+at most ``MODEL_ROWS`` (whole levels of their counts' logarithm), go to every
+task, and a text's other n-grams meet their probabilities in a join.  Bits are
+added as whole numbers of ``1 / SCALE``, so the sum is the same on any way.
+Every n-gram of a text has been counted, so its own probability, with all
+shorter ones in it, is what the model gives.
+
+Without ``whole`` the model is bounded: ASCII
 is taken as it is; of all other code points those that make up at least
 ``LEAST_SHARE`` of a language's characters (counted by Spark over every text)
 have a class each, the first 18 in the free control codes, and the rest share
@@ -57,8 +68,11 @@ LEAST_SHARE = 1 / 4096  # of a language's characters, for a class of its own
 WIDE = 256  # classes of the widest alphabet whose n-grams have the full length
 FREE = 18  # control codes 14 .. 31
 REST = 32
+POINT_BITS = 21  # of a code point and one: 0 is before the text
+SCALE = 1 << 30
 PIECE_BYTES = 1 << 19
 FLUSH_CHARS = 2 << 20
+FLUSH_GRAMS = 2 << 20
 # fixed values: the symbols that the base rule counts
 SYMBOLS = "#*$%&|<>"
 
@@ -152,6 +166,11 @@ def classes(buf: np.ndarray, offsets: np.ndarray, langs: list[str | None] | None
     return folded, at
 
 
+def code_points(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the rows, each plus 1, and row offsets in characters."""
+    return _points(buf).astype(np.int64) + 1, np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))[offsets]
+
+
 def _alphabets(docs: DataFrame, text_col: str, lang_col: str) -> dict[str | None, Alphabet]:
     """The letters of every language that has any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +236,8 @@ def _cut(grams: np.ndarray, order: int, width: int) -> np.ndarray:
     return grams & ((1 << width * order) - 1)
 
 
-def _count(docs: DataFrame, text_col: str, lang_col: str, order: int, alphabets: dict[str | None, Alphabet] | None = None, width: int = CLASS_BITS) -> DataFrame:
-    """``lang, gram, n`` over all texts."""
+def _count(docs: DataFrame, text_col: str, lang_col: str, order: int, alphabets: dict[str | None, Alphabet] | None = None, width: int = CLASS_BITS, whole: bool = False) -> DataFrame:
+    """``lang, gram, n`` over all texts, of classes or, with ``whole``, of code points."""
     letters = docs.sparkSession.sparkContext.broadcast(alphabets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,11 +256,17 @@ def _count(docs: DataFrame, text_col: str, lang_col: str, order: int, alphabets:
             waiting.clear()
             size = 0
 
+        def counted():
+            for lang, (keys, n) in done.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+            done.clear()
+
         for b in batches:
             buf, offsets = utf8(b.column("text"))
             langs = b.column("lang").to_pylist()
             for i, j in row_ranges(offsets, PIECE_BYTES):
-                symbols, at = classes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], langs[i:j], letters.value)
+                piece = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                symbols, at = code_points(*piece) if whole else classes(*piece, langs[i:j], letters.value)
                 grams = packed(symbols, at, order, width).astype(np.int32 if width * order < 31 else np.int64)
                 for lang in set(langs[i:j]):
                     own = np.repeat(np.array([x == lang for x in langs[i:j]]), np.diff(at))
@@ -249,10 +274,11 @@ def _count(docs: DataFrame, text_col: str, lang_col: str, order: int, alphabets:
                 size += len(symbols)
                 if size >= FLUSH_CHARS:
                     flush()
+                    if sum(len(keys) for keys, _ in done.values()) >= FLUSH_GRAMS:
+                        yield from counted()
             give_back()
         flush()
-        for lang, (keys, n) in done.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+        yield from counted()
 
     parts = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(run, "lang string, gram long, n long")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -281,13 +307,15 @@ def _among(langs: list[str | None]) -> Column:
     return F.coalesce(lang.isin([x for x in langs if x is not None]), F.lit(False)) | (lang.isNull() if None in langs else F.lit(False))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER, alphabets: dict[str | None, Alphabet] | None = None, width: int = CLASS_BITS) -> DataFrame:
+def kneser_ney(counts: DataFrame, order: int = ORDER, alphabets: dict[str | None, Alphabet] | None = None, width: int = CLASS_BITS, whole: bool = False) -> DataFrame:
     """Interpolated modified Kneser-Ney from ``lang, gram, n`` of the highest order.
 
     ``lang, size, gram, p, backoff``: probability of each seen n-gram of
     ``size`` 1 .. order, and the back-off weight of each as a context
     (null if never one); size 0 has the weight of the empty context.
     Lower orders count the distinct characters that precede an n-gram.
+    With ``whole`` a language's uniform distribution is over ASCII and all
+    its other characters.
     """
     # the uniform distribution at the end of the back-off, over each language's classes
     uniform = F.lit(1.0 / CLASSES)
@@ -320,11 +348,16 @@ def kneser_ney(counts: DataFrame, order: int = ORDER, alphabets: dict[str | None
     totals = stored(cut.groupBy("lang", "size", "context").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("backoff")), "contexts")
     own = stored(cut.alias("g").join(totals.alias("t"), same("g", "t") & (F.col("g.size") == F.col("t.size")) & (F.col("g.context") == F.col("t.context")))
                  .select("g.lang", "g.size", "gram", ((F.col("n") - F.col("off")) / F.col("total")).alias("own"), F.col("backoff").alias("keep")), "own")
+    at_end = lambda rows: rows
+    if whole:
+        symbols = stored(every.where("size = 1").groupBy(F.col("lang").alias("l"))
+                         .agg((1.0 / (CLASSES + F.count(F.when(F.col("gram") > CLASSES, 1)))).alias("uniform")), "symbols")
+        at_end, uniform = lambda rows: rows.join(symbols, F.col("lang").eqNullSafe(F.col("l"))), F.col("uniform")
     lower, model = None, None
     for size in range(1, order + 1):
         part = own.where(F.col("size") == size)
         if lower is None:
-            p = part.select("lang", "size", "gram", (F.col("own") + F.col("keep") * uniform).alias("p"))
+            p = at_end(part).select("lang", "size", "gram", (F.col("own") + F.col("keep") * uniform).alias("p"))
         else:
             low = F.col("a.gram").bitwiseAND(F.lit((1 << width * (size - 1)) - 1))
             p = (part.alias("a").join(lower.alias("b"), same("a", "b") & (low == F.col("b.gram")))
@@ -332,7 +365,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER, alphabets: dict[str | None
         lower = stored(p, f"order-{size}")
         model = lower if model is None else model.union(lower)
     weights = totals.select("lang", (F.col("size") - 1).alias("size"), F.col("context").alias("gram"), "backoff")
-    empty = weights.where("size = 0").select("lang", "size", "gram", uniform.alias("p"), "backoff")
+    empty = at_end(weights.where("size = 0")).select("lang", "size", "gram", uniform.alias("p"), "backoff")
     return (model.alias("m").join(weights.alias("w"), same("m", "w") & (F.col("m.size") == F.col("w.size")) & (F.col("m.gram") == F.col("w.gram")), "left")
             .select("m.lang", "m.size", "m.gram", "p", "backoff").union(empty)
             # contexts that start a text are never n-grams themselves
@@ -429,12 +462,86 @@ def _score(docs: DataFrame, models, letters, width: int, order: int, text_at: st
     return docs.mapInArrow(run, T.StructType([*fields, T.StructField("bits", T.DoubleType())]))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER,
-          band: float = BAND, model_rows: int = MODEL_ROWS, carry: bool = False) -> DataFrame:
-    """``<id_col>``, the base counts, ``base_failed``, ``bits`` (per character; perplexity is 2^bits),
-    ``lower, upper`` (the band) and ``kept``, one row per input row; with ``carry`` the input row too, as struct ``row``."""
+def _common(costs: DataFrame, model_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """The n-grams of the highest levels of frequency that are ``model_rows`` at most, and all others if there are any."""
+    held = 0
+    for r in costs.groupBy("level").count().orderBy(F.desc("level")).collect():  # 64 rows at most
+        held += r["count"]
+        if held > model_rows:
+            return costs.where(F.col("level") > r["level"]), costs.where(F.col("level") <= r["level"])
+    return costs, None
+
+
+def _score_whole(docs: DataFrame, costs, order: int, text_at: str | None) -> DataFrame:
+    """Base counts and the cost of the n-grams in ``costs`` (broadcast: per language, n-grams and costs); the others as ``grams, times``.
+
+    ``docs`` is as for ``_score``.
+    """
+    through = ["id", "lang"] + ["row"] * (text_at is not None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, offsets = utf8(b.column("text") if text_at is None else b.column("row").field(text_at))
+            langs = b.column("lang").to_pylist()
+            for i, j in row_ranges(offsets, PIECE_BYTES):
+                piece, at = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                counts = base_counts(piece, at)
+                symbols, chars = code_points(piece, at)
+                grams = packed(symbols, chars, order, POINT_BITS)
+                cost, seen = np.zeros(len(grams), np.int64), np.zeros(len(grams), bool)
+                for lang in set(langs[i:j]) & costs.value.keys():
+                    keys, values = costs.value[lang]
+                    own = np.flatnonzero(np.repeat(np.array([x == lang for x in langs[i:j]]), np.diff(chars)))
+                    place = np.minimum(np.searchsorted(keys, grams[own]), len(keys) - 1)
+                    seen[own] = keys[place] == grams[own]
+                    cost[own] = np.where(seen[own], values[place], 0)
+                row, rare = np.repeat(np.arange(j - i), np.diff(chars))[~seen], grams[~seen]
+                by = np.lexsort((rare, row))
+                row, rare = row[by], rare[by]
+                first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (rare[1:] != rare[:-1])))[: len(row)])
+                ends = pa.array(np.searchsorted(row[first], np.arange(j - i + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (rare[first], np.diff(np.append(first, len(row))))]
+                total = np.concatenate(([0], np.cumsum(cost)))[chars]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in through), *(pa.array(counts[c], pa.int64()) for c in _COUNTS),
+                                                  pa.array(np.diff(chars), pa.int64()), pa.array(np.diff(total), pa.int64()), *lists],
+                                                 names=[*through, *_COUNTS, "length", "cost", "grams", "times"])
+            give_back()
+
+    fields = [docs.schema[c] for c in through] + [T.StructField(c, T.LongType()) for c in (*_COUNTS, "length", "cost")]
+    return docs.mapInArrow(run, T.StructType([*fields, *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("grams", "times"))]))
+
+
+def _by_points(docs: DataFrame, named: DataFrame, text_col: str, lang_col: str, order: int, model_rows: int, carry: bool) -> DataFrame:
+    """Base counts and bits per character of ``named`` by the n-grams of all code points."""
+    if POINT_BITS * order > 63:
+        raise ValueError(f"{order} code points do not fit into 64 bits")
+    counts = stored(_count(docs, text_col, lang_col, order, None, POINT_BITS, whole=True), "grams")
+    model = kneser_ney(counts, order, None, POINT_BITS, whole=True).where((F.col("size") == order) & F.col("p").isNotNull())
+    priced = model.alias("m").join(counts.alias("c"), F.col("m.lang").eqNullSafe(F.col("c.lang")) & (F.col("m.gram") == F.col("c.gram")))
+    costs = stored(priced.select("m.lang", "m.gram", F.round(-F.log2("p") * SCALE).cast("long").alias("cost"), F.floor(F.log2("n")).cast("int").alias("level")), "model")
+    common, others = _common(costs, model_rows)
+    t = common.select("lang", "gram", "cost").toArrow()  # model_rows at most
+    sent = {}
+    lang = t.column("lang").combine_chunks().dictionary_encode()
+    codes, gram, cost = lang.indices.fill_null(-1).to_numpy(), t.column("gram").to_numpy(), t.column("cost").to_numpy()
+    for code in np.unique(codes):
+        at = np.flatnonzero(codes == code)
+        at = at[np.argsort(gram[at])]
+        sent[None if code < 0 else lang.dictionary[int(code)].as_py()] = gram[at], cost[at]
+    scored = _score_whole(named, docs.sparkSession.sparkContext.broadcast(sent), order, text_col if carry else None)
+    if others is not None:
+        scored = stored(scored.withColumn("at", F.monotonically_increasing_id()), "parts")
+        asked = scored.select("at", "lang", F.explode(F.arrays_zip("grams", "times")).alias("x")).select("at", "lang", "x.grams", "x.times")
+        met = asked.alias("a").join(others.alias("o"), F.col("a.lang").eqNullSafe(F.col("o.lang")) & (F.col("a.grams") == F.col("o.gram")))
+        rest = stored(met.groupBy("at").agg(F.sum(F.col("a.times") * F.col("o.cost")).alias("more")), "rare")
+        scored = scored.join(rest, "at", "left").withColumn("cost", F.col("cost") + F.coalesce("more", F.lit(0)))
+    bits = F.col("cost") / F.lit(float(SCALE)) / F.greatest("length", F.lit(1))
+    return scored.select(*named.columns[:2], *["row"] * carry, *_COUNTS, "length", bits.alias("bits"))
+
+
+def _by_classes(docs: DataFrame, named: DataFrame, text_col: str, lang_col: str, order: int, model_rows: int, carry: bool) -> DataFrame:
+    """Base counts and bits per character of ``named`` by the n-grams of every language's classes."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     counts, alphabets, width = _language_counts(docs, text_col, lang_col, order)
     letters = spark.sparkContext.broadcast(alphabets)
     model = stored(language_models(counts, order, alphabets, width), "model")
@@ -445,8 +552,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             room = 0
         groups[-1].append(r["lang"])
         room += r["count"]
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else F.col(text_col).alias("text")
-    lang, named = F.col("lang"), docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), rest)
     scored = None
     within = [_among(group) for group in groups]
     if len(groups) > 1:  # languages without a model: all their texts are null or empty
@@ -456,6 +561,19 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         models = spark.sparkContext.broadcast(_models(model, group, order, alphabets, width))
         part = _score(named.where(within[k]) if len(groups) > 1 else named, models, letters, width, order, text_col if carry else None)
         scored = part if scored is None else scored.union(part)
+    return scored
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER,
+          band: float = BAND, model_rows: int = MODEL_ROWS, carry: bool = False, whole: bool = False) -> DataFrame:
+    """``<id_col>``, the base counts, ``base_failed``, ``bits`` (per character; perplexity is 2^bits),
+    ``lower, upper`` (the band) and ``kept``, one row per input row; with ``carry`` the input row too, as struct ``row``;
+    with ``whole`` by n-grams of all code points instead of bounded classes."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else F.col(text_col).alias("text")
+    lang, named = F.col("lang"), docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), rest)
+    scored = (_by_points if whole else _by_classes)(docs, named, text_col, lang_col, order, model_rows, carry)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     scored = stored(scored.withColumn("base_failed", failed), "scored")
     # medians of values rounded to 1/1000 bit and to powers of 1.05: the aggregation holds few distinct ones
@@ -475,6 +593,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                       *["row"] * carry)
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole: bool = False) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    return judge(docs, id_col, text_col, lang_col, carry=True).where("kept").select("row.*")
+    return judge(docs, id_col, text_col, lang_col, carry=True, whole=whole).where("kept").select("row.*")

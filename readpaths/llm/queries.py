@@ -26,7 +26,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_kn.judge(_table(spark, sf_dir, "documents"))
+    return quality_kn.judge(_table(spark, sf_dir, "documents"), whole=True)
 
 
 def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

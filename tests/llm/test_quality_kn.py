@@ -220,3 +220,83 @@ def test_keep_returns_whole_rows(spark):
 def test_empty_table(spark):
     assert K.judge(empty(spark)).count() == 0
     assert K.keep(empty(spark)).columns == empty(spark).columns
+
+
+def whole_model(texts_, order=3):
+    """Plain modified Kneser-Ney on code points, for a language's texts."""
+    fold = lambda t: [-1] * (order - 1) + [ord(c) for c in t]
+    counts = {order: Counter(tuple(s[i : i + order]) for t in texts_ for s in [fold(t)] for i in range(len(s) - order + 1))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    size = 128 + len({c for t in texts_ for c in t if ord(c) > 127})
+    off, followers = {}, {}
+    for n, c in counts.items():
+        t = Counter(c.values())
+        y = t[1] / (t[1] + 2 * t[2]) if t[1] + 2 * t[2] else None
+        off[n] = [min(max(k - (k + 1) * y * t[k + 1] / t[k] if y is not None and t[k] else k * 0.5, 0.05), k * 0.95) for k in (1, 2, 3)]
+        for g, v in c.items():
+            followers.setdefault((n, g[:-1]), []).append(v)
+
+    def p(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / size
+        cut = lambda v: off[n][min(v, 3) - 1]
+        own, all_ = counts[n][gram], followers[n, gram[:-1]]
+        return (own - cut(own)) / sum(all_) + sum(map(cut, all_)) / sum(all_) * p(gram[1:])
+
+    def bits(t):
+        s = fold(t)
+        return sum(-math.log2(p(tuple(s[i : i + order]))) for i in range(len(t))) / max(1, len(t))
+
+    return bits
+
+
+def wide_rows():
+    rows = [(i, "".join(chr(0x4E00 + (i * 37 + k * k) % 300) for k in range(60)) + chr(0x8000 + 32 * i), "zh") for i in range(8)]
+    return [*rows, (50, "abc abd\x0b\x7f é😀", "en"), (51, None, "en"), (52, "", "xx"), (53, "x y é", None), (53, "x y é", None), (None, "ab", "zh")]
+
+
+def test_whole_model_matches_plain_kneser_ney_wherever_n_grams_are_kept(spark):
+    """Languages of many letters have 3-grams of code points too, and n-grams that meet by a join count as those that are sent."""
+    rows = wide_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = sorted(str((i, round(whole_model([t or "" for _, t, x in rows if x == lang])(t or ""), 7))) for i, t, lang in rows)
+    key = lambda r: str((r["doc_id"], round(r["bits"], 7)))
+    sent = K.judge(docs, whole=True).collect()
+    assert sorted(map(key, sent)) == want
+    for model_rows in (0, 20, 200):
+        for carry in (False, True):
+            got = K.judge(docs, model_rows=model_rows, whole=True, carry=carry).collect()
+            assert sorted(str((*r[:9], r["kept"])) for r in got) == sorted(str((*r[:9], r["kept"])) for r in sent)
+            assert not carry or sorted(str((*r["row"],)) for r in got) == sorted(map(str, rows))
+
+
+def test_rare_letters_of_a_wide_script_are_told_apart(spark):
+    """Two rare letters that shared a class."""
+    import random
+
+    rng = random.Random(2)
+    many = [chr(0x4E00 + i) for i in range(400)]
+    text = lambda: "".join(rng.choices(many, k=400))
+    a, b = chr(0x9000), chr(0x9020)  # equal mod 32
+    rows = [(i, text(), "zh") for i in range(120)] + [(300 + i, a * 3, "zh") for i in range(3)] + [(400, b * 3, "zh")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bits = lambda **kw: {r["doc_id"]: r["bits"] for r in K.judge(docs, **kw).collect()}
+    shared, whole = bits(), bits(whole=True)
+    assert shared[300] == shared[400]
+    assert whole[400] > whole[300] + 0.1
+
+
+def test_op3_and_the_pipeline_use_the_whole_model(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from readpaths.llm import queries
+
+    docs = spark.createDataFrame(wide_rows(), "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda df: sorted(str((r["doc_id"], r["bits"])) for r in df.collect())
+    assert key(queries.op3_quality_rules(spark, str(tmp_path))) == key(K.judge(docs, whole=True))
+    calls = []
+    monkeypatch.setattr(K, "keep", lambda docs, **kw: calls.append(kw) or docs)
+    corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert calls == [{"whole": True}]
