@@ -256,3 +256,48 @@ def test_sources_are_not_shuffled_to_blocks(spark):
     lists = nb._Lists(3)
     plan = nb._streamed(blocks, list(blocks.docs), queries, lists, lists.schema)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize(("many", "cells", "growth"), [(16, 1 << 20, 3), (1, 300, 1), (10**6, 1 << 20, 1)])
+def test_rounds_and_bounds_lose_nothing(spark, monkeypatch, many, cells, growth):
+    """Blocks come in rounds that leave k rows a source, and only what the bounds let through is scored: as rows of products or one by one."""
+    for name, value in {"FIRST": 2, "GROWTH": growth, "MANY": many, "SCORE_CELLS": cells, "GROUPS": 4, "DENSE_SHARE": 12}.items():
+        monkeypatch.setattr(nb, name, value)
+    docs, written, real, k = mixed_docs(random.Random(9), 200), [], nb.stored, 5
+
+    def stored(df, name):
+        out = real(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(nb, "stored", stored)
+    got = {}
+    for r in nb.more_like_this(spark.createDataFrame(docs, "doc_id long, text string"), k=k, block_postings=800).orderBy("src", "rank").collect():
+        got.setdefault(r["src"], []).append(r["nn"])
+    assert got == {s: v for s, v in brute_mlt(docs, k).items() if v}
+    best = [n for name, n in written if name == "best"]
+    assert len(best) > 2 and max(best) <= k * len(docs)
+
+
+def test_bound_of_a_block_leaves_few_pairs_for_exact_sums():
+    """With the k-th score known, the groups' norms and the rare terms rule out most pairs before their frequent terms are summed."""
+    rng, n, terms = np.random.default_rng(4), 400, 300
+    w = np.where(rng.random((n, terms)) < 0.1, rng.random((n, terms)), 0.0) + np.repeat(np.eye(40), 10, axis=0) @ (rng.random((40, terms)) < 0.05)
+    doc, term = np.nonzero(w)
+    order = np.lexsort((doc, term))
+    row = {"ids": np.arange(n), "terms": term[order], "doc": doc[order].astype(np.int32), "weight": w[doc, term][order]}
+    block = nb._Block({"band": 3} | {c: v.tobytes() for c, v in row.items()})
+    exact = np.round(w @ w.T, 6)
+    np.fill_diagonal(exact, -1.0)
+    q = nb._Queries.__new__(nb._Queries)
+    q.ids, q.norm, q.trg = np.arange(n), np.linalg.norm(w, axis=1), np.zeros(n, np.int64)
+    q.cuts, q.terms, q.weight = np.searchsorted(doc, np.arange(n + 1)), term, w[doc, term]
+    q.unique, q.place = np.unique(q.terms, return_inverse=True)
+    for least in (np.zeros(n), np.partition(exact, -5, axis=1)[:, -5]):
+        q.least = least
+        got = {(int(a), int(b)): x for s, d, score in block.reaching(q, block.can_reach(q)) for a, b, x in zip(s, d, score, strict=True)}
+        want = {(int(a), int(b)) for a, b in zip(*np.nonzero((exact >= least[:, None]) & (exact > 0)), strict=True)}
+        assert got.keys() == want and all(abs(x - exact[p]) < 2e-6 for p, x in got.items())
+    most = nb._group_norms(block.dense) @ block.norms.T
+    assert (most >= exact * 0.999 - w[:, block.terms[block.column < 0]] @ w[:, block.terms[block.column < 0]].T).all()
+    assert (most >= least[:, None]).mean() < 0.3
