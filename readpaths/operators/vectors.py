@@ -15,18 +15,27 @@ the cosine of every member of ``c``.
   can reach ``s_k``.
 
 If pass 1 finds fewer than ``k`` candidates, pass 2 searches every
-cluster.  Centre distances, radii and bounds are numpy batches
-(``mapInPandas``).  Scoring is a matrix product per block: the members of a cluster
+cluster.  Centre distances, radii and bounds are numpy batches.  In pass 1
+scoring is a matrix product per block: the members of a cluster
 are cut into blocks of about ``block`` vectors and the sources probing
 it into blocks of about ``block`` sources, so no group grows with the
 data, however uneven the clusters are.  Each block returns only its
 local top-k per source.
 
+Nothing is copied for a cluster that pass 2 visits: sources and members are
+dealt once into packs of some blocks, members by cluster, and every pack of
+sources meets every pack of members in a product of two stored tables.  A task
+works out which clusters its sources must visit, and a product in single
+precision rules out what cannot reach a source's k-th score; only the rest is
+scored exactly.  The packs of members come in rounds, each ``GROWTH`` times as
+many as all before; the k-th score so far is the floor of the next round, and
+within a task that of what follows, so that a round leaves ``k`` rows a source.
+
 There are about ``sqrt(n)`` clusters for ``n`` vectors, at any size: the
 centres (``sqrt(n) x dim`` numbers) travel with the batch function, and as
 many rows of cluster statistics reach the driver.  A source's distances and
 bounds exist only inside a batch, a bounded number at a time; what leaves
-it are the clusters that the source must visit.  Centres are fitted on a
+pass 1's are the clusters that the source meets first.  Centres are fitted on a
 bounded sample (``SAMPLE_PER_CLUSTER`` vectors a cluster, by a hash of the
 id); which centres they are changes the work, never the result.  What
 several steps read is written to the shared folder once.
@@ -38,6 +47,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -45,13 +55,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readpaths.operators.neighbors import top_k
-from readpaths.session import stored
+from readpaths.session import removed, stored
 
 DEFAULT_K = 100
 SAMPLE_PER_CLUSTER = 64
 BLOCK = 2048          # vectors (and sources) per scoring block
 CELLS = 1 << 20       # source x centre distances held at a time
 BOUND_SLACK = 1e-7    # covers the 9-digit rounding of scores and float error of the bound
+PACK_BLOCKS = 8       # blocks of a pack
+PACK_VALUES = 1 << 20  # components in a pack, at most
+MAX_FILES = 1000      # of a table of packs
+GROWTH = 2            # packs of members of a round, in units of all before
+FEW = 16              # up to that share of the pairs of a block is scored one by one
 SCORE_SCHEMA = "src long, nn long, score double"
 
 
@@ -164,25 +179,182 @@ def _first_fn(centers: np.ndarray, size: np.ndarray, k: int):
     return run
 
 
-def _second_fn(centers: np.ndarray, radius: np.ndarray):
-    """Per batch of sources with their k-th score: the further clusters that can still reach it.
+def pack_size(block: int, dim: int) -> int:
+    """Vectors of a pack."""
+    return max(1, min(block * PACK_BLOCKS, PACK_VALUES // max(1, dim)))
+
+
+def pack_of(id_col: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(n))
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs of unit vectors ``a`` and ``b`` (single precision) whose product may reach the floor of ``a``; None if they are not few."""
+    product = a @ b.T
+    least = (floor - (1e-6 + 2.5e-7 * a.shape[1])).astype(np.float32)  # at most dim roundings of terms whose sizes add up to 1
+    rows = np.flatnonzero(product.max(axis=1) >= least)
+    live = product[rows] >= least[rows, None]
+    if np.count_nonzero(live) * FEW > product.size:
+        return None
+    i, j = np.nonzero(live)
+    return rows[i], j
+
+
+def pair_scores(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    out = np.empty(len(i))
+    step = max(1, CELLS // max(1, a.shape[1]))
+    for at in range(0, len(i), step):
+        out[at:at + step] = np.einsum("ij,ij->i", a[i[at:at + step]], b[j[at:at + step]])
+    return out
+
+
+class Best:
+    """The best ``k`` of every source of a pack so far; ``floor`` rises to the k-th score."""
+
+    def __init__(self, floor: np.ndarray, k: int):
+        self.floor, self.k, self.new, self.waiting = floor, k, [], 0
+
+    def add(self, i: np.ndarray, nn: np.ndarray, score: np.ndarray) -> None:
+        if len(i):
+            self.new.append((i, nn, score))
+            self.waiting += len(i)
+        if self.waiting > self.k * len(self.floor) // 2:
+            self.settle()
+
+    def settle(self) -> None:
+        """Leave the best of what was added, and raise the floors."""
+        if not self.waiting:
+            return
+        i, nn, score = (np.concatenate(x) for x in zip(*self.new, strict=True))
+        order = np.lexsort((nn, -score, i))
+        order = order[np.arange(len(i)) - np.searchsorted(i[order], i[order]) < self.k]
+        i, nn, score = i[order], nn[order], score[order]
+        last = np.flatnonzero(np.append(i[1:] != i[:-1], True))
+        last = last[np.bincount(i, minlength=len(self.floor))[i[last]] == self.k]
+        self.floor[i[last]] = np.maximum(self.floor[i[last]], score[last])
+        self.new, self.waiting = [(i, nn, score)], 0
+
+    def rows(self, ids: np.ndarray):
+        self.settle()
+        for i, nn, score in self.new:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(nn), pa.array(score)], names=["src", "nn", "score"])
+
+
+def floors_of(ids: np.ndarray, asked: np.ndarray | None, floors: np.ndarray | None) -> np.ndarray:
+    """The floor of each id, that of ``asked`` or none."""
+    if asked is None or not len(asked):
+        return np.full(len(ids), -2.0)
+    order = np.argsort(asked)
+    at = order[np.minimum(np.searchsorted(asked[order], ids), len(asked) - 1)]
+    return np.where(asked[at] == ids, floors[at], -2.0)
+
+
+def in_rounds(packs: DataFrame, n_sources: int, held: DataFrame, n_members: int, search, k: int, best: DataFrame | None = None, distinct: bool = False) -> DataFrame:
+    """``src, nn, score``: ``best`` and what ``search`` finds for ``packs`` of sources (``pack`` as in ``pack_of``) among those of members (``at`` below ``n_members``)."""
+    first = 0
+    while first < n_members:
+        then = max(1, (1 + GROWTH) * first)
+        if best is None:
+            sources = packs.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("asked", "array<long>"), ("floors", "array<double>"))))
+        else:
+            least = best.groupBy("src").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+            floors = least.groupBy(pack_of("src", n_sources).alias("pack")).agg(F.collect_list(F.struct("src", "floor")).alias("f"))
+            sources = stored(packs.join(floors, "pack", "left").select(*packs.columns, F.col("f.src").alias("asked"), F.col("f.floor").alias("floors"))
+                             .repartition(min(n_sources, MAX_FILES), "pack"), "asking-packs")
+        met = sources.crossJoin(held.where((F.col("at") >= first) & (F.col("at") < then)).drop("at").hint("shuffle_replicate_nl"))
+        new = met.mapInArrow(search, SCORE_SCHEMA)
+        every = new if best is None else best.union(new)
+        if distinct:
+            every = every.repartition("src").distinct()
+        done = stored(top_k(every, "src", "score", "nn", k).drop("rank"), "best")
+        if best is not None:
+            removed(best)
+            removed(sources)
+        best, first = done, then
+    removed(packs)
+    return best
+
+
+def _pack_sources(group: pd.DataFrame) -> pd.DataFrame:
+    """A pack's ids, vectors and (place of the source, cluster of pass 1), as bytes."""
+    first = group["first"].to_numpy()
+    place = np.repeat(np.arange(len(first)), [len(x) for x in first])
+    return pd.DataFrame({"pack": [group["pack"].iloc[0]], "ids": [group["src"].to_numpy(np.int64).tobytes()], "u": [np.stack(group["u_src"].to_numpy()).astype(np.float64).tobytes()],
+                         "place": [place.astype(np.int64).tobytes()], "met": [np.concatenate(first).astype(np.int32).tobytes()]})
+
+
+def _pack_members(group: pd.DataFrame) -> pd.DataFrame:
+    """A pack's ids, vectors and clusters, by cluster, as bytes."""
+    group = group.sort_values(["c", "nn"], kind="stable")
+    return pd.DataFrame({"at": [group["at"].iloc[0]], "member_ids": [group["nn"].to_numpy(np.int64).tobytes()],
+                         "member_u": [np.stack(group["u_nn"].to_numpy()).astype(np.float64).tobytes()], "member_c": [group["c"].to_numpy(np.int32).tobytes()]})
+
+
+def _second_fn(centers: np.ndarray, radius: np.ndarray, k: int, block: int):
+    """Per row, a pack of sources beside a pack of members: each source's best ``k`` in the further clusters that can still reach its floor.
 
     The bound of cluster ``c`` is ``1 - max(0, |q - m_c| - r_c)^2 / 2``.  A
-    source's bounds live in its batch only.
+    source's bounds exist for a block of members at a time.
     """
 
     def run(batches):
-        for b in _slices(batches, len(centers), CELLS):
-            u = b["u_src"].to_numpy()
-            far = np.maximum(0.0, _distances(np.stack(u), centers) - radius[None, :])
-            visit = 1.0 - far ** 2 / 2.0 >= b["kth"].to_numpy()[:, None] - BOUND_SLACK
-            for i, first in enumerate(b["first"]):
-                visit[i, first] = False
-            yield pd.DataFrame({"src": b["src"].to_numpy(), "u_src": u, "floor": b["kth"].to_numpy(), "further": [np.flatnonzero(v).astype(np.int32) for v in visit]})
+        held = best = None
+        for b in batches:
+            for n in range(b.num_rows):
+                cell = {c: b.column(c)[n] for c in b.schema.names}
+                if cell["pack"].as_py() != held:
+                    if best is not None:
+                        yield from best.rows(ids)
+                    held, ids = cell["pack"].as_py(), np.frombuffer(cell["ids"].as_py(), np.int64)
+                    u = np.frombuffer(cell["u"].as_py(), np.float64).reshape(len(ids), -1)
+                    short, place, met = u.astype(np.float32), np.frombuffer(cell["place"].as_py(), np.int64), np.frombuffer(cell["met"].as_py(), np.int32)
+                    best = Best(floors_of(ids, *(None if cell[c].values is None else cell[c].values.to_numpy() for c in ("asked", "floors"))), k)
+                every, clusters = np.frombuffer(cell["member_ids"].as_py(), np.int64), np.frombuffer(cell["member_c"].as_py(), np.int32)
+                vectors = np.frombuffer(cell["member_u"].as_py(), np.float64).reshape(len(every), -1)
+                for m in range(0, len(every), block):
+                    nn, members, (own, c) = every[m:m + block], vectors[m:m + block], np.unique(clusters[m:m + block], return_inverse=True)
+                    for i, j, score in _further(u, short, ids, best.floor, (place, met), members, nn, c, own, centers[own], radius[own], k):
+                        best.add(i, nn[j], score)
+        if best is not None:
+            yield from best.rows(ids)
 
     return run
 
 
+def _further(u, short, ids, floor, first, members, nn, c, clusters, centers, radius, k):
+    """Pairs (source, member) of clusters that the source must visit and did not at first, none below its floor, and scores."""
+    place, met = first
+    at = np.minimum(np.searchsorted(clusters, met), len(clusters) - 1)
+    mine = clusters[at] == met
+    place, at = place[mine], at[mine]  # places are in ascending order
+    single, step = members.astype(np.float32), max(1, CELLS // max(len(nn), len(clusters)))
+    for low in range(0, len(ids), step):
+        rows = slice(low, low + step)
+        far = np.maximum(0.0, _distances(u[rows], centers) - radius)
+        visit = 1.0 - far ** 2 / 2.0 >= floor[rows, None] - BOUND_SLACK
+        here = slice(*np.searchsorted(place, (low, low + step)))
+        visit[place[here] - low, at[here]] = False
+        which = np.flatnonzero(visit.any(axis=1))
+        if not len(which):
+            continue
+        visit, which = visit[which], which + low
+        pairs = may_reach(short[which], single, floor[which])
+        if pairs is not None:
+            i, j = pairs
+            good = visit[i, c[j]] & (ids[which[i]] != nn[j])
+            i, j = i[good], j[good]
+            score = np.round(pair_scores(u[which], members, i, j), 9)
+        else:
+            every = np.round(u[which] @ members.T, 9)
+            every[~visit[:, c] | (ids[which][:, None] == nn)] = -np.inf
+            if k < len(nn):
+                every[every < np.partition(every, -k, axis=1)[:, -k, None]] = -np.inf
+            i, j = np.nonzero(np.isfinite(every))
+            score = every[i, j]
+        good = score >= floor[which[i]]
+        yield which[i[good]], j[good], score[good]
+
+
 def vector_neighbors(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame | None = None,
                      id_col: str = "page_id", vec_col: str = "vector", n_clusters: int | None = None,
                      block: int = BLOCK, seed: int = 1, max_iter: int = 5) -> DataFrame:
@@ -220,10 +392,21 @@ def vector_neighbors(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame
 
     first = blocked_candidates(q.select("src", "u_src", F.explode("first").alias("c")), members, sizes, k, block)
     first_top = stored(top_k(first, "src", "score", "nn", k), "first")
-    kth = (first_top.groupBy("src").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
-           .select("src", F.when(F.col("_n") >= k, F.col("_kth")).alias("_kth")))
-    second_probe = stored(q.join(kth, "src", "left").select("src", "u_src", "first", F.coalesce("_kth", F.lit(-2.0)).alias("kth"))
-                          .mapInPandas(_second_fn(cmat, radius), "src long, u_src array<double>, floor double, further array<int>"), "second")
-    second = blocked_candidates(second_probe.select("src", "u_src", "floor", F.explode("further").alias("c")), members, sizes, k, block)
-    both = first_top.select("src", "nn", "score").unionByName(second)
+    removed(units)
+
+    dim = cmat.shape[1]
+    size_of = pack_size(block, dim)
+    n_sources, places, n_packs, room = max(1, -(-q.count() // size_of)), [], 0, 0
+    for c in range(n_c):  # clusters beside each other in a pack, a large one in several
+        subs = max(1, -(-int(size[c]) // size_of))
+        if subs > 1 or size[c] > room:
+            n_packs, room = n_packs + subs, size_of if subs == 1 else 0
+        places.append((c, n_packs - subs, subs))
+        room -= size[c] if subs == 1 else 0
+    places = vectors.sparkSession.createDataFrame(places, "c int, first long, subs int")
+    dealt = members.join(places, "c").select((F.col("first") + F.pmod(F.xxhash64("nn"), "subs")).alias("at"), "nn", "u_nn", "c")
+    held = stored(dealt.repartition(min(n_packs, MAX_FILES), "at").groupBy("at").applyInPandas(_pack_members, "at long, member_ids binary, member_u binary, member_c binary"), "member-packs")
+    asking = q.select(pack_of("src", n_sources).alias("pack"), "src", "u_src", "first").repartition(min(n_sources, MAX_FILES), "pack")
+    packs = stored(asking.groupBy("pack").applyInPandas(_pack_sources, "pack long, ids binary, u binary, place binary, met binary"), "source-packs")
+    both = in_rounds(packs, n_sources, held, n_packs, _second_fn(cmat, radius, k, block), k, first_top.select("src", "nn", "score"))
     return top_k(both, "src", "score", "nn", k).select("src", "nn", "score", "rank")
