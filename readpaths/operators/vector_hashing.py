@@ -16,11 +16,13 @@ with none left the search is exact.
   of about ``block`` vectors, and every pack of sources meets every pack of
   members in a product of two stored tables.  A task that holds both works out
   the buckets and scores only pairs that meet in a table.
-* The packs of members come in rounds, each as many as all before.  A source
-  keeps its best ``k`` so far, and their last score is the floor of the next
-  round, so that a round returns about ``k`` rows a source, however many
-  buckets it visits.  What a round leaves on disk replaces that of the round
-  before; there are as many rounds as doublings of the number of packs.
+* The packs of members come in rounds, each ``vectors.GROWTH`` times as many as
+  all before.  A source keeps its best ``k`` so far; their last score is the
+  floor of the next round and, within a task, of the blocks that follow, so
+  that a round returns few rows a source, however many buckets it visits.  A
+  product in single precision rules out what cannot reach the floor; only the
+  rest is scored exactly.  What a round leaves on disk replaces that of the round
+  before; the number of rounds is logarithmic in that of the packs.
 
 Null and zero vectors take no part; an empty table gives an empty result; an
 id has one row, as in the exact search.
@@ -33,13 +35,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readpaths.operators.neighbors import top_k
-from readpaths.operators.vectors import BLOCK, CELLS, DEFAULT_K, SCORE_SCHEMA, unit_vectors
-from readpaths.session import removed, stored
+from readpaths.operators.vectors import BLOCK, CELLS, DEFAULT_K, MAX_FILES, Best, floors_of, in_rounds, may_reach, pack_of, pack_size, pair_scores, unit_vectors
+from readpaths.session import stored
 
 TABLES = 8
 BUCKET = 2048   # vectors per bucket, on average
@@ -47,8 +48,6 @@ RECALL = 0.95   # on the sample
 SAMPLE = 200    # sources that are compared with every vector
 WEAK = 10       # signs of a table that probes may change
 MAX_BITS = 30
-MAX_FILES = 1000  # of a table of packs
-PACK_VALUES = 1 << 18  # components in a pack, at most
 LOOKUP = 16  # looking a bucket up costs as much as comparing with so many members
 
 
@@ -159,14 +158,10 @@ def _pack(group: pd.DataFrame) -> pd.DataFrame:
 
 def _packs(rows: DataFrame, n: int, name: str) -> DataFrame:
     """``page_id, u`` as ``n`` packs, each a row ``pack, ids, u``."""
-    dealt = rows.select(_pack_of("page_id", n).alias("pack"), F.col("page_id").alias("id"), "u")
+    dealt = rows.select(pack_of("page_id", n).alias("pack"), F.col("page_id").alias("id"), "u")
     return stored(dealt.repartition(min(n, MAX_FILES), "pack").groupBy("pack").applyInPandas(_pack, "pack long, ids binary, u binary"), name)
 
 
-def _pack_of(id_col: str, n: int):
-    return F.pmod(F.xxhash64(id_col), F.lit(n))
-
-
 def _unpacked(ids: bytes, u: bytes) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(ids, np.int64)
     return ids, np.frombuffer(u, np.float64).reshape(len(ids), -1)
@@ -178,11 +173,8 @@ class _Sources:
     def __init__(self, search: Search, ids: bytes, u: bytes, asked: np.ndarray | None, floors: np.ndarray | None):
         self.search = search
         self.ids, self.u = _unpacked(ids, u)
-        self.floor = np.full(len(self.ids), -2.0)
-        if asked is not None:
-            order = np.argsort(asked)
-            at = order[np.minimum(np.searchsorted(asked[order], self.ids), len(asked) - 1)]
-            self.floor = np.where(asked[at] == self.ids, floors[at], self.floor)
+        self.short = self.u.astype(np.float32)
+        self.floor = floors_of(self.ids, asked, floors)
         self.products = [self.u @ p for p in search.planes]
         self.visits = self.costs = None
 
@@ -228,92 +220,69 @@ def _looked_up(codes: list[np.ndarray], tables: list[np.ndarray], rows: slice) -
     return pairs // len(tables[0]), pairs % len(tables[0])
 
 
-def _pair_scores(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    out = np.empty(len(i))
-    step = max(1, CELLS // max(1, a.shape[1]))
-    for at in range(0, len(i), step):
-        out[at:at + step] = np.einsum("ij,ij->i", a[i[at:at + step]], b[j[at:at + step]])
-    return out
-
-
 def _met(s: _Sources, signs: list[np.ndarray], u: np.ndarray, ids: np.ndarray, rows: slice, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of the sources ``rows`` with members that share a visited bucket, none below the source's floor, and scores."""
     search, floor, own = s.search, s.floor[rows], s.ids[rows]
-    if len(search.planes) * search.probes * LOOKUP < len(ids):
+    if search.bits and len(search.planes) * search.probes * LOOKUP < len(ids):
         i, j = _looked_up(s.codes(), [_codes(x - 0.5) for x in signs], rows)
-        score = np.round(_pair_scores(s.u[rows], u, i, j), 9)
+        score = np.round(pair_scores(s.u[rows], u, i, j), 9)
         good = (score >= floor[i]) & (own[i] != ids[j])
         return i[good], j[good], score[good]
-    score = np.round(s.u[rows] @ u.T, 9)
-    score[own[:, None] == ids[None, :]] = -np.inf
-    live = score >= floor[:, None]
-    beside = [np.hstack((1.0 - x, x)) for x in signs]
-    if live.mean() > 1 / 16:
-        meets = np.zeros(live.shape, bool)
-        for (cost, last), b in zip(s.weights(), beside, strict=True):
-            meets |= cost[rows] @ b.T <= last[rows, None]
-        score[~(meets & live)] = -np.inf
+    pairs = may_reach(s.short[rows], u.astype(np.float32), floor)
+    if pairs is None:
+        score = np.round(s.u[rows] @ u.T, 9)
+        meets = np.zeros(score.shape, bool)
+        for (cost, last), x in zip(s.weights(), signs, strict=True):
+            meets |= cost[rows] @ np.hstack((1.0 - x, x)).T <= last[rows, None]
+        score[~(meets & (score >= floor[:, None])) | (own[:, None] == ids[None, :])] = -np.inf
         if k < len(ids):
             score[score < np.partition(score, -k, axis=1)[:, -k, None]] = -np.inf
         i, j = np.nonzero(np.isfinite(score))
-    else:
-        i, j = np.nonzero(live)
-        meets = np.zeros(len(i), bool)
-        for (cost, last), b in zip(s.weights(), beside, strict=True):
-            meets |= _pair_scores(cost[rows], b, i, j) <= last[rows][i]
-        i, j = i[meets], j[meets]
-    return i, j, score[i, j]
-
-
-def _product_fn(search: Search, k: int):
-    """Per row, a pack of sources beside a pack of members: each source's best ``k`` of the members that it meets."""
+        return i, j, score[i, j]
+    i, j = pairs
+    score = np.round(pair_scores(s.u[rows], u, i, j), 9)
+    good = (score >= floor[i]) & (own[i] != ids[j])
+    i, j, score = i[good], j[good], score[good]
+    some, at = np.unique(j, return_inverse=True)
+    meets = np.zeros(len(i), bool)
+    for (cost, last), x in zip(s.weights(), signs, strict=True):
+        meets |= pair_scores(cost[rows], np.hstack((1.0 - x[some], x[some])), i, at) <= last[rows][i]
+    return i[meets], j[meets], score[meets]
+
+
+def _product_fn(search: Search, k: int, block: int):
+    """Per row, a pack of sources beside a pack of members: each source's best ``k`` of the members that it meets in a task."""
     def run(batches):
-        held, s = None, None
+        held = s = best = None
         for b in batches:
             for n in range(b.num_rows):
                 cell = {c: b.column(c)[n] for c in b.schema.names}
                 if cell["pack"].as_py() != held:
+                    if best is not None:
+                        yield from best.rows(s.ids)
                     floors = [None if cell[c].values is None else cell[c].values.to_numpy() for c in ("asked", "floors")]
                     held, s = cell["pack"].as_py(), _Sources(search, cell["ids"].as_py(), cell["u"].as_py(), *floors)
-                ids, u = _unpacked(cell["member_ids"].as_py(), cell["member_u"].as_py())
-                signs = [(u @ p > 0).astype(np.float64) for p in search.planes]
-                step = max(1, CELLS // len(ids))
-                for at in range(0, len(s.ids), step):
-                    i, j, score = _met(s, signs, u, ids, slice(at, at + step), k)
-                    order = np.lexsort((ids[j], -score, i))
-                    order = order[np.arange(len(i)) - np.searchsorted(i[order], i[order]) < k]
-                    if len(order):
-                        yield pa.RecordBatch.from_arrays([pa.array(s.ids[at:at + step][i[order]]), pa.array(ids[j[order]]), pa.array(score[order])], names=["src", "nn", "score"])
+                    best = Best(s.floor, k)
+                every, vectors = _unpacked(cell["member_ids"].as_py(), cell["member_u"].as_py())
+                for m in range(0, len(every), block):
+                    ids, u = every[m:m + block], vectors[m:m + block]
+                    signs = [(u @ p > 0).astype(np.float64) for p in search.planes]
+                    step = max(1, CELLS // len(ids))
+                    for at in range(0, len(s.ids), step):
+                        i, j, score = _met(s, signs, u, ids, slice(at, at + step), k)
+                        best.add(i + at, ids[j], score)
+        if best is not None:
+            yield from best.rows(s.ids)
 
     return run
 
 
 def _searched(asking: DataFrame, members: DataFrame, search: Search, k: int, block: int) -> DataFrame:
     """``src, nn, score``: each source's best ``k`` of the members that it meets in a visited bucket."""
-    block = max(1, min(block, PACK_VALUES // search.planes.shape[1]))
-    n_members, n_sources = (max(1, math.ceil(x.count() / block)) for x in (members, asking))
+    size = pack_size(block, search.planes.shape[1])
+    n_members, n_sources = (max(1, math.ceil(x.count() / size)) for x in (members, asking))
     held = _packs(members, n_members, "member-packs").select(F.col("pack").alias("at"), F.col("ids").alias("member_ids"), F.col("u").alias("member_u"))
-    packs = _packs(asking, n_sources, "source-packs")
-    best, first = None, 0
-    while first < n_members:
-        then = max(1, 2 * first)
-        if best is None:
-            sources = packs.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("asked", "array<long>"), ("floors", "array<double>"))))
-        else:
-            least = best.groupBy("src").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-            floors = least.groupBy(_pack_of("src", n_sources).alias("pack")).agg(F.collect_list(F.struct("src", "floor")).alias("f"))
-            sources = stored(packs.join(floors, "pack", "left").select("pack", "ids", "u", F.col("f.src").alias("asked"), F.col("f.floor").alias("floors"))
-                             .repartition(min(n_sources, MAX_FILES), "pack"), "asking-packs")
-        met = sources.crossJoin(held.where((F.col("at") >= first) & (F.col("at") < then)).drop("at").hint("shuffle_replicate_nl"))
-        new = met.mapInArrow(_product_fn(search, k), SCORE_SCHEMA)
-        every = (new if best is None else best.union(new)).repartition("src").distinct()
-        done = stored(top_k(every, "src", "score", "nn", k).drop("rank"), "best")
-        if best is not None:
-            removed(best)
-            removed(sources)
-        best, first = done, then
-    removed(packs)
-    return best
+    return in_rounds(_packs(asking, n_sources, "source-packs"), n_sources, held, n_members, _product_fn(search, k, block), k, distinct=True)
 
 
 def vector_neighbors_hashed(vectors: DataFrame, k: int = DEFAULT_K, sources: DataFrame | None = None, id_col: str = "page_id",

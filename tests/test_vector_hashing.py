@@ -165,3 +165,22 @@ def test_both_ways_of_meeting_agree(monkeypatch, lookup):
         i, j, got = vh._met(s, [(u @ p > 0).astype(float) for p in search.planes], u, ids, slice(0, 40), 300)
         assert {*zip(i.tolist(), j.tolist(), strict=True)} == {*zip(*(x.tolist() for x in np.nonzero(meets & (score >= floor))), strict=True)}
         assert np.abs(got - score[i, j]).max(initial=0) < 2e-9
+
+
+def test_floors_rise_within_a_task(monkeypatch):
+    """The blocks of a pack of members follow each other; from the second on few pairs are scored, and a task returns k rows a source."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    u = rng.standard_normal((1200, 16))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    search, ids, real, scored = vh.Search(vh._planes(1, 16, 0, 2), 1, 1.0), np.arange(1200), vh.pair_scores, []
+    monkeypatch.setattr(vh, "pair_scores", lambda a, b, i, j: scored.append(len(i)) or real(a, b, i, j))
+    cells = {"pack": [0], "ids": [ids[:200].tobytes()], "u": [u[:200].tobytes()], "asked": pa.array([None], pa.list_(pa.int64())), "floors": pa.array([None], pa.list_(pa.float64())),
+             "member_ids": [ids.tobytes()], "member_u": [u.tobytes()]}
+    out = pa.Table.from_batches(list(vh._product_fn(search, 10, 100)(iter([pa.RecordBatch.from_pydict(cells)]))))
+    score = np.round(u[:200] @ u.T, 9)
+    score[np.arange(200), np.arange(200)] = -np.inf
+    want = {(i, int(j)) for i in range(200) for j in np.lexsort((ids, -score[i]))[:10]}
+    assert set(zip(out["src"].to_pylist(), out["nn"].to_pylist(), strict=True)) == want and out.num_rows == 2000
+    assert 0 < sum(scored) < 0.1 * score.size
